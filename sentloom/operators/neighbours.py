@@ -60,14 +60,15 @@ def knn(
     Exact. Ties go to the smaller id. The row itself counts (``include_self``) or is left out
     by id. A zero vector has cosine 0 with every row. Each row is sent to one row or column
     of the block grid; per block pair a row yields at most k candidates, which are cut again
-    per task before the last shuffle.
+    per task before the last shuffle. ``df`` is read three times, so store it if it is costly.
     """
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(v).alias("v"))
     g = _grid_size(rows, rows_per_block)
     block = F.pmod(F.xxhash64("id"), F.lit(g)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(g - 1)))
     queries = rows.withColumn("i", block).withColumn("j", every)
-    others = rows.withColumn("j", block).withColumn("i", every)
+    again = rows.select(F.col("id").alias("id"), F.col("v").alias("v"))
+    others = again.withColumn("j", block).withColumn("i", every)
     schema = T.StructType(
         [
             T.StructField("id", T.LongType()),

@@ -33,8 +33,8 @@ def _offsets(counts: DataFrame, by: str) -> DataFrame:
     )
     return counts.select(
         by,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(every).alias("_total"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
+        F.sum("_n").over(every).alias("_rows_total"),
     )
 
 
@@ -57,11 +57,11 @@ def ranked(
     out = (
         placed.withColumn("_part", part)
         .join(F.broadcast(_offsets(counts, "_part")), "_part")
-        .withColumn(name, F.col("_before") + F.col("_row").bitwiseAND(F.lit(_ROW_MASK)))
+        .withColumn(name, F.col("_rows_before") + F.col("_row").bitwiseAND(F.lit(_ROW_MASK)))
     )
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_part", "_row", "_before", "_total")
+        out = out.withColumn(total, F.col("_rows_total"))
+    return out.drop("_part", "_row", "_rows_before", "_rows_total")
 
 
 def hash_ranked(
@@ -80,11 +80,11 @@ def hash_ranked(
         df.withColumn("_bucket", bucket)
         .withColumn("_inside", F.row_number().over(inside) - 1)
         .join(F.broadcast(_offsets(counts, "_bucket")), "_bucket")
-        .withColumn(name, F.col("_before") + F.col("_inside"))
+        .withColumn(name, F.col("_rows_before") + F.col("_inside"))
     )
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_bucket", "_inside", "_before", "_total")
+        out = out.withColumn(total, F.col("_rows_total"))
+    return out.drop("_bucket", "_inside", "_rows_before", "_rows_total")
 
 
 def limit_ordered(df: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -108,14 +108,14 @@ def split_by_count(df: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
     counts = df.select(bucket.alias("_bucket")).groupBy("_bucket").agg(F.count("*").alias("_n"))
     cut = (
         _offsets(counts, "_bucket")
-        .filter(F.col("_before") < n)
-        .agg(F.max(F.struct("_bucket", "_before")).alias("_cut"))
+        .filter(F.col("_rows_before") < n)
+        .agg(F.max(F.struct("_bucket", "_rows_before")).alias("_cut"))
     )
     last = (
         df.select(bucket.alias("_bucket"), order.alias("_order"))
         .join(F.broadcast(cut), F.col("_bucket") == F.col("_cut._bucket"))
         .withColumn("_i", F.row_number().over(Window.partitionBy("_bucket").orderBy("_order")))
-        .filter(F.col("_i") <= n - F.col("_cut._before"))
+        .filter(F.col("_i") <= n - F.col("_cut._rows_before"))
         .agg(F.max("_order").alias("_last"))
     )
     return df.withColumn(
