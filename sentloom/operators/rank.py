@@ -38,30 +38,38 @@ def _offsets(counts: DataFrame, by: str) -> DataFrame:
     )
 
 
+def _div(value: Column, by: Column | int) -> Column:
+    """Whole-number quotient, exact for large numbers."""
+    return ((value - value % by) / by).cast("bigint")
+
+
 def ranked(
-    df: DataFrame, *keys: Column | str, name: str = "rank", total: str | None = None
+    df: DataFrame, *keys: str, name: str = "rank", total: str | None = None
 ) -> DataFrame:
-    """0-based rank of every row in the order of ``keys`` (any orderable types).
+    """0-based rank of every row in the order of ``keys``: columns of any orderable types that
+    together are unique and not NULL.
 
-    One range shuffle; the sorted rows are written once, because range borders come from a
-    sample and must be the same for the counts and for the ranks. The broadcast side has one
-    row per partition.
+    Only the keys are sorted, by range, over all tasks. They are written once, because range
+    borders come from a sample and must be the same for the counts and for the ranks; the
+    broadcast side has one row per partition. The other columns, which can be wide and costly
+    to compute, are computed once and meet their rank in an equi-join on the unique keys.
     """
     placed = materialize(
-        df.repartitionByRange(*keys)
+        df.select(*keys)
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .withColumn("_row", F.monotonically_increasing_id())
     )
     part = F.shiftright("_row", _ROW_BITS).alias("_part")
     counts = placed.groupBy(part).agg(F.count("*").alias("_n"))
-    out = (
+    ranks = (
         placed.withColumn("_part", part)
         .join(F.broadcast(_offsets(counts, "_part")), "_part")
         .withColumn(name, F.col("_rows_before") + F.col("_row").bitwiseAND(F.lit(_ROW_MASK)))
     )
-    if total:
-        out = out.withColumn(total, F.col("_rows_total"))
-    return out.drop("_part", "_row", "_rows_before", "_rows_total")
+    extra = [F.col("_rows_total").alias(total)] if total else []
+    ranks = ranks.select(*keys, name, *extra)
+    return df.join(ranks, list(keys)) if set(df.columns) - set(keys) else ranks
 
 
 def hash_ranked(
@@ -126,7 +134,7 @@ def split_by_count(df: DataFrame, n: int, key: str, *ties: str) -> DataFrame:
 
 def shard_of(rank: Column, total: Column, n_shards: int) -> Column:
     """Shard whose range ``[i*N div S, (i+1)*N div S)`` holds the rank."""
-    return F.floor(((rank + 1) * n_shards - 1) / total).cast("int")
+    return _div((rank + 1) * n_shards - 1, total).cast("int")
 
 
 def assign_shards(
@@ -163,7 +171,7 @@ def assign_batches(df: DataFrame, batch_size: int, *keys: str) -> DataFrame:
     """Consecutive groups of ``batch_size`` rows: columns ``batch`` and ``row`` (inside it)."""
     return (
         ranked(df, *keys, name="_rank")
-        .withColumn("batch", F.floor(F.col("_rank") / batch_size))
+        .withColumn("batch", _div(F.col("_rank"), batch_size))
         .withColumn("row", (F.col("_rank") % batch_size).cast("int"))
         .drop("_rank")
     )

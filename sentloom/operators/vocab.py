@@ -9,8 +9,12 @@ from sentloom import EOS, EOS_ID, UNK, UNK_ID
 
 
 def word_counts(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """(word, n) over all rows; counted per task before the shuffle."""
-    return df.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over all rows; counted per task before the shuffle.
+
+    The outer explode keeps the optimizer from tokenising twice, for a filter on the size.
+    """
+    words = df.select(F.explode_outer(tokens).alias("word")).filter(F.col("word").isNotNull())
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 def build_vocab(counts: DataFrame, num_words: int = 200_000) -> DataFrame:

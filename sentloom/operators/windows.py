@@ -83,18 +83,19 @@ def row_triples(
     """Triples when a row holds all sentences of its file, as an array: no shuffle at all.
 
     The elements can be anything with a size. Gives ``keep``, ``pos`` (0-based, of the current
-    sentence) and the three parts, before any filter.
+    sentence) and the three parts, before any filter. The outer explode keeps the optimizer from
+    computing the sentences a second time, for a filter on their number.
     """
     s = F.col(sentences)
-    inner = F.size(s) - 2
+    inner = F.greatest(F.size(s) - 2, F.lit(0))
     zipped = F.arrays_zip(
         F.slice(s, F.lit(1), inner).alias("decode_pre"),
         F.slice(s, F.lit(2), inner).alias("encode"),
         F.slice(s, F.lit(3), inner).alias("decode_post"),
     )
     return (
-        df.filter(F.size(s) >= 3)
-        .select(*(keep or []), F.posexplode(zipped).alias("_i", "_t"))
+        df.select(*(keep or []), F.posexplode_outer(zipped).alias("_i", "_t"))
+        .filter(F.col("_i").isNotNull())
         .select(*(keep or []), (F.col("_i") + 1).alias("pos"), "_t.*")
     )
 

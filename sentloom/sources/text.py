@@ -63,7 +63,10 @@ def read_sentences(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
 
 def sentences_from_texts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, pos, text): the lower-cased sentences of each text; a text plays the file's part."""
-    return df.select(key, F.posexplode(split_sentences(F.lower(text))).alias("pos", "text"))
+    # The outer form keeps the optimizer from splitting every text a second time, for a filter
+    # on the array's size.
+    parts = F.posexplode_outer(split_sentences(F.lower(text)))
+    return df.select(key, parts.alias("pos", "text")).filter(F.col("pos").isNotNull())
 
 
 def sentence_arrays(df: DataFrame, key: str, text: str = "text") -> DataFrame:

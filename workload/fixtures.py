@@ -10,6 +10,7 @@ from sentloom.functions.text import ws_tokens
 from sentloom.operators.rank import assign_batches
 from sentloom.plans.corpus import text_vocab
 from sentloom.session import materialize
+from sentloom.sources.tables import read_texts
 from sentloom.sources.text import sentences_from_texts
 
 # Sizes the queries use; the SQL counterparts take them from here.
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    return read_texts(spark, f"{sf}/documents.parquet", "doc_id", ["text", "lang", "source"])
 
 
 def sentences(spark, sf) -> DataFrame:
@@ -55,9 +56,8 @@ def word_vec(spark, sf) -> DataFrame:
 
 def turns(spark, sf) -> DataFrame:
     """(conv_id, turn, text, tokens)"""
-    return table(spark, sf, "conversations").select(
-        "conv_id", "turn", "role", "text", ws_tokens(F.lower("text")).alias("tokens")
-    )
+    rows = read_texts(spark, f"{sf}/conversations.parquet", ["conv_id", "turn"], ["role", "text"])
+    return rows.withColumn("tokens", ws_tokens(F.lower("text")))
 
 
 def captions(spark, sf) -> DataFrame:
