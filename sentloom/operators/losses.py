@@ -8,7 +8,7 @@ batch. Each metric gives one row per batch; :func:`mean_over_batches` reduces it
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +25,9 @@ from sentloom.operators.dense import project
 ALIGNMENTS = ("rho", "L2", "L1")
 
 
-def _stack(vectors: pd.Series) -> np.ndarray:
-    return np.stack(vectors.to_numpy()).astype(np.float64)
+def _stack(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64).reshape(len(vectors), -1)
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -43,12 +44,18 @@ def _per_batch(df: DataFrame, kernel) -> DataFrame:
         ]
     )
 
-    def apply(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row")
+    def apply(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
         value = kernel(_stack(rows["x"]), _stack(rows["y"]))
-        return pd.DataFrame({"batch": [key[0]], "n": [len(rows)], "value": [value]})
+        return pa.table(
+            {
+                "batch": pa.array([key[0].as_py()], pa.int64()),
+                "n": pa.array([len(rows)], pa.int64()),
+                "value": pa.array([value], pa.float64()),
+            }
+        )
 
-    return df.select("batch", "row", "x", "y").groupBy("batch").applyInPandas(apply, schema)
+    return df.select("batch", "row", "x", "y").groupBy("batch").applyInArrow(apply, schema)
 
 
 def mean_over_batches(losses: DataFrame, metric: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,29 +136,34 @@ def negative_sampling_loss(
     shared = df.sparkSession.sparkContext.broadcast((_vocabulary_ids(vocab), matrix))
     n = k * batch_size * length
 
-    def score(key, group: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, group: pa.Table) -> pa.Table:
         (ids, weights), target = shared.value
-        batch = int(key[0])
-        vectors = np.stack(group["v"].to_numpy()).astype(np.float64)
+        batch = key[0].as_py()
+        rows = group["row"].to_numpy()
+        vectors = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        vectors = vectors.astype(np.float64).reshape(len(rows), -1)
         values = []
         for number, part in enumerate(parts):
+            words = group[part].combine_chunks()
+            sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if len(sizes) and sizes.max() > length:
+                raise ValueError("sentence longer than the padded width")
+            # One line per word: its sentence, and its place in that sentence.
+            line = np.repeat(np.arange(len(rows)), sizes)
+            place = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             drawn = _draw(batch, ids, weights, n, seed + number).reshape(batch_size, length, k)
-            total = 0.0
-            for row, v, words in zip(group["row"], vectors, group[part]):
-                m = len(words)
-                if m > length:
-                    raise ValueError("sentence longer than the padded width")
-                if m:
-                    pos = target[np.asarray(words, np.int64)] @ v
-                    neg = target[drawn[row, :m]] @ v
-                    total -= np.logaddexp(0.0, -pos).sum() + np.logaddexp(0.0, neg).sum()
-            values.append(-total / (batch_size * length))
-        return pd.DataFrame({"batch": batch, "part": list(parts), "value": values})
+            v = vectors[line]
+            words = words.flatten().to_numpy(zero_copy_only=False)
+            positive = np.einsum("wd,wd->w", target[words], v)
+            negative = np.einsum("wkd,wd->wk", target[drawn[rows[line], place]], v)
+            lost = np.logaddexp(0.0, -positive).sum() + np.logaddexp(0.0, negative).sum()
+            values.append(lost / (batch_size * length))
+        return pa.table({"batch": [batch] * len(parts), "part": list(parts), "value": values})
 
     return (
         df.select("batch", "row", "v", *parts)
         .groupBy("batch")
-        .applyInPandas(score, "batch bigint, part string, value double")
+        .applyInArrow(score, "batch bigint, part string, value double")
     )
 
 
