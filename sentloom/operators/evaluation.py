@@ -45,13 +45,14 @@ def similarity_pearson(
 ) -> DataFrame:
     """Pearson correlation of the pair's cosine with the score, over all rows or per group.
 
-    A pair with a zero vector counts with cosine 0.
+    A pair with a zero vector counts with cosine 0. NULL where one side does not vary.
     """
     scored = df.select(
         *(by or []),
         F.coalesce(cosine(v1, v2), F.lit(0.0)).alias("_c"),
         F.col(score).cast("double").alias("_s"),
     )
+    spread = F.stddev_pop("_c") * F.stddev_pop("_s")
     return scored.groupBy(*(by or [])).agg(
-        F.count("*").alias("n"), F.corr("_c", "_s").alias("pearson")
+        F.count("*").alias("n"), F.try_divide(F.covar_pop("_c", "_s"), spread).alias("pearson")
     )

@@ -162,6 +162,7 @@ def test_pearson_counts_zero_vectors(spark):
     row = similarity_pearson(df).first()
     assert row["n"] == 3
     np.testing.assert_allclose(row["pearson"], np.corrcoef(c, [5.0, 1.0, 3.0])[0, 1])
+    assert similarity_pearson(df.withColumn("score", F.lit(0.1))).first()["pearson"] is None
 
 
 def test_batch_metrics_against_loops(spark):

@@ -637,7 +637,8 @@ sql(
 sql(
     "similarity_pearson",
     ["wv", "spairs"],
-    f"""SELECT lang, count(*) AS n, {r6('corr(c, score)')} AS pearson FROM (
+    f"""SELECT lang, count(*) AS n, 
+               {r6('covar_pop(c, score) / nullif(stddev_pop(c) * stddev_pop(score), 0)')} AS pearson FROM (
             SELECT lang, score, coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(
                 list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0) AS c
             FROM spairs JOIN a USING (doc_id, pos) JOIN b USING (doc_id, pos))
