@@ -8,61 +8,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Tasks over which the partial sums of a frequent group are spread.
+_SALTS = 32
+
+
+def _add_up(batches):
+    """Arrow batches of (key, n, total) → one row per key and batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).dictionary_encode()
+        codes = keys.indices.to_numpy(zero_copy_only=False)
+        totals = batch.column(2).flatten().to_numpy(zero_copy_only=False)
+        totals = totals.reshape(batch.num_rows, -1)
+        order = np.argsort(codes, kind="stable")
+        first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        sums = np.add.reduceat(totals[order], first, axis=0, dtype=np.float64)
+        counts = np.add.reduceat(batch.column(1).to_numpy()[order], first)
+        offsets = np.arange(len(first) + 1, dtype=np.int32) * sums.shape[1]
+        yield pa.RecordBatch.from_arrays(
+            [
+                keys.dictionary,
+                pa.array(counts),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel())),
+            ],
+            names=batch.schema.names,
+        )
+
 
 def vector_sums(df: DataFrame, key: str, v: str = "v") -> DataFrame:
     """(key, n, total): number of rows and element-wise sum of ``v`` per group.
 
-    Each task first adds up its own rows of a group, one dense sum per Arrow batch; then Spark
-    sums the dimensions, again per task before the shuffle. A hot group never meets in one
-    place as vectors.
+    Vectors stay dense arrays. A map task adds up what its Arrow batches hold of a group, so a
+    hot group shrinks to one row per batch there. Such rows are spread over salts, rare groups
+    are not; after the shuffle each task adds up again, batch by batch, without ever holding a
+    group. What is left per group is a handful of rows.
     """
-    key_type = df.schema[key].dataType
-    partial_type = T.StructType(
+    schema = T.StructType(
         [
-            T.StructField(key, key_type),
+            df.schema[key],
             T.StructField("n", T.LongType()),
             T.StructField("total", T.ArrayType(T.DoubleType())),
         ]
     )
-
-    def partial(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            groups = batch.column(0).dictionary_encode()
-            vectors = batch.column(1)
-            dim = len(vectors.flatten()) // batch.num_rows
-            rows = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            codes = groups.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(codes, kind="stable")
-            first = np.flatnonzero(np.diff(codes[order], prepend=-1))
-            sums = np.add.reduceat(rows[order], first, axis=0, dtype=np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    groups.dictionary,
-                    pa.array(np.diff(np.append(first, len(codes)))),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.arange(len(first) + 1, dtype=np.int32) * dim),
-                        pa.array(sums.ravel()),
-                    ),
-                ],
-                names=[key, "n", "total"],
-            )
-
-    partials = df.select(key, v).filter(F.col(v).isNotNull()).mapInArrow(partial, partial_type)
-    summed = (
-        partials.select(key, "n", F.posexplode("total").alias("_d", "_x"))
-        .groupBy(key, "_d")
-        .agg(F.sum("n").alias("n"), F.sum("_x").alias("_x"))
+    rows = df.filter(F.col(v).isNotNull() & F.col(key).isNotNull()).select(
+        key, F.lit(1).cast("bigint").alias("n"), F.col(v).alias("total")
     )
-    return (
-        summed.groupBy(key)
-        .agg(
-            F.max("n").alias("n"),
-            F.array_sort(F.collect_list(F.struct("_d", "_x"))).alias("_s"),
-        )
-        .select(key, "n", F.transform("_s", lambda s: s["_x"]).alias("total"))
+    salt = F.when(F.col("n") > 1, F.pmod(F.xxhash64("total"), F.lit(_SALTS))).otherwise(0)
+    parts = (
+        rows.mapInArrow(_add_up, schema)
+        .withColumn("_salt", salt)
+        .repartition(key, "_salt")
+        .sortWithinPartitions(key)
+        .select(key, "n", "total")
+        .mapInArrow(_add_up, schema)
+    )
+    lists = parts.groupBy(key).agg(
+        F.sum("n").alias("n"), F.collect_list("total").alias("_totals")
+    )
+    total = F.aggregate(
+        F.slice("_totals", F.lit(2), F.size("_totals")),
+        F.get("_totals", F.lit(0)),
+        lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b),
     )
+    return lists.select(key, "n", total.alias("total"))
 
 
 def mean_vectors(df: DataFrame, key: str, v: str = "v") -> DataFrame:

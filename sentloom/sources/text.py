@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from sentloom.functions.text import clean_caption, split_sentences, ws_tokens
 from sentloom.schemas import RECORDS
+from sentloom.session import materialize
 
 # Field separators, as regular expressions.
 TAB = "\t"
 FOUR_SPACES = " {4}"
 
+MAX_BROADCAST_BLOCKS = 1_000_000
+
 
 def _patterns(patterns: str | list[str]) -> list[str]:
     parts = patterns.split(",") if isinstance(patterns, str) else patterns
@@ -28,8 +31,10 @@ def read_sentences(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
 
     ``patterns`` are globs, comma-separated or a list; one that matches nothing is an error.
     Large files are read in blocks by many tasks. Inside a block, lines carry consecutive row
-    ids; the line counts of a file's earlier blocks (a table with one row per block) give the
-    block's first line number. No line is moved or sorted for this.
+    ids; the line counts of a file's earlier blocks give the block's first line number. The
+    counts are taken at once, by a scan that builds no text, and stored: one row per block, sent
+    to every task while there are at most a million (more than 100 TB in blocks of 128 MB). No
+    line is moved or sorted.
     """
     # lineSep is set so that only line feeds end a line.
     lines = (
@@ -47,7 +52,7 @@ def read_sentences(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = (
+    blocks = materialize(
         lines.groupBy("file", "_block")
         .agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
         .select(
@@ -56,6 +61,8 @@ def read_sentences(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
+    if blocks.count() <= MAX_BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
     return lines.join(blocks, ["file", "_block"]).select(
         "file", (F.col("_row") + F.col("_shift")).alias("pos"), "text"
     )
