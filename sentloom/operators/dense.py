@@ -19,6 +19,9 @@ from sentloom.operators.lookup import fits, shared_matrix
 # Fixed value: added to the variance in layer normalisation.
 LAYER_NORM_EPSILON = 1e-12
 
+# State values worked on at a time.
+_STATE_VALUES = 2 << 20
+
 
 def _rows(lists: pa.Array) -> np.ndarray:
     """List column of equal lengths → matrix, in double."""
@@ -86,17 +89,21 @@ def _final_states(
     matrix: np.ndarray, words: np.ndarray, starts: np.ndarray, k: GruWeights, reverse: bool
 ) -> np.ndarray:
     """Last state per sentence. Sentences are ordered by length, so that each time step works
-    on the sentences that still have words, without padding."""
+    on the sentences that still have words, without padding; a slice of them at a time bounds
+    the memory for wide states."""
     sizes = np.diff(starts)
-    order = np.argsort(-sizes, kind="stable")
-    begin, size = starts[:-1][order], sizes[order]
-    h = np.zeros((len(order), k.units))
-    for t in range(int(size[0]) if len(size) else 0):
-        active = int(np.searchsorted(-size, -t, "left"))
-        at = begin[:active] + (size[:active] - 1 - t if reverse else t)
-        h[:active] = _step(matrix[words[at]].astype(np.float64), h[:active], k)
-    states = np.empty_like(h)
-    states[order] = h
+    states = np.zeros((len(sizes), k.units))
+    longest_first = np.argsort(-sizes, kind="stable")
+    step = max(1, _STATE_VALUES // k.units)
+    for at in range(0, len(sizes), step):
+        order = longest_first[at : at + step]
+        begin, size = starts[order], sizes[order]
+        h = np.zeros((len(order), k.units))
+        for t in range(int(size[0])):
+            active = int(np.searchsorted(-size, -t, "left"))
+            place = begin[:active] + (size[:active] - 1 - t if reverse else t)
+            h[:active] = _step(matrix[words[place]].astype(np.float64), h[:active], k)
+        states[order] = h
     return states
 
 

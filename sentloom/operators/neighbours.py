@@ -23,6 +23,8 @@ from sentloom.operators.expand import gram_sums
 DIGITS = 10
 # Elements of one partial block product (32 MB).
 _TILE = 4 << 20
+# Vectors of one block, in double.
+_BLOCK_BYTES = 64 << 20
 
 
 def _unit_rows(lists: pa.ChunkedArray) -> np.ndarray:
@@ -41,10 +43,14 @@ def _best(sims: np.ndarray, k: int) -> np.ndarray:
     return above | (equal & (equal.cumsum(axis=1, dtype=np.int32) <= room))
 
 
-def _grid_size(df: DataFrame, rows_per_block: int) -> int:
-    n = df.count()
+def _grid_size(df: DataFrame, rows_per_block: int | None) -> int:
+    """Blocks per side. A block holds at most ``rows_per_block`` rows on average; by default as
+    many as fit into 64 MB."""
+    size = df.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n, dim = size["n"], max(size["dim"] or 1, 1)
+    rows = rows_per_block or max(1024, _BLOCK_BYTES // (8 * dim))
     parallel = math.isqrt(df.sparkSession.sparkContext.defaultParallelism)
-    return max(1, math.ceil(n / rows_per_block), min(parallel, n // 1024))
+    return max(1, math.ceil(n / rows), min(parallel, n // 1024))
 
 
 def knn(
@@ -53,7 +59,7 @@ def knn(
     id_col: str = "id",
     v: str = "v",
     include_self: bool = True,
-    rows_per_block: int = 65_536,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
     """(id, neighbour, similarity, rank): the k rows with the largest cosine, from rank 1.
 

@@ -11,6 +11,28 @@ from sentloom.operators.lookup import encode_ids
 from sentloom.operators.windows import cap_per_group
 
 
+def _coded_captions(
+    captions: DataFrame,
+    features: DataFrame,
+    vocab: DataFrame,
+    out: str,
+    oov: str,
+    per_clip: int,
+    max_len: int,
+    add_eos: bool,
+    order: str | list[str],
+) -> DataFrame:
+    """Captions without feature go first, then the cap counts, then the length rule. The semi
+    join and the cap run on narrow rows, so features join only to the captions that are left."""
+    keys = [order] if isinstance(order, str) else order
+    with_feature = captions.join(features.select("clip_id"), "clip_id", "left_semi")
+    capped = cap_per_group(with_feature, "clip_id", keys, per_clip)
+    short = capped.filter(shorter_than("tokens", max_len))
+    return encode_ids(short, vocab, oov, "tokens", out, add_eos, key=["clip_id", *keys]).drop(
+        "tokens"
+    )
+
+
 def image_records(
     captions: DataFrame,
     features: DataFrame,
@@ -21,21 +43,34 @@ def image_records(
     add_eos: bool = True,
     order: str | list[str] = "pos",
 ) -> DataFrame:
-    """(clip_id, order, sentence, image) from (clip_id, order, tokens) and (clip_id, v).
+    """(clip_id, order, sentence, image) from (clip_id, order, tokens) and (clip_id, v)."""
+    coded = _coded_captions(
+        captions, features, vocab, "sentence", oov, per_clip, max_len, add_eos, order
+    )
+    return caption_features(coded, features.select("clip_id", F.col("v").alias("image")))
 
-    Captions without feature go first, then the cap counts, then the length rule: the semi
-    join and the cap run on narrow rows, features join only to the captions that are left.
-    """
-    keys = [order] if isinstance(order, str) else order
-    with_feature = captions.join(features.select("clip_id"), "clip_id", "left_semi")
-    capped = cap_per_group(with_feature, "clip_id", keys, per_clip)
-    short = capped.filter(shorter_than("tokens", max_len))
-    coded = encode_ids(
-        short, vocab, oov, "tokens", "sentence", add_eos, key=["clip_id", *keys]
-    ).drop("tokens")
-    return caption_features(
-        coded, features.select("clip_id", F.col("v").alias("image")), "clip_id"
+
+def clip_records(
+    captions: DataFrame,
+    clips: DataFrame,
+    vocab: DataFrame,
+    oov: str = "drop",
+    per_clip: int = 40,
+    max_len: int = 30,
+    add_eos: bool = True,
+    order: str | list[str] = "pos",
+) -> DataFrame:
+    """(clip_id, order, encode, clip, nb_frames) from (clip_id, order, tokens) and (clip_id,
+    frames); the frames are flattened."""
+    coded = _coded_captions(
+        captions, clips, vocab, "encode", oov, per_clip, max_len, add_eos, order
+    )
+    flat = clips.select(
+        "clip_id",
+        F.flatten("frames").alias("clip"),
+        F.size("frames").cast("bigint").alias("nb_frames"),
     )
+    return caption_features(coded, flat)
 
 
 def pair_records(

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from sentloom.functions.text import ws_tokens
 from sentloom.operators.lookup import MAX_BROADCAST_BYTES, append_eos, encode_ids, fits, id_encoder
-from sentloom.operators.rank import assign_shards
 from sentloom.operators.vocab import build_vocab, word_counts
 from sentloom.operators.windows import neighbours, row_triples, usable_triple
 from sentloom.session import materialize
-from sentloom.sources.sinks import write_shards, write_vocab, write_word_counts
+from sentloom.sources.sinks import write_splits, write_vocab, write_word_counts
 from sentloom.sources.text import sentence_arrays
 
 PARTS = ["decode_pre", "encode", "decode_post"]
@@ -123,18 +122,15 @@ def write_corpus(
         vocab = materialize(build_vocab(counts, num_words))
     write_vocab(vocab, f"{path}/vocab")
     records = id_triples(tokens, vocab, group, order, "tokens", oov, max_len)
-    placed = materialize(
-        assign_shards(
-            records,
-            group,
-            order,
-            seed=seed,
-            n_validation=n_validation,
-            train_shards=train_shards,
-            validation_shards=validation_shards,
-        )
+    write_splits(
+        records,
+        path,
+        "triple",
+        group,
+        order,
+        n_validation=n_validation,
+        train_shards=train_shards,
+        validation_shards=validation_shards,
+        seed=seed,
     )
-    for split, n in (("train", train_shards), ("validation", validation_shards)):
-        part = placed.filter(F.col("split") == split).select(*PARTS, "rank", "shard")
-        write_shards(part, f"{path}/{split}", split, n)
     return vocab

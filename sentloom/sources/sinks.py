@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentloom.operators.rank import hash_ranked, shard_of, shuffle_key
+from sentloom.operators.rank import assign_shards, hash_ranked, shard_of, shuffle_key
+from sentloom.schemas import RECORDS
+from sentloom.session import materialize
+
+
+def to_records(df: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """The typed fields of a record kind, and the columns to keep beside them."""
+    if kind not in RECORDS:
+        raise ValueError(f"kind must be one of {sorted(RECORDS)}, not {kind!r}")
+    fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in RECORDS[kind]]
+    return df.select(*fields, *keep)
 
 
 def write_shards(
@@ -42,6 +52,38 @@ def shards(df: DataFrame, n_shards: int, *id_cols: str, seed: int = 123) -> Data
     )
 
 
+def write_splits(
+    records: DataFrame,
+    path: str,
+    kind: str,
+    *id_cols: str,
+    n_validation: int = 50_000,
+    train_shards: int = 100,
+    validation_shards: int = 1,
+    seed: int = 123,
+) -> None:
+    """Records in seeded order, split by count, as ``train`` and ``validation`` shards."""
+    placed = materialize(
+        to_records(
+            assign_shards(
+                records,
+                *id_cols,
+                seed=seed,
+                n_validation=n_validation,
+                train_shards=train_shards,
+                validation_shards=validation_shards,
+            ),
+            kind,
+            "split",
+            "rank",
+            "shard",
+        )
+    )
+    for split, n in (("train", train_shards), ("validation", validation_shards)):
+        part = placed.filter(F.col("split") == split).drop("split")
+        write_shards(part, f"{path}/{split}", split, n)
+
+
 def write_vocab(vocab: DataFrame, path: str) -> None:
     """(word, id) in id order."""
     vocab.select("word", "id").orderBy("id").write.mode("overwrite").parquet(path)

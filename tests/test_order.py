@@ -114,6 +114,7 @@ def test_whole_corpus_job(spark, tmp_path):
     train = read_records(spark, f"{tmp_path}/train/shard=*", "triple")
     held = read_records(spark, f"{tmp_path}/validation/shard=*", "triple")
     assert (train.count(), held.count()) == (3 * 28 - 10, 10)
+    assert all(len(r["encode"]) == 3 for r in train.union(held).collect())
     assert spark.read.parquet(f"{tmp_path}/vocab").count() == vocab.count() == 2 + 12
     counts = spark.read.parquet(f"{tmp_path}/counts")
     assert counts.agg(F.sum("n")).first()[0] == 270

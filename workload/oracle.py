@@ -313,6 +313,20 @@ sql(
         WHERE rn <= 40 AND len(tokens) < 30""",
     coded=ids_of("corpus", "doc_id, pos", "tokens", "drop"),
 )
+sql(
+    "captions_clips",
+    ["vocab"],
+    f"""SELECT c.doc_id AS clip_id, c.pos, f.n AS nb_frames, {joined('k.ids')} AS encode,
+           {outline('f.clip')}
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM corpus) c
+        JOIN coded k ON k.doc_id = c.doc_id AND k.pos = c.pos
+        JOIN (SELECT rk // 8 AS clip_id, count(*) AS n,
+                     flatten(list(embedding ORDER BY rk)) AS clip
+              FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS rk
+                    FROM embeddings) GROUP BY rk // 8) f ON f.clip_id = c.doc_id
+        WHERE rn <= 40 AND len(tokens) < 30""",
+    coded=ids_of("corpus", "doc_id, pos", "tokens", "unk"),
+)
 sql("captions_positional", [], f"""
     SELECT conv_id, turn, position, i.doc_id, {outline('e.embedding')}
     FROM (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS position

@@ -324,6 +324,26 @@ def captions_features(spark, sf):
     return found.select("clip_id", "pos", joined("sentence").alias("sentence"), *outline("image"))
 
 
+def _clips(spark, sf) -> DataFrame:
+    """(clip_id, frames): eight vectors in order are the frames of one clip."""
+    frames = assign_batches(fx.embeddings(spark, sf), 8, "vec_id")
+    return frames.groupBy(F.col("batch").alias("clip_id")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("row", "v"))), lambda s: s["v"]
+        ).alias("frames")
+    )
+
+
+@query
+def captions_clips(spark, sf):
+    found = caption_plans.clip_records(
+        fx.captions(spark, sf), materialize(_clips(spark, sf)), fx.vocab(spark, sf), "unk"
+    )
+    return found.select(
+        "clip_id", "pos", "nb_frames", joined("encode").alias("encode"), *outline("clip")
+    )
+
+
 @query
 def captions_positional(spark, sf):
     # i-th turn with the i-th labelled document, whose id names the image row.
@@ -377,19 +397,15 @@ def shards(spark, sf):
 
 @query
 def stored_records(spark, sf):
-    """Shards written and read again as records of their kind."""
-    coded = encode_ids(fx.turn_pairs(spark, sf).withColumns(
-        {"s1": X.ws_tokens("s1"), "s2": X.ws_tokens("s2")}
-    ), fx.vocab(spark, sf), "unk", ["s1", "s2"], ["i1", "i2"])
-    records = coded.select(
-        "conv_id",
-        "turn",
-        F.col("i1").cast("array<bigint>").alias("s1"),
-        F.col("i2").cast("array<bigint>").alias("s2"),
+    """Pairs written as shards and read again as records of their kind."""
+    tokens = {"t1": X.ws_tokens("s1"), "t2": X.ws_tokens("s2")}
+    pairs = fx.turn_pairs(spark, sf).withColumns(tokens).drop("s1", "s2")
+    coded = encode_ids(pairs, fx.vocab(spark, sf), "unk", ["t1", "t2"], ["s1", "s2"])
+    placed = sinks.to_records(
+        sinks.shards(coded, 10, "conv_id", "turn"), "pair", "rank", "shard"
     )
-    placed = materialize(sinks.shards(records, 10, "conv_id", "turn"))
     path = _fresh_path(spark)
-    sinks.write_shards(placed.select("s1", "s2", "rank", "shard"), path, "pairs", 10)
+    sinks.write_shards(placed, path, "pairs", 10)
     stored = sources.read_records(spark, [f"{path}/shard=pairs-*"], "pair")
     return stored.select(joined("s1").alias("s1"), joined("s2").alias("s2"))
 
@@ -509,14 +525,8 @@ def mean_pool(spark, sf):
 @query
 def padded_clips(spark, sf):
     """Clips of eight frames in order, padded to ten, flattened; and their mean."""
-    frames = assign_batches(fx.embeddings(spark, sf), 8, "vec_id")
-    clips = frames.groupBy("batch").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("row", "v"))), lambda s: s["v"]
-        ).alias("frames")
-    )
-    return clips.select(
-        "batch",
+    return _clips(spark, sf).select(
+        F.col("clip_id").alias("batch"),
         F.size("frames").alias("n"),
         F.size(A.pad_flat("frames", 10, 64)).alias("padded"),
         *outline(V.mean_pool("frames", 64)),
