@@ -39,9 +39,11 @@ def build_vocab(counts: DataFrame, num_words: int = 200_000) -> DataFrame:
     words = top.select(
         "word", (F.row_number().over(Window.orderBy(*order)) + 1).cast("int").alias("id")
     )
-    specials = counts.sparkSession.createDataFrame(
-        [(EOS, EOS_ID), (UNK, UNK_ID)], "word string, id int"
+    special = F.array(
+        F.struct(F.lit(EOS).alias("word"), F.lit(EOS_ID).alias("id")),
+        F.struct(F.lit(UNK).alias("word"), F.lit(UNK_ID).alias("id")),
     )
+    specials = counts.sparkSession.range(1).select(F.inline(special))
     # A corpus word spelled like a special keeps its later id, as in an ordered mapping.
     return specials.unionByName(words).groupBy("word").agg(F.max("id").alias("id"))
 
