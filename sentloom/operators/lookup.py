@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from sentloom import EOS_ID, UNK, UNK_ID
 from sentloom.operators.joins import salted_join
 
-MAX_BROADCAST_BYTES = 256 << 20
+# Every Python worker holds its own copy of a broadcast word table.
+MAX_BROADCAST_BYTES = 128 << 20
 
 
 def _check_oov(oov: str) -> None:

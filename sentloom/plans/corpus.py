@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentloom.functions.text import ws_tokens
 from sentloom.operators.lookup import MAX_BROADCAST_BYTES, append_eos, encode_ids, fits, id_encoder
+from sentloom.operators.rank import limit_ordered
 from sentloom.operators.vocab import build_vocab, word_counts
 from sentloom.operators.windows import neighbours, row_triples, usable_triple
 from sentloom.session import materialize
@@ -38,10 +39,13 @@ def id_triples(
     oov: str = "unk",
     max_len: int = 30,
     add_eos: bool = False,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Id triples of a sentence table. Each sentence is encoded once, before the window, and
     the window carries ids and the token count (the length rule looks at tokens)."""
-    coded = encode_ids(sentences, vocab, oov, tokens, "_ids", add_eos, key=[group, order])
+    coded = encode_ids(
+        sentences, vocab, oov, tokens, "_ids", add_eos, [group, order], max_bytes
+    )
     item = F.struct(F.size(tokens).alias("n"), F.col("_ids").alias("ids"))
     near = neighbours(coded.select(group, order, item.alias("_item")), group, order, "_item")
     items = {"decode_pre": "previous", "encode": "_item", "decode_post": "next"}
@@ -62,16 +66,18 @@ def text_id_triples(
     oov: str = "unk",
     max_len: int = 30,
     add_eos: bool = False,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Id triples of a table of whole texts: one scan, no shuffle.
 
     All sentences of a text are encoded in one array; the triples are cut from it.
     """
-    if not fits(vocab, MAX_BROADCAST_BYTES):
+    if not fits(vocab, max_bytes):
         flat = sentence_arrays(texts, key, text).select(
-            key, F.posexplode("sentences").alias("pos", "tokens")
+            key, F.posexplode_outer("sentences").alias("pos", "tokens")
         )
-        return id_triples(flat, vocab, key, "pos", "tokens", oov, max_len, add_eos)
+        flat = flat.filter(F.col("pos").isNotNull())
+        return id_triples(flat, vocab, key, "pos", "tokens", oov, max_len, add_eos, max_bytes)
     encode = id_encoder(vocab, oov, nested=True)
     coded = sentence_arrays(texts, key, text).withColumn("ids", encode("sentences"))
     # Pair every sentence's ids with its token count, so that the length rule can be applied.
@@ -109,9 +115,11 @@ def write_corpus(
     order: str = "pos",
     text: str = "text",
     vocab: DataFrame | None = None,
+    max_sentences: int = 0,
 ) -> DataFrame:
     """The whole job: counts and vocabulary (unless one is given), triples, split, shards.
 
+    ``max_sentences`` keeps only the first triples in file and line order; 0 keeps all.
     Writes ``counts``, ``vocab``, ``train`` and ``validation`` below ``path``; returns the
     vocabulary.
     """
@@ -122,6 +130,7 @@ def write_corpus(
         vocab = materialize(build_vocab(counts, num_words))
     write_vocab(vocab, f"{path}/vocab")
     records = id_triples(tokens, vocab, group, order, "tokens", oov, max_len)
+    records = limit_ordered(records, max_sentences, group, order)
     write_splits(
         records,
         path,

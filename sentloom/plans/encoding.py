@@ -11,7 +11,7 @@ from sentloom import EOS
 from sentloom.functions.text import append_eos_word, tokenize
 from sentloom.functions.vectors import l2_normalize
 from sentloom.operators.dense import GruWeights, encode_gru
-from sentloom.operators.lookup import encode_bow
+from sentloom.operators.lookup import MAX_BROADCAST_BYTES, encode_bow, fits, lookup_vectors
 from sentloom.operators.pooling import mean_vectors
 
 MODES = ("unk", "drop")
@@ -63,6 +63,9 @@ def encode(
     if model.forward is None:
         coded = encode_bow(rows, model.word_vec, model.oov, "_tokens", out, key)
     else:
+        if not fits(model.word_vec, MAX_BROADCAST_BYTES):
+            rows = lookup_vectors(rows, model.word_vec, model.oov, "_tokens", "_tokens_v", key)
+            rows = rows.drop("_tokens").withColumnRenamed("_tokens_v", "_tokens")
         coded = encode_gru(
             rows, model.word_vec, model.forward, model.backward, model.oov, "_tokens", out
         )

@@ -132,7 +132,10 @@ def read_scored_pairs(
         read.option("header", str(header).lower()).option("enforceSchema", "true").csv(path)
         for path in paths
     ]
-    return reduce(DataFrame.unionByName, parts).select("s1", "s2", "score")
+    # An empty field is an empty sentence, not a missing one.
+    return reduce(DataFrame.unionByName, parts).select(
+        F.coalesce("s1", F.lit("")).alias("s1"), F.coalesce("s2", F.lit("")).alias("s2"), "score"
+    )
 
 
 def union_domains(domains: dict[str, DataFrame]) -> DataFrame:

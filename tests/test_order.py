@@ -116,5 +116,7 @@ def test_whole_corpus_job(spark, tmp_path):
     assert (train.count(), held.count()) == (3 * 28 - 10, 10)
     assert all(len(r["encode"]) == 3 for r in train.union(held).collect())
     assert spark.read.parquet(f"{tmp_path}/vocab").count() == vocab.count() == 2 + 12
+    write_corpus(df, f"{tmp_path}/first", n_validation=0, train_shards=2, vocab=vocab, max_sentences=7)
+    assert read_records(spark, f"{tmp_path}/first/train/shard=*", "triple").count() == 7
     counts = spark.read.parquet(f"{tmp_path}/counts")
     assert counts.agg(F.sum("n")).first()[0] == 270

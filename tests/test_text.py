@@ -92,9 +92,9 @@ def test_scored_pairs(spark, tmp_path):
     ]
     (tmp_path / "plain").write_text("x\ty\t1.0\n")
     plain = sources.read_scored_pairs(spark, [str(tmp_path / "plain")], header=False)
-    both = sources.union_domains({"news": plain, "sick": df})
+    both = sources.union_domains({"news": plain, "trial": df})
     assert {(r["domain"], r["s1"]) for r in both.collect()} == {
-        ("news", "x"), ("sick", 'test "a"'), ("sick", 'train "a"'),
+        ("news", "x"), ("trial", 'test "a"'), ("trial", 'train "a"'),
     }
 
 
@@ -195,7 +195,9 @@ def test_id_triples_of_rows_and_of_texts_agree(spark, vocab):
     from_texts = text_id_triples(docs, vocab, "k", oov="drop", add_eos=True)
     rows = sources.sentences_from_texts(docs, "k").select("k", "pos", X.ws_tokens("text").alias("tokens"))
     from_rows = id_triples(rows, vocab, "k", "pos", oov="drop", add_eos=True)
+    joined = text_id_triples(docs, vocab, "k", oov="drop", add_eos=True, max_bytes=0)
     cols = ("k", "pos", "decode_pre", "encode", "decode_post")
+    assert sorted(values(joined, *cols)) == sorted(values(from_rows, *cols))
     assert sorted(values(from_texts, *cols)) == sorted(values(from_rows, *cols)) == [
         (0, 1, [2, 3, 0], [0], [4, 4, 0]),
         (0, 2, [0], [4, 4, 0], [3, 0]),

@@ -138,6 +138,10 @@ def ids_of(source: str, keys: str, column: str, oov: str, table: str = "vocab")
 # --- sources and text ---------------------------------------------------------------------
 
 sql("sentences", ["sent"], "SELECT doc_id, pos, text FROM sent")
+sql("sentence_files", ["sent"], """
+    SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS rank, text FROM sent""")
+sql("scored_files", ["spairs"], """
+    SELECT replace(s1, chr(9), ' ') AS s1, replace(s2, chr(9), ' ') AS s2, score FROM spairs""")
 sql(
     "ws_tokens",
     ["corpus"],
@@ -504,6 +508,16 @@ sql(
          FROM embeddings""",
     m=summed("f", "batch", "embedding", 64, "avg"),
 )
+sql(
+    "padded_vectors",
+    [],
+    f"""SELECT batch, repeat('1', n) || repeat('0', 10 - n) AS mask, 10 AS padded,
+           {outline("list_resize(frames, 640, 0)")}
+        FROM (SELECT rk // 8 AS batch, CAST(count(*) AS INTEGER) AS n,
+                     flatten(list(embedding ORDER BY rk)) AS frames
+              FROM (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS rk
+                    FROM embeddings) GROUP BY rk // 8)""",
+)
 _ZEROS = "list_transform(range({n}), lambda k: CAST(0 AS DOUBLE))"
 
 

@@ -84,6 +84,31 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return fx.sentences(spark, sf).select("doc_id", "pos", "text")
 
 
+@query
+def sentence_files(spark, sf):
+    """All sentences written to text files in order, and read again with file and line number;
+    the rank over both is the rank in the documents."""
+    path = _fresh_path(spark)
+    rows = fx.sentences(spark, sf).repartitionByRange(4, "doc_id", "pos")
+    rows.sortWithinPartitions("doc_id", "pos").select("text").write.text(path)
+    lines = sources.read_sentences(spark, f"{path}/*.txt")
+    return ranked(lines, "file", "pos").select("rank", "text")
+
+
+@query
+def scored_files(spark, sf):
+    """Scored pairs written as tab-separated lines and read again."""
+    path = _fresh_path(spark)
+    line = F.concat_ws(
+        "\t",
+        F.replace("s1", F.lit("\t"), F.lit(" ")),
+        F.replace("s2", F.lit("\t"), F.lit(" ")),
+        F.col("score").cast("string"),
+    )
+    fx.scored_pairs(spark, sf).select(line).write.text(path)
+    return sources.read_scored_pairs(spark, [path], header=False)
+
+
 @query
 def ws_tokens(spark, sf):
     return fx.corpus(spark, sf).select(
@@ -533,6 +558,17 @@ def padded_clips(spark, sf):
     )
 
 
+@query
+def padded_vectors(spark, sf):
+    """The clips' frames as sequences of vectors, padded to ten, with the mask."""
+    return _clips(spark, sf).select(
+        F.col("clip_id").alias("batch"),
+        joined(A.length_mask(F.size("frames"), 10), "").alias("mask"),
+        F.size(A.pad_vectors("frames", 10, 64)).alias("padded"),
+        *outline(F.flatten(A.pad_vectors("frames", 10, 64))),
+    )
+
+
 @query
 def sentence_bow(spark, sf):
     coded = encode_bow(fx.corpus(spark, sf), fx.word_vec(spark, sf), "drop")
