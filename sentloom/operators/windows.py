@@ -106,19 +106,56 @@ def usable_triple(max_len: int = 30) -> Column:
     return _usable(parts) & _short(parts, max_len)
 
 
-def triple_stats(raw_triples: DataFrame, seen: DataFrame, max_len: int = 30) -> DataFrame:
-    """One row of counters: seen, considered, too long, output.
-
-    ``seen`` is a one-row DataFrame with the column ``sentences_seen``.
-    """
-    parts = [F.col("decode_pre"), F.col("encode"), F.col("decode_post")]
+def triple_stats(near: DataFrame, tokens: str = "tokens", max_len: int = 30) -> DataFrame:
+    """One row of counters (seen, considered, too long, output) over :func:`neighbours` rows."""
+    parts = [F.col("previous"), F.col(tokens), F.col("next")]
     considered, short = _usable(parts), _short(parts, max_len)
-    counts = raw_triples.agg(
+    return near.agg(
+        F.count("*").alias("sentences_seen"),
         F.count_if(considered).alias("sentences_considered"),
         F.count_if(considered & ~short).alias("sentences_too_long"),
         F.count_if(considered & short).alias("sentences_output"),
     )
-    return counts.select(seen.scalar().alias("sentences_seen"), "*")
+
+
+def row_triple_stats(
+    df: DataFrame, sentences: str = "sentences", max_len: int = 30
+) -> DataFrame:
+    """The same counters when a row holds all sentences of its file: one scan, no explode."""
+    sizes = F.transform(sentences, F.size)
+    inner = F.greatest(F.size("_sizes") - 2, F.lit(0))
+    # The longest and the shortest of each three neighbours decide.
+    spans = F.zip_with(
+        F.zip_with(
+            F.slice("_sizes", F.lit(1), inner),
+            F.slice("_sizes", F.lit(2), inner),
+            lambda a, b: F.struct(F.least(a, b).alias("least"), F.greatest(a, b).alias("most")),
+        ),
+        F.slice("_sizes", F.lit(3), inner),
+        lambda s, c: F.struct(
+            F.least(s["least"], c).alias("least"), F.greatest(s["most"], c).alias("most")
+        ),
+    )
+    considered = F.filter("_spans", lambda s: s["least"] > 0)
+    output = F.filter(
+        "_spans",
+        lambda s: (s["least"] > 0) & ((s["most"] < max_len) if max_len else F.lit(True)),
+    )
+    per_row = (
+        df.select(sizes.alias("_sizes"))
+        .select("_sizes", spans.alias("_spans"))
+        .select(
+            F.size("_sizes").alias("_seen"),
+            F.size(considered).alias("_considered"),
+            F.size(output).alias("_output"),
+        )
+    )
+    return per_row.agg(
+        F.sum("_seen").alias("sentences_seen"),
+        F.sum("_considered").alias("sentences_considered"),
+        (F.sum("_considered") - F.sum("_output")).alias("sentences_too_long"),
+        F.sum("_output").alias("sentences_output"),
+    )
 
 
 def length_stats(df: DataFrame, tokens: list[str], max_len: int = 30) -> DataFrame:

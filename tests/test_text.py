@@ -179,6 +179,15 @@ def test_triples(spark, chunk_rows):
     assert everything.count() == 1 + 7
 
 
+def test_counters_of_rows_and_of_texts_agree(spark):
+    df = sentence_table(spark, FILES)
+    rows = windows.triple_stats(windows.neighbours(df, "file", "pos", "tokens")).first()
+    assert tuple(rows) == (sum(map(len, FILES.values())), 8, 5, 3)
+    by_file = [(f, [t.split() for t in lines]) for f, lines in FILES.items()]
+    arrays = spark.createDataFrame(by_file, "file string, sentences array<array<string>>")
+    assert windows.row_triple_stats(arrays).first() == rows
+
+
 def test_neighbours_with_gaps_in_the_order(spark):
     rows = [("f", p, p) for p in (0, 1, 7, 8, 30, 31, 32, 99)] + [("g", 5, 5)]
     df = spark.createDataFrame(rows, "file string, pos long, x long")

@@ -88,13 +88,13 @@ def scored_pairs(spark, sf) -> DataFrame:
         documents(spark, sf)
         .join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
         .select("doc_id", "lang", F.col("quality").cast("double").alias("score"), parts.alias("s"))
-        .filter(F.size("s") >= 2)
     )
-    n = F.size("s") - 1
+    n = F.greatest(F.size("s") - 1, F.lit(0))
     zipped = F.arrays_zip(
         F.slice("s", F.lit(1), n).alias("s1"), F.slice("s", F.lit(2), n).alias("s2")
     )
-    return rows.select("doc_id", "lang", "score", F.posexplode(zipped).alias("pos", "p")).select(
+    pairs = rows.select("doc_id", "lang", "score", F.posexplode_outer(zipped).alias("pos", "p"))
+    return pairs.filter(F.col("pos").isNotNull()).select(
         "doc_id", "pos", "lang", "p.s1", "p.s2", "score"
     )
 

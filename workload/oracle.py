@@ -283,15 +283,19 @@ sql("turn_triples", ["turns"], f"""
                  lead(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS s FROM turns)
     WHERE len(p) BETWEEN 1 AND 199 AND len(tokens) BETWEEN 1 AND 199
       AND len(s) BETWEEN 1 AND 199""")
-sql("corpus_stats", ["corpus"], """
-    SELECT count(*) AS sentences_seen,
-           count(*) FILTER (ok) AS sentences_considered,
-           count(*) FILTER (ok AND NOT short) AS sentences_too_long,
-           count(*) FILTER (ok AND short) AS sentences_output
-    FROM (SELECT len(p) > 0 AND len(t) > 0 AND len(s) > 0 AS ok,
-                 len(p) < 30 AND len(t) < 30 AND len(s) < 30 AS short
-          FROM (SELECT lag(tokens) OVER w AS p, tokens AS t, lead(tokens) OVER w AS s
-                FROM corpus WINDOW w AS (PARTITION BY doc_id ORDER BY pos)))""")
+for _name, _source, _key, _order, _max in (
+    ("corpus_stats", "corpus", "doc_id", "pos", 30),
+    ("turn_stats", "turns", "conv_id", "turn", 60),
+):
+    sql(_name, [_source], f"""
+        SELECT count(*) AS sentences_seen,
+               count(*) FILTER (ok) AS sentences_considered,
+               count(*) FILTER (ok AND NOT short) AS sentences_too_long,
+               count(*) FILTER (ok AND short) AS sentences_output
+        FROM (SELECT len(p) > 0 AND len(t) > 0 AND len(s) > 0 AS ok,
+                     len(p) < {_max} AND len(t) < {_max} AND len(s) < {_max} AS short
+              FROM (SELECT lag(tokens) OVER w AS p, tokens AS t, lead(tokens) OVER w AS s
+                    FROM {_source} WINDOW w AS (PARTITION BY {_key} ORDER BY {_order})))""")
 sql("pair_stats", ["tpairs"], f"""
     SELECT count(*) AS sentences_considered,
            count(*) FILTER (NOT short) AS sentences_too_long,

@@ -312,9 +312,13 @@ def sentence_row_triples(spark, sf):
 
 @query
 def corpus_stats(spark, sf):
-    arrays = sources.sentence_arrays(fx.documents(spark, sf), "doc_id")
-    seen = arrays.agg(F.sum(F.size("sentences").cast("bigint")).alias("sentences_seen"))
-    return windows.triple_stats(windows.row_triples(arrays, "sentences"), seen)
+    return windows.row_triple_stats(sources.sentence_arrays(fx.documents(spark, sf), "doc_id"))
+
+
+@query
+def turn_stats(spark, sf):
+    near = windows.neighbours(fx.turns(spark, sf), "conv_id", "turn", "tokens")
+    return windows.triple_stats(near, max_len=60)
 
 
 @query
