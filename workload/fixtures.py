@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentloom.functions.text import ws_tokens
+from sentloom.functions.text import split_sentences, ws_tokens
 from sentloom.operators.rank import assign_batches
+from sentloom.operators.windows import adjacent_pairs
 from sentloom.plans.corpus import text_vocab
 from sentloom.session import materialize
 from sentloom.sources.tables import read_texts
@@ -72,8 +73,6 @@ def features(spark, sf) -> DataFrame:
 
 def turn_pairs(spark, sf) -> DataFrame:
     """(conv_id, turn, s1, s2): each turn with the next one."""
-    from sentloom.operators.windows import adjacent_pairs
-
     rows = turns(spark, sf).select("conv_id", "turn", F.lower("text").alias("text"))
     return adjacent_pairs(rows, "conv_id", "turn", "text")
 
@@ -81,8 +80,6 @@ def turn_pairs(spark, sf) -> DataFrame:
 def scored_pairs(spark, sf) -> DataFrame:
     """(doc_id, pos, lang, s1, s2, score): sentences that follow each other, with the document's
     quality as score."""
-    from sentloom.functions.text import split_sentences
-
     parts = split_sentences(F.lower("text"))
     rows = (
         documents(spark, sf)

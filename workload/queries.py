@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -440,8 +442,6 @@ def stored_records(spark, sf):
 
 
 def _fresh_path(spark) -> str:
-    import uuid
-
     return f"{checkpoint_root(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
 
 
