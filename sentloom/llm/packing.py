@@ -110,7 +110,7 @@ class WordTokenizer:
             if None in found:
                 if len(self.cache) > CACHE_WORDS:
                     self.cache.clear()
-                self._learn(set(parts) - self.cache.keys())
+                self._learn({part for part in parts if part not in self.cache})
                 found = list(map(self.cache.__getitem__, parts))
             yield b"".join(found)
 
