@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentloom.llm.common import slices
+from sentloom.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 N_LABELS = len(KINDS) + 1  # 0: none of them
@@ -244,14 +245,13 @@ def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
 
 def fit_field(df: DataFrame, id_col: str, text_col: str, n_documents: int = FIT_DOCUMENTS) -> Field:
     """Fit on the first ``n_documents`` of the documents with candidates, in an order by hash: a
-    sample of documented size, the same on every cluster."""
-    sample = (
-        df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-        .filter(F.col("text").rlike("[0-9@]"))
-        .orderBy(F.md5(F.coalesce("id", F.lit(""))), F.length("text"), "text")
-        .limit(n_documents)
-    )
-    graphs = [Graph(row.text, base_spans(row.text)) for row in sample.toLocalIterator()]
+    sample of documented size, the same on every cluster. Hashes alone are sorted; the texts are
+    then fetched by them."""
+    rows = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
+    rows = rows.filter(F.col("text").rlike("[0-9@]"))
+    first = materialize(rows.select("hash").orderBy("hash").limit(n_documents)).distinct()
+    sample = rows.join(F.broadcast(first), "hash").select("text").limit(n_documents)
+    graphs = [Graph(row.text, base_spans(row.text)) for row in sample.orderBy(F.md5("text")).collect()]
     return Field.fit(graphs)
 
 
