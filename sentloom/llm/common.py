@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentloom.session import materialize
+
 #: A key with more than one row in HOT_SHARE counts as hot, so there are fewer than HOT_SHARE.
 HOT_SHARE = 1000
 #: Texts handled at once inside an Arrow function, in bytes.
@@ -28,45 +30,48 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+def lookup_join(
+    left: DataFrame, right: DataFrame, key: str, count: str, spread: str
+) -> DataFrame:
     """Left join with a ``right`` of one row per ``key``; ``count`` says how many rows of ``left``
-    have it. No hot key meets in one task.
+    have it, ``spread`` names a column of ``left`` with many values. No hot key meets in one task.
 
     By counting, fewer than ``HOT_SHARE`` keys can have over one in ``HOT_SHARE`` of the rows.
-    Those keys' rows of ``right`` are broadcast; their rows of ``left`` go through the shuffle
-    under a key of no match, dealt out by chance.
+    Those keys' rows of ``right`` are broadcast; their rows of ``left``, and those of no key, go
+    through the shuffle under a key of no match, dealt out by ``spread``.
     """
     found = [c for c in right.columns if c not in (key, count)]
-    total = right.agg(F.sum(count).alias("_total"))
-    hot = (
-        right.join(F.broadcast(total), F.col(count) * HOT_SHARE > F.col("_total"))
-        .select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in found])
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = right.filter(F.col(count) * HOT_SHARE > total).select(
+        F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in found]
+    )
+    cold = right.select(
+        F.struct(F.col(key).alias("key"), F.lit(0).cast("bigint").alias("salt")).alias("_lookup"),
+        *[F.col(c).alias(f"_cold_{c}") for c in found],
     )
-    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    kind = left.schema[key].dataType.simpleString()
-    if kind == "string":
-        nowhere = F.concat(F.lit("~"), F.spark_partition_id(), F.lit("~"), F.rand(7))
-        dealt = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(nowhere)
-        other_key = F.col(key)
-    else:
-        dealt = F.struct(
-            F.when(F.col("_hot").isNull(), F.col(key)).alias("key"),
-            F.when(F.col("_hot").isNotNull(), F.floor(F.rand(7) * 1e6)).otherwise(0).alias("salt"),
-        )
-        other_key = F.struct(F.col(key).alias("key"), F.lit(0).cast("bigint").alias("salt"))
-    other = right.select(other_key.alias("_key"), *[F.col(c).alias(f"_cold_{c}") for c in found])
-    joined = marked.withColumn("_dealt", dealt).join(
-        other, F.col("_dealt") == F.col("_key"), "left"
+    matched = F.col("_hot").isNull() & F.col(key).isNotNull()
+    elsewhere = F.xxhash64(spread, F.spark_partition_id()).bitwiseOR(F.lit(1).cast("bigint"))
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_dealt",
+        F.struct(
+            F.col(key).alias("key"),
+            F.when(matched, F.lit(0).cast("bigint")).otherwise(elsewhere).alias("salt"),
+        ),
     )
+    joined = marked.join(cold, F.col("_dealt") == F.col("_lookup"), "left")
     return joined.select(
         *left.columns,
-        *[
-            F.when(F.col("_hot").isNull(), F.col(f"_cold_{c}")).otherwise(F.col(f"_hot_{c}")).alias(c)
-            for c in found
-        ],
+        *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in found],
     )
 
 
+def hash_sample(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (columns ``hash`` and any others) of the least hashes: a sample of bounded
+    size, the same on every cluster. Only hashes are sorted; the rows are fetched by them."""
+    first = materialize(rows.select("hash").orderBy("hash").limit(n)).distinct()
+    return rows.join(F.broadcast(first), "hash").limit(n)
+
+
 def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch of about ``SLICE_BYTES``, each with its texts as UTF-8 (null: empty)."""
     values = batch.column(column)

@@ -1,3 +1,66 @@
 """DuckDB SQL for the queries of this subpackage that SQL can state on whole tables."""
 
-ORACLES: dict[str, str] = {}
+OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d
+  FROM pages),
+g AS (SELECT d, max(page_id) AS last FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM p LEFT JOIN g ON p.d = g.d AND p.n >= 1000
+"""
+
+OP4 = r"""
+WITH u AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path
+  FROM pages),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+f AS (
+  SELECT page_id, arg_max({'rule': h || p, 'verdict': v}, length(h || p)) AS best
+  FROM u JOIN r ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
+  GROUP BY page_id)
+SELECT u.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
+FROM u LEFT JOIN f USING (page_id)
+"""
+
+OP7 = r"""
+WITH c AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS turns
+  FROM conversations GROUP BY conv_id),
+k AS (
+  SELECT conv_id, turns[1:list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant'))] AS chosen,
+    list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS n
+  FROM c),
+p AS (
+  SELECT a.conv_id,
+    CASE WHEN a.n IS NULL THEN [] ELSE a.chosen END AS x,
+    CASE WHEN a.n IS NULL OR b.n IS NULL THEN [] ELSE list_concat(a.chosen[1:a.n - 1], [b.chosen[b.n]]) END AS y
+  FROM k a LEFT JOIN k b ON b.conv_id = xor(a.conv_id, 1)),
+q AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(x), len(y)) + 1),
+    lambda i: x[i].role <> y[i].role OR x[i].text <> y[i].text)) - 1, least(len(x), len(y))) AS n FROM p),
+w AS (SELECT conv_id, n, x[1:n] AS a, x[n + 1:len(x)] AS b, y[n + 1:len(y)] AS d FROM q),
+s AS (
+  SELECT conv_id, n,
+    list_transform(a, lambda t: '<|' || replace(t.role, '<|', '< |') || '|>' || chr(10) || replace(t.text, '<|', '< |') || '<|end|>' || chr(10)) AS sa,
+    list_transform(b, lambda t: {'h': '<|' || replace(t.role, '<|', '< |') || '|>' || chr(10), 'b': replace(t.text, '<|', '< |') || '<|end|>', 'm': t.role = 'assistant'}) AS sb,
+    list_transform(d, lambda t: {'h': '<|' || replace(t.role, '<|', '< |') || '|>' || chr(10), 'b': replace(t.text, '<|', '< |') || '<|end|>', 'm': t.role = 'assistant'}) AS sd
+  FROM w)
+SELECT conv_id, n AS prompt_turns, coalesce(array_to_string(sa, ''), '') AS prompt,
+  coalesce(array_to_string(list_transform(sb, lambda t: t.h || t.b || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(sd, lambda t: t.h || t.b || chr(10)), ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(sb) + 1), lambda i: sb[i].m), lambda i:
+    (coalesce(list_sum(list_transform(sb[1:i - 1], lambda t: length(t.h) + length(t.b) + 1)), 0) + length(sb[i].h))::BIGINT::VARCHAR || '-' ||
+    (coalesce(list_sum(list_transform(sb[1:i - 1], lambda t: length(t.h) + length(t.b) + 1)), 0) + length(sb[i].h) + length(sb[i].b))::BIGINT::VARCHAR), ','), '') AS chosen_mask,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(sd) + 1), lambda i: sd[i].m), lambda i:
+    (coalesce(list_sum(list_transform(sd[1:i - 1], lambda t: length(t.h) + length(t.b) + 1)), 0) + length(sd[i].h))::BIGINT::VARCHAR || '-' ||
+    (coalesce(list_sum(list_transform(sd[1:i - 1], lambda t: length(t.h) + length(t.b) + 1)), 0) + length(sd[i].h) + length(sd[i].b))::BIGINT::VARCHAR), ','), '') AS rejected_mask
+FROM s
+"""
+
+ORACLES: dict[str, str] = {"op3_warc": OP3, "op4_urls": OP4, "op7_chat": OP7}

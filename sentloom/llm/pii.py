@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentloom.llm.common import slices
-from sentloom.session import materialize
+from sentloom.llm.common import hash_sample, slices
 
 KINDS = ("email", "ip", "card", "phone")
 N_LABELS = len(KINDS) + 1  # 0: none of them
@@ -249,8 +248,7 @@ def fit_field(df: DataFrame, id_col: str, text_col: str, n_documents: int = FIT_
     then fetched by them."""
     rows = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
     rows = rows.filter(F.col("text").rlike("[0-9@]"))
-    first = materialize(rows.select("hash").orderBy("hash").limit(n_documents)).distinct()
-    sample = rows.join(F.broadcast(first), "hash").select("text").limit(n_documents)
+    sample = hash_sample(rows, n_documents).select("text")
     graphs = [Graph(row.text, base_spans(row.text)) for row in sample.orderBy(F.md5("text")).collect()]
     return Field.fit(graphs)
 

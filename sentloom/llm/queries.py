@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentloom.llm import decontam, packing, pii, quality, simhash
+from sentloom.llm import chat, decontam, langid, packing, pii, quality, sharding, simhash, urls, warc
 from sentloom.llm.common import table
 
 
@@ -30,6 +30,33 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.with_references(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    manifest = warc.write_warc(records, warc.archive_folder(spark))
+    found = warc.read_warc(manifest, payloads=False)
+    return found.select(
+        F.col("page_id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = urls.build_index(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    return urls.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), index)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -54,6 +81,28 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.collect_turns(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    found = chat.format_preferences(chat.answer_pairs(turns))
+
+    def joined(spans: str):
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ","
+        )
+
+    return found.select(
+        "conv_id", F.col("prompt_turns").cast("bigint").alias("prompt_turns"), "prompt", "chosen", "rejected",
+        joined("chosen_spans").alias("chosen_mask"), joined("rejected_spans").alias("rejected_mask"),
+    )
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.document_shards(table(spark, sf_dir, "documents", "doc_id", "text", "source"), 8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -66,10 +115,19 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
+    "op4_urls": op4_urls,
     "op5_personal_data": op5_personal_data,
     "op6_simhash": op6_simhash,
+    "op7_chat": op7_chat,
+    "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
+    "op10_language": op10_language,
 }

@@ -218,4 +218,4 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labelled = rooted.join(smallest, "root").select("fp", "component_id", "n_rows")
-    return lookup_join(rows, labelled, "fp", "n_rows")
+    return lookup_join(rows, labelled, "fp", "n_rows", "doc_id")
