@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentloom.llm.common import hash_sample, slices
+from sentloom.llm.common import free_name, hash_sample, slices
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
@@ -180,7 +180,7 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     names=[*carry, "lang_pred", "score"],
                 )
 
-    return df.select(*carry, F.col(text_col).alias("_text")).mapInArrow(predicted, schema)
+    return df.select(*carry, F.col(text_col).alias(free_name(df, "text"))).mapInArrow(predicted, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

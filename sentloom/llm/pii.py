@@ -254,13 +254,18 @@ def fit_field(df: DataFrame, id_col: str, text_col: str, n_documents: int = FIT_
 
 
 def find_personal_data(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: Field | None = None
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    field: Field | None = None,
+    base_col: str = "base",
+    spans_col: str = "spans",
 ) -> DataFrame:
-    """One row per row of ``df``: all its columns, ``base`` and ``spans``, arrays of
-    (kind, start, end) by kind and start; ``spans`` holds the base spans and the field's.
+    """One row per row of ``df``: all its columns, ``base_col`` and ``spans_col``, arrays of
+    (kind, start, end) by kind and start; the latter holds the base spans and the field's.
 
     Null and empty texts have no spans. Each row stands for itself, whatever its id. An empty
-    table gives an empty result. Columns named ``base`` or ``spans`` are replaced. No shuffle.
+    table gives an empty result. Columns of these two names are replaced. No shuffle.
     """
     fitted = field or fit_field(df, id_col, text_col)
     span = T.ArrayType(
@@ -272,8 +277,8 @@ def find_personal_data(
             ]
         )
     )
-    rows = df.drop(*[c for c in df.columns if c.lower() in ("base", "spans")])
-    schema = T.StructType([*rows.schema.fields, T.StructField("base", span), T.StructField("spans", span)])
+    rows = df.drop(*[c for c in df.columns if c.lower() in (base_col, spans_col)])
+    schema = T.StructType([*rows.schema.fields, T.StructField(base_col, span), T.StructField(spans_col, span)])
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     order = {kind: i for i, kind in enumerate(KINDS)}
 
@@ -290,18 +295,20 @@ def find_personal_data(
                         rows_.append([{"kind": k, "start": a, "end": b} for k, a, b in values])
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(base_rows, arrow_span), pa.array(all_rows, arrow_span)],
-                    names=[*part.schema.names, "base", "spans"],
+                    names=[*part.schema.names, base_col, spans_col],
                 )
 
     return rows.mapInArrow(found, schema)
 
 
-def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(
+    df: DataFrame, text_col: str = "text", base_col: str = "base", spans_col: str = "spans"
+) -> DataFrame:
     """Replace the spans of :func:`find_personal_data` by ``[KIND]``; overlapping spans become one
-    mark, of the first. Adds no column and drops ``base`` and ``spans``."""
+    mark, of the first. Adds no column and drops the two of spans."""
     merged = F.aggregate(
         F.array_sort(
-            F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+            F.transform(spans_col, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
         ),
         F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("done")),
         lambda acc, s: F.when(s["start"] < acc["done"], F.struct(
@@ -318,5 +325,5 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         ),
         lambda acc: F.concat(acc["text"], F.substring(F.col(text_col), (acc["done"] + 1).cast("int"), F.length(text_col))),
     )
-    changed = F.when(F.size("spans") > 0, merged).otherwise(F.col(text_col))
-    return df.withColumn(text_col, changed).drop("base", "spans")
+    changed = F.when(F.size(spans_col) > 0, merged).otherwise(F.col(text_col))
+    return df.withColumn(text_col, changed).drop(base_col, spans_col)

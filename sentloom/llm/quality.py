@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentloom.llm.common import slices
+from sentloom.llm.common import free_name, slices
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 SYMBOLS = b"#*$%&|<>"
@@ -72,7 +72,7 @@ def measure(df: DataFrame, text_col: str, carry: list[str], prefix: str = "") ->
                     names=[*carry, *names],
                 )
 
-    return df.select(*carry, F.col(text_col).alias("_text")).mapInArrow(measured, schema)
+    return df.select(*carry, F.col(text_col).alias(free_name(df, "text"))).mapInArrow(measured, schema)
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,6 +89,8 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_passing(df: DataFrame, version: str = "2", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that pass a policy version, with their columns as they are."""
     prefix = "_quality_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
     found = measure(df, text_col, df.columns, prefix).withColumn(prefix + "failed", failure_bits(prefix))
     return found.filter(passes(version, prefix + "failed")).select(*df.columns)
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from sentloom.llm.common import free_name
 from sentloom.session import checkpoint_root, materialize
 
 SEED = 42  # of Spark's xxhash64
@@ -176,4 +177,4 @@ def judge_urls(df: DataFrame, index: Index, url_col: str = "url", default: str =
                 names=[*carry, *names],
             )
 
-    return df.select(*carry, F.col(url_col).alias("_url")).mapInArrow(judged, schema)
+    return df.select(*carry, F.col(url_col).alias(free_name(df, "url"))).mapInArrow(judged, schema)
