@@ -59,14 +59,6 @@ def softplus(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
 
 
-def log_sigmoid(x: Column) -> Column:
-    return -softplus(-x)
-
-
-def relu(x: Column) -> Column:
-    return F.greatest(x, F.lit(0.0))
-
-
 def mean_pool(frames: Column | str, dim: int) -> Column:
     """Mean of the frame vectors of one clip; NULL for a clip without frames."""
     frames = _col(frames)

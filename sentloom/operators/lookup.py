@@ -9,6 +9,9 @@ together again by row key.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,9 +20,11 @@ from pyspark.sql import types as T
 
 from sentloom import EOS_ID, UNK, UNK_ID
 from sentloom.operators.joins import salted_join
+from sentloom.session import materialize
 
 # Every Python worker holds its own copy of a broadcast word table.
 MAX_BROADCAST_BYTES = 128 << 20
+NO_UNK = f"oov='unk' needs a vector for {UNK}"
 
 
 def _check_oov(oov: str) -> None:
@@ -31,7 +36,7 @@ def fits(table: DataFrame, max_bytes: int) -> bool:
     """Whether a (word, id[, v]) table is small enough to send to every executor."""
     size = F.octet_length("word") + 64
     if "v" in table.columns:
-        size = size + F.size("v") * 4
+        size = size + F.size("v") * 8
     total = table.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"]
     return (total or 0) <= max_bytes
 
@@ -42,6 +47,36 @@ def _starts(lists: pa.ListArray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
+def _known(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and words of a list array; NULL words are left out, as in the join."""
+    starts, words = _starts(lists), lists.flatten()
+    if words.null_count:
+        valid = words.is_valid().to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(valid)])[starts]
+        words = words.drop_null()
+    return starts, words
+
+
+def _keyed(df: DataFrame, key: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """``df`` and its row key; without one, the rows are numbered and stored."""
+    if key:
+        return df, key
+    return materialize(df.withColumn("_row_key", F.monotonically_increasing_id())), ["_row_key"]
+
+
+def _join_back(df: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """Rows meet what was found for their key; a NULL in a key is a value like others."""
+    renamed = found.withColumnsRenamed({k: f"_found_{k}" for k in key})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_found_{k}")) for k in key])
+    return df.join(renamed, same).drop(*[f"_found_{k}" for k in key], "_row_key")
+
+
+def _vector_type(word_vec: DataFrame) -> T.DataType:
+    """The type of the vectors' elements: what goes in comes out."""
+    kind = word_vec.schema["v"].dataType.elementType
+    return kind if isinstance(kind, T.FloatType) else T.DoubleType()
+
+
 def _lookup(words: pa.Array, places: dict, missing: int) -> np.ndarray:
     """Place of each word, by one dictionary lookup per distinct word."""
     coded = words.dictionary_encode()
@@ -68,8 +103,8 @@ def id_encoder(vocab: DataFrame, oov: str, nested: bool = False):
     shared = vocab.sparkSession.sparkContext.broadcast(places)
 
     def encode_lists(tokens: pa.Array) -> pa.Array:
-        starts = _starts(tokens)
-        ids = _lookup(tokens.flatten(), shared.value, UNK_ID if oov == "unk" else -1)
+        starts, words = _known(tokens)
+        ids = _lookup(words, shared.value, UNK_ID if oov == "unk" else -1)
         if oov == "drop":
             known = ids >= 0
             starts = np.concatenate([[0], np.cumsum(known)])[starts]
@@ -107,8 +142,8 @@ def encode_ids(
 
     ``oov="unk"``: unknown words become the unknown id. ``oov="drop"``: they vanish, and the
     end-of-sentence id is appended if asked; a sentence without known words stays, empty.
-    ``vocab`` should be a stored table. ``key`` (unique row key) is needed only for a
-    vocabulary over ``max_bytes``.
+    NULL tokens are left out. ``vocab`` should be a stored table. ``key`` (unique row key) spares a
+    vocabulary over ``max_bytes`` the numbering of the rows; the result is the same.
     """
     _check_oov(oov)
     tokens = [tokens] if isinstance(tokens, str) else tokens
@@ -129,8 +164,7 @@ def encode_ids(
 def _encode_by_join(
     df: DataFrame, vocab: DataFrame, oov: str, tokens: str, out: str, key: list[str] | None
 ) -> DataFrame:
-    if not key:
-        raise ValueError("a vocabulary over the broadcast limit needs key columns")
+    df, key = _keyed(df, key)
     words = df.select(*key, F.posexplode_outer(tokens).alias("_i", "word"))
     found = salted_join(words, vocab.select("word", "id"), "word", [*key, "_i"], "left")
     if oov == "unk":
@@ -145,7 +179,7 @@ def _encode_by_join(
             F.filter(F.transform("_s", lambda s: s["_id"]), lambda x: x.isNotNull()).alias(out),
         )
     )
-    return df.join(ids, key)
+    return _join_back(df, ids, key)
 
 
 def _matrix(word_vec: DataFrame, oov: str) -> tuple[dict, np.ndarray]:
@@ -154,12 +188,13 @@ def _matrix(word_vec: DataFrame, oov: str) -> tuple[dict, np.ndarray]:
     words = rows["word"].to_pylist()
     flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     dim = len(flat) // max(len(words), 1)
-    matrix = np.zeros((len(words) + 1, dim), np.float32)
+    single = isinstance(_vector_type(word_vec), T.FloatType)
+    matrix = np.zeros((len(words) + 1, dim), np.float32 if single else np.float64)
     matrix[:-1] = flat.reshape(len(words), dim)
     places = {w: i for i, w in enumerate(words)}
     if oov == "unk":
         if UNK not in places:
-            raise ValueError(f"oov='unk' needs a vector for {UNK}")
+            raise ValueError(NO_UNK)
         matrix[-1] = matrix[places[UNK]]
     return places, matrix
 
@@ -184,8 +219,8 @@ def _bag_encoder(shared):
     def encode(tokens: pa.Array) -> pa.Array:
         places, matrix = shared.value
         dim = matrix.shape[1]
-        starts = _starts(tokens)
-        rows = _lookup(tokens.flatten(), places, len(matrix) - 1)
+        starts, known = _known(tokens)
+        rows = _lookup(known, places, len(matrix) - 1)
         sums = np.zeros((len(tokens), dim))
         for first, last in _segments(starts, max(1, (4 << 20) // max(dim, 1))):
             filled = np.flatnonzero(np.diff(starts[first : last + 1])) + first
@@ -216,8 +251,7 @@ def encode_bow(
     _check_oov(oov)
     if fits(word_vec, max_bytes):
         return df.withColumn(out, _bag_encoder(shared_matrix(word_vec, oov))(F.col(tokens)))
-    if not key:
-        raise ValueError("a word table over the broadcast limit needs key columns")
+    df, key = _keyed(df, key)
     dim = word_vec.select(F.size("v").alias("n")).first()["n"]
     found = _vectors_by_join(df, word_vec, oov, tokens, key)
     sums = found.groupBy(*key).agg(
@@ -226,9 +260,9 @@ def encode_bow(
                 F.coalesce(F.sum(F.get("_v", F.lit(i)).cast("double")), F.lit(0.0))
                 for i in range(dim)
             ]
-        ).alias(out)
+        ).cast(T.ArrayType(T.DoubleType())).alias(out)
     )
-    return df.join(sums, key)
+    return _join_back(df, sums, key)
 
 
 def _vectors_by_join(
@@ -237,13 +271,16 @@ def _vectors_by_join(
     """(key, _i, word, _v) with the fallback vector of the mode in ``_v``."""
     words = df.select(*key, F.posexplode_outer(tokens).alias("_i", "word"))
     found = salted_join(words, word_vec.select("word", "v"), "word", [*key, "_i"], "left")
+    kind = _vector_type(word_vec)
     if oov == "unk":
+        if word_vec.filter(F.col("word") == UNK).isEmpty():
+            raise ValueError(NO_UNK)
         fallback = word_vec.filter(F.col("word") == UNK).select("v").scalar()
     else:
         dim = word_vec.agg(F.max(F.size("v")).alias("n")).scalar()
-        fallback = F.array_repeat(F.lit(0.0).cast("float"), dim)
+        fallback = F.array_repeat(F.lit(0.0).cast(kind), dim)
     value = F.when(F.col("word").isNotNull(), F.coalesce("v", fallback))
-    return found.select(*key, "_i", "word", value.alias("_v"))
+    return found.select(*key, "_i", "word", value.cast(T.ArrayType(kind)).alias("_v"))
 
 
 def lookup_vectors(
@@ -262,26 +299,22 @@ def lookup_vectors(
 
         def gather(tokens: pa.Array) -> pa.Array:
             places, matrix = shared.value
-            rows = _lookup(tokens.flatten(), places, len(matrix) - 1)
+            starts, known = _known(tokens)
+            rows = _lookup(known, places, len(matrix) - 1)
             offsets = np.arange(len(rows) + 1) * matrix.shape[1]
             vectors = _list_array(offsets, pa.array(matrix[rows].ravel()))
-            return _list_array(_starts(tokens), vectors)
+            return _list_array(starts, vectors)
 
-        encode = F.arrow_udf(gather, T.ArrayType(T.ArrayType(T.FloatType())))
+        encode = F.arrow_udf(gather, T.ArrayType(T.ArrayType(_vector_type(word_vec))))
         return df.withColumn(out, encode(F.col(tokens)))
-    if not key:
-        raise ValueError("a word table over the broadcast limit needs key columns")
+    df, key = _keyed(df, key)
     found = _vectors_by_join(df, word_vec, oov, tokens, key)
     seqs = found.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_s")
     )
-    return df.join(
-        seqs.select(
-            *key,
-            F.filter(F.transform("_s", lambda s: s["_v"]), lambda v: v.isNotNull()).alias(out),
-        ),
-        key,
-    )
+    kind = T.ArrayType(T.ArrayType(_vector_type(word_vec)))
+    vectors = F.filter(F.transform("_s", lambda s: s["_v"]), lambda v: v.isNotNull())
+    return _join_back(df, seqs.select(*key, vectors.cast(kind).alias(out)), key)
 
 
 def lookup_ids(

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from sentloom.functions.vectors import (
     NORM_EPSILON,
     dot,
-    log_sigmoid,
     softplus,
     squared_distance,
 )
@@ -192,10 +191,3 @@ def weighted_total(metrics: DataFrame, weights: dict[str, float]) -> DataFrame:
         if w > 0:
             weight = F.when(F.col("metric") == name, F.lit(float(w))).otherwise(weight)
     return metrics.agg(F.sum(weight * F.col("value")).alias("total"))
-
-
-def sampling_score(positive: Column, negatives: Column) -> Column:
-    """ln σ(positive) + Σ ln σ(-negative)"""
-    return F.aggregate(
-        negatives, log_sigmoid(positive), lambda acc, s: acc + log_sigmoid(-s)
-    )

@@ -6,6 +6,9 @@ per-bucket counts, whose number is bounded.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +50,7 @@ def ranked(
     df: DataFrame, *keys: str, name: str = "rank", total: str | None = None
 ) -> DataFrame:
     """0-based rank of every row in the order of ``keys``: columns of any orderable types that
-    together are unique and not NULL.
+    together are unique; NULL is a value like others and comes first.
 
     Only the keys are sorted, by range, over all tasks. They are written once, because range
     borders come from a sample and must be the same for the counts and for the ranks; the
@@ -69,7 +72,11 @@ def ranked(
     )
     extra = [F.col("_rows_total").alias(total)] if total else []
     ranks = ranks.select(*keys, name, *extra)
-    return df.join(ranks, list(keys)) if set(df.columns) - set(keys) else ranks
+    if not set(df.columns) - set(keys):
+        return ranks
+    renamed = ranks.withColumnsRenamed({k: f"_ranked_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_ranked_{k}")) for k in keys])
+    return df.join(renamed, same).drop(*[f"_ranked_{k}" for k in keys])
 
 
 def hash_ranked(

@@ -15,8 +15,6 @@ from sentloom.session import materialize
 TAB = "\t"
 FOUR_SPACES = " {4}"
 
-MAX_BROADCAST_BLOCKS = 1_000_000
-
 
 def _patterns(patterns: str | list[str]) -> list[str]:
     parts = patterns.split(",") if isinstance(patterns, str) else patterns
@@ -30,14 +28,13 @@ def read_sentences(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
     """(file, pos, text): one row per line; ``pos`` is the 0-based line number in the file.
 
     ``patterns`` are globs, comma-separated or a list; one that matches nothing is an error.
-    Large files are read in blocks by many tasks. Inside a block, lines carry consecutive row
-    ids; the line counts of a file's earlier blocks give the block's first line number. The
-    counts are taken at once, by a scan that builds no text, and stored: one row per block, sent
-    to every task while there are at most a million (more than 100 TB in blocks of 128 MB). No
-    line is moved or sorted.
+    Large files are read in blocks by many tasks. Line, block and row id are taken in one scan and
+    stored: another scan may cut the files elsewhere. Inside a block, lines carry consecutive row
+    ids; the line counts of a file's earlier blocks give the block's first line number. No line
+    is sorted. A line whose block has no count is an error, not a lost row.
     """
     # lineSep is set so that only line feeds end a line.
-    lines = (
+    lines = materialize(
         spark.read.option("lineSep", "\n")
         .text(_patterns(patterns))
         .select(
@@ -52,7 +49,7 @@ def read_sentences(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = materialize(
+    blocks = (
         lines.groupBy("file", "_block")
         .agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
         .select(
@@ -61,10 +58,11 @@ def read_sentences(spark: SparkSession, patterns: str | list[str]) -> DataFrame:
             (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
-    if blocks.count() <= MAX_BROADCAST_BLOCKS:
-        blocks = F.broadcast(blocks)
-    return lines.join(blocks, ["file", "_block"]).select(
-        "file", (F.col("_row") + F.col("_shift")).alias("pos"), "text"
+    pos = F.col("_row") + F.coalesce(
+        "_shift", F.raise_error(F.lit("a block of lines was not counted")).cast("bigint")
+    )
+    return lines.join(blocks, ["file", "_block"], "left").select(
+        "file", pos.alias("pos"), "text"
     )
 
 

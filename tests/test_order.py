@@ -120,3 +120,11 @@ def test_whole_corpus_job(spark, tmp_path):
     assert read_records(spark, f"{tmp_path}/first/train/shard=*", "triple").count() == 7
     counts = spark.read.parquet(f"{tmp_path}/counts")
     assert counts.agg(F.sum("n")).first()[0] == 270
+
+
+def test_null_keys_have_a_rank(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (2, "c")], "k long, v string")
+    assert {(r.k, r["rank"], r.v) for r in rank.ranked(df, "k").collect()} == {(None, 0, "a"), (1, 1, "b"), (2, 2, "c")}
+    small = sorted(map(str, rank.limit_ordered(df, 2, "k").collect()))
+    monkeypatch.setattr("sentloom.operators.rank.SMALL_LIMIT", 0)
+    assert sorted(map(str, rank.limit_ordered(df, 2, "k").select("k", "v").collect())) == small

@@ -229,3 +229,17 @@ def test_adjacent_pairs_are_linear(spark):
     assert sorted(values(windows.adjacent_pairs(df, "file", "pos", "t"), "s1", "s2")) == [
         ("a", "b"), ("b", "c"),
     ]
+
+
+def test_lines_survive_another_split_layout(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"line {i}\n" for i in range(20_000)))
+    name = "spark.sql.files.minPartitionNum"
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        spark.conf.set(name, "4")
+        df = sources.read_sentences(spark, f"{tmp_path}/a.txt")
+        spark.conf.set(name, "7")
+        assert df.filter(F.col("text") == F.concat(F.lit("line "), F.col("pos").cast("string"))).count() == 20_000
+    finally:
+        spark.conf.unset(name)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

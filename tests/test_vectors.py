@@ -8,7 +8,7 @@ from sentloom.functions import arrays as A
 from sentloom.functions import vectors as V
 from sentloom.operators import losses, sampling
 from sentloom.operators.evaluation import eval_arrays, similarity_pearson
-from sentloom.operators.lookup import encode_bow, lookup_vectors
+from sentloom.operators.lookup import encode_bow, encode_ids, lookup_vectors
 from sentloom.operators.neighbours import knn, neighbour_overlap, similarity_moments
 from sentloom.operators.pooling import mean_vectors
 from sentloom.operators.rank import assign_batches
@@ -80,6 +80,31 @@ def test_bag_of_vectors(spark, word_vec, oov, max_bytes):
     assert [r["vectors"] for r in seqs] == [[WORDS.get(w, unknown) for w in t] for _, t in rows]
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_both_ways_are_one_result(spark, word_vec, kind, keyed):
+    vectors = word_vec.withColumn("v", (F.col("v").cast("array<double>"))).withColumn(
+        "v", F.transform("v", lambda x: x + 0.1).cast(f"array<{kind}>")
+    )
+    rows = [(0, ["a", None, "x"]), (None, ["b"]), (2, None), (3, []), (4, [None])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>")
+    key = ["k"] if keyed else None
+    for oov in ("unk", "drop"):
+        for encode, out in ((encode_bow, "v"), (lookup_vectors, "vectors")):
+            sides = [encode(df, vectors, oov, key=key, max_bytes=m) for m in (1 << 20, 0)]
+            assert sides[0].schema[out].dataType == sides[1].schema[out].dataType
+            assert len({str(sorted(x.select("k", out).collect(), key=str)) for x in sides}) == 1
+        ids = [encode_ids(df, vectors, oov, key=key, max_bytes=m) for m in (1 << 20, 0)]
+        assert len({str(sorted(x.select("k", "ids").collect(), key=str)) for x in ids}) == 1
+
+
+def test_unknown_vector_is_needed_both_ways(spark, word_vec):
+    df = spark.createDataFrame([(0, ["a"])], "k long, tokens array<string>")
+    for max_bytes in (1 << 20, 0):
+        with pytest.raises(ValueError, match="needs a vector"):
+            encode_bow(df, word_vec.filter("word <> '<unk>'"), "unk", max_bytes=max_bytes)
+
+
 def test_encode(spark, word_vec):
     df = spark.createDataFrame([(0, "A b! A"), (1, "")], "k long, text string")
     model = SentenceModel(word_vec, "drop")

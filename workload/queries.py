@@ -91,7 +91,7 @@ def sentence_files(spark, sf):
     """All sentences written to text files in order, and read again with file and line number;
     the rank over both is the rank in the documents."""
     path = _fresh_path(spark)
-    rows = fx.sentences(spark, sf).repartitionByRange(4, "doc_id", "pos")
+    rows = fx.sentences(spark, sf).repartitionByRange("doc_id", "pos")
     rows.sortWithinPartitions("doc_id", "pos").select("text").write.text(path)
     lines = sources.read_sentences(spark, f"{path}/*.txt")
     return ranked(lines, "file", "pos").select("rank", "text")
@@ -217,8 +217,9 @@ def labelled_onehot(spark, sf):
 
 @query
 def union_domains(spark, sf):
-    pairs = fx.scored_pairs(spark, sf)
-    parts = {lang: pairs.filter(F.col("lang") == lang).drop("lang") for lang in fx.LANGS}
+    pairs = materialize(fx.scored_pairs(spark, sf))
+    langs = sorted(r.lang for r in pairs.select("lang").distinct().collect() if r.lang is not None)
+    parts = {lang: pairs.filter(F.col("lang") == lang).drop("lang") for lang in langs}
     return sources.union_domains(parts).select("doc_id", "pos", "domain", "s1", "s2", "score")
 
 
@@ -283,6 +284,15 @@ def encode_ids_drop(spark, sf):
     return coded.select("doc_id", "pos", joined("ids").alias("ids"))
 
 
+@query
+def encode_ids_joined(spark, sf):
+    """``encode_ids_drop`` by the join that a vocabulary over the limit takes."""
+    coded = encode_ids(
+        fx.corpus(spark, sf), fx.vocab(spark, sf), "drop", add_eos=True, key=["doc_id", "pos"], max_bytes=0
+    )
+    return coded.select("doc_id", "pos", joined("ids").alias("ids"))
+
+
 @query
 def triples(spark, sf):
     found = corpus_plans.text_triples(fx.documents(spark, sf), "doc_id")
@@ -531,6 +541,15 @@ def word_vectors(spark, sf):
     ).select("conv_id", "turn", "i", *outline("v"))
 
 
+@query
+def word_vectors_joined(spark, sf):
+    """``word_vectors`` by the join, its rows numbered for want of a key."""
+    found = lookup_vectors(fx.turns(spark, sf), fx.word_vec(spark, sf), "unk", max_bytes=0)
+    return found.select(
+        "conv_id", "turn", F.posexplode("vectors").alias("i", "v")
+    ).select("conv_id", "turn", "i", *outline("v"))
+
+
 @query
 def id_vectors(spark, sf):
     """Vectors by id; an id without a vector gets zeros."""
@@ -579,6 +598,15 @@ def sentence_bow(spark, sf):
     return coded.select("doc_id", "pos", *outline("v"))
 
 
+@query
+def bow_joined(spark, sf):
+    """``sentence_bow`` by the join."""
+    coded = encode_bow(
+        fx.corpus(spark, sf), fx.word_vec(spark, sf), "drop", key=["doc_id", "pos"], max_bytes=0
+    )
+    return coded.select("doc_id", "pos", *outline("v"))
+
+
 @query
 def encoded_texts(spark, sf):
     """Tokenise, look up with the unknown word's vector, sum, normalise."""
