@@ -325,7 +325,32 @@ def lookup_ids(
     max_bytes: int = MAX_BROADCAST_BYTES,
     key: list[str] | None = None,
 ) -> DataFrame:
-    """Id arrays → sequences of vectors. ``table`` is (id, v); an unknown id gets zeros."""
+    """Id arrays → sequences of vectors. ``table`` is (id, v); an unknown id gets zeros, a NULL id
+    is left out."""
     by_text = table.select(F.col("id").cast("string").alias("word"), "v")
-    as_text = df.withColumn("_ids", F.transform(ids, lambda i: i.cast("string")))
-    return lookup_vectors(as_text, by_text, "drop", "_ids", out, key, max_bytes).drop("_ids")
+    if not fits(by_text, max_bytes):
+        as_text = df.withColumn("_ids", F.transform(ids, lambda i: i.cast("string")))
+        joined = lookup_vectors(as_text, by_text, "drop", "_ids", out, key, max_bytes)
+        return joined.drop("_ids")
+    rows = table.select("id", "v").toArrow()
+    known = rows["id"].to_numpy()
+    order = np.argsort(known, kind="stable")
+    dtype = np.float32 if isinstance(_vector_type(table), T.FloatType) else np.float64
+    flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    matrix = np.zeros((len(known) + 1, len(flat) // max(len(known), 1)), dtype)
+    matrix[:-1] = flat.reshape(len(known), -1)[order] if len(known) else matrix[:-1]
+    shared = df.sparkSession.sparkContext.broadcast((known[order], matrix))
+
+    def gather(values: pa.Array) -> pa.Array:
+        sorted_ids, vectors = shared.value
+        starts, wanted = _known(values)
+        wanted = wanted.to_numpy(zero_copy_only=False)
+        places = np.searchsorted(sorted_ids, wanted)
+        last = np.minimum(places, max(len(sorted_ids) - 1, 0))
+        found = sorted_ids[last] == wanted if len(sorted_ids) else np.zeros(len(wanted), bool)
+        gathered = vectors[np.where(found, places, len(sorted_ids))]
+        offsets = np.arange(len(wanted) + 1) * vectors.shape[1]
+        return _list_array(starts, _list_array(offsets, pa.array(gathered.ravel())))
+
+    kind = T.ArrayType(T.ArrayType(_vector_type(table)))
+    return df.withColumn(out, F.arrow_udf(gather, kind)(F.col(ids)))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from sentloom.functions.vectors import NORM_EPSILON
 from sentloom.operators.expand import gram_sums
+from sentloom.session import materialize
 
 # Similarities are compared at this precision, so that the shape of a block product can not
 # change the order of equal neighbours.
@@ -127,14 +128,22 @@ def neighbour_overlap(
     whichever row it is.
     """
 
-    def near(df: DataFrame) -> DataFrame:
-        if strict_reference:
-            return knn(df, k + 1, id_col, v).filter(F.col("rank") > 1)
-        return knn(df, k, id_col, v, include_self=False)
+    near = [_neighbours(df, k, id_col, v, strict_reference) for df in (x, y)]
+    return _shared(*near, x, k)
 
-    shared = near(x).select("id", "neighbour").join(
-        near(y).select("id", "neighbour"), ["id", "neighbour"]
-    )
+
+def _neighbours(
+    df: DataFrame, k: int, id_col: str = "id", v: str = "v", strict_reference: bool = False
+) -> DataFrame:
+    if strict_reference:
+        found = knn(df, k + 1, id_col, v).filter(F.col("rank") > 1)
+    else:
+        found = knn(df, k, id_col, v, include_self=False)
+    return found.select("id", "neighbour")
+
+
+def _shared(near_x: DataFrame, near_y: DataFrame, x: DataFrame, k: int) -> DataFrame:
+    shared = near_x.join(near_y, ["id", "neighbour"])
     rows = x.agg(F.count("*").alias("n")).scalar()
     return shared.agg(F.count("*").alias("shared")).select(
         rows.alias("n"), "shared", (F.col("shared") / (rows * k)).alias("overlap")
@@ -145,15 +154,14 @@ def overlap_report(
     text: DataFrame, projected: DataFrame, image: DataFrame, k: int = 10
 ) -> DataFrame:
     """Overlap of text, projected text and image vectors, as (comparison, n, shared, overlap)."""
-    cases = {
-        "text_image": (text, image),
-        "projected_image": (projected, image),
-        "text_projected": (text, projected),
-        "text_text": (text, text),
-    }
+    spaces = {"text": text, "projected": projected, "image": image}
+    # Each space's neighbours are searched for once.
+    near = {name: materialize(_neighbours(df, k)) for name, df in spaces.items()}
     report = None
-    for name, (x, y) in cases.items():
-        row = neighbour_overlap(x, y, k).select(F.lit(name).alias("comparison"), "*")
+    for x, y in [("text", "image"), ("projected", "image"), ("text", "projected"), ("text", "text")]:
+        row = _shared(near[x], near[y], spaces[x], k).select(
+            F.lit(f"{x}_{y}").alias("comparison"), "*"
+        )
         report = row if report is None else report.unionByName(row)
     return report
 

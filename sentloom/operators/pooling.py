@@ -40,9 +40,10 @@ def vector_sums(df: DataFrame, key: str, v: str = "v") -> DataFrame:
     """(key, n, total): number of rows and element-wise sum of ``v`` per group.
 
     Vectors stay dense arrays. A map task adds up what its Arrow batches hold of a group, so a
-    hot group shrinks to one row per batch there. Such rows are spread over salts, rare groups
-    are not; after the shuffle each task adds up again, batch by batch, without ever holding a
-    group. What is left per group is a handful of rows.
+    hot group shrinks to one row per batch there. All rows are spread over salts; after the
+    shuffle each task adds up again, batch by batch, without ever holding a group, and a
+    second shuffle by key alone brings the salts' sums together the same way. What is left per
+    group is a row per Arrow batch of these few.
     """
     schema = T.StructType(
         [
@@ -54,7 +55,7 @@ def vector_sums(df: DataFrame, key: str, v: str = "v") -> DataFrame:
     rows = df.filter(F.col(v).isNotNull() & F.col(key).isNotNull()).select(
         key, F.lit(1).cast("bigint").alias("n"), F.col(v).alias("total")
     )
-    salt = F.when(F.col("n") > 1, F.pmod(F.xxhash64("total"), F.lit(_SALTS))).otherwise(0)
+    salt = F.pmod(F.xxhash64("total"), F.lit(_SALTS))
     parts = (
         rows.mapInArrow(_add_up, schema)
         .withColumn("_salt", salt)
@@ -62,6 +63,9 @@ def vector_sums(df: DataFrame, key: str, v: str = "v") -> DataFrame:
         .sortWithinPartitions(key)
         .select(key, "n", "total")
         .mapInArrow(_add_up, schema)
+        .repartition(key)
+        .sortWithinPartitions(key)
+        .mapInArrow(_add_up, schema)
     )
     lists = parts.groupBy(key).agg(
         F.sum("n").alias("n"), F.collect_list("total").alias("_totals")
