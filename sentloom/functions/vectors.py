@@ -23,12 +23,6 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return _total(F.zip_with(_col(a), _col(b), lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def squared_distance(a: Column | str, b: Column | str) -> Column:
-    return _total(
-        F.zip_with(_col(a), _col(b), lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2))
-    )
-
-
 def norm(v: Column | str) -> Column:
     return F.sqrt(
         F.aggregate(

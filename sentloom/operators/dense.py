@@ -34,6 +34,18 @@ def _vectors(matrix: np.ndarray) -> pa.Array:
     return _list_array(np.arange(n + 1) * dim, pa.array(matrix.ravel()))
 
 
+def layers(
+    x: np.ndarray,
+    w1: np.ndarray,
+    b1: np.ndarray,
+    w2: np.ndarray | None = None,
+    b2: np.ndarray | None = None,
+) -> np.ndarray:
+    """Linear map of the rows, or linear - ReLU - linear when ``w2`` is given."""
+    y = x @ w1 + b1
+    return y if w2 is None else np.maximum(y, 0.0) @ w2 + b2
+
+
 def project(
     df: DataFrame,
     w1: np.ndarray,
@@ -47,13 +59,9 @@ def project(
     weights = df.sparkSession.sparkContext.broadcast((w1, b1, w2, b2))
 
     def apply(vectors: pa.Array) -> pa.Array:
-        w1, b1, w2, b2 = weights.value
         if not len(vectors):
             return _vectors(np.zeros((0, 0)))
-        y = _rows(vectors) @ w1 + b1
-        if w2 is not None:
-            y = np.maximum(y, 0.0) @ w2 + b2
-        return _vectors(y)
+        return _vectors(layers(_rows(vectors), *weights.value))
 
     return df.withColumn(out, F.arrow_udf(apply, T.ArrayType(T.DoubleType()))(F.col(v)))
 

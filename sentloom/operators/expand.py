@@ -35,10 +35,11 @@ _SUMS = T.StructType(
     [
         T.StructField("kind", T.StringType()),
         T.StructField("i", T.IntegerType()),
-        T.StructField("j", T.IntegerType()),
-        T.StructField("value", T.DoubleType()),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
     ]
 )
+#: Tasks whose sums are first added up together.
+FAN_IN = 32
 
 
 # What each kind of sum adds up, per dense block of rows.
@@ -62,8 +63,8 @@ def gram_sums(
 
     Kinds: ``n`` (row count), ``x`` and ``y`` (vector sums), ``xx``, ``xy`` and ``yy``
     (products such as x_i*y_j). ``centre`` is subtracted first if given; ``unit`` divides by the
-    length. One dense product per Arrow batch, added up inside the task; Spark sums the tasks'
-    matrices cell by cell.
+    length. One dense product per Arrow batch, added up inside the task; a task sends one row per
+    matrix row. Rows of up to ``FAN_IN`` tasks are added up first, then those sums.
     """
 
     def partial(batches):
@@ -81,23 +82,35 @@ def gram_sums(
         if total is None:
             return
         for kind, m in zip(kinds, total):
-            i, j = np.indices(m.shape, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([kind] * m.size),
-                    pa.array(i.ravel()),
-                    pa.array(j.ravel()),
-                    pa.array(m.ravel()),
+                    pa.array([kind] * len(m)),
+                    pa.array(np.arange(len(m), dtype=np.int32)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(
+                        pa.list_(pa.float64())
+                    ),
                 ],
-                names=["kind", "i", "j", "value"],
+                names=["kind", "i", "values"],
             )
 
-    return (
-        pairs.select("x", "y")
-        .mapInArrow(partial, _SUMS)
-        .groupBy("kind", "i", "j")
-        .agg(F.sum("value").alias("value"))
-    )
+    def added(batches):
+        sums: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "i")), strict=True)
+            for n, key in enumerate(rows):
+                values = batch.column("values")[n].values.to_numpy()
+                sums[key] = sums[key] + values if key in sums else values
+        for (kind, i), values in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind]), pa.array([i], pa.int32()), pa.array([values], pa.list_(pa.float64()))],
+                names=["kind", "i", "values"],
+            )
+
+    sums = pairs.select("x", "y").mapInArrow(partial, _SUMS)
+    near = F.floor(F.spark_partition_id() / FAN_IN)
+    sums = sums.repartition("kind", "i", near).mapInArrow(added, _SUMS)
+    sums = sums.repartition("kind", "i").mapInArrow(added, _SUMS)
+    return sums.select("kind", "i", F.posexplode("values").alias("j", "value"))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,22 +14,24 @@ from sentloom.operators.lookup import MAX_BROADCAST_BYTES, fits
 
 # Fixed values of the reproducible draw: a prime modulus below 2^31 and multipliers.
 PRIME = 2147483647
-BATCH_FACTOR, ID_FACTOR, SEED_FACTOR = 7919, 104729, 15485863
+BATCH_FACTOR, ITEM_FACTOR, SEED_FACTOR = 7919, 104729, 15485863
 MIX_FACTOR = 48271
 # Weight exponent of the sampling distribution.
 DISTORTION = 0.75
+# Numbers thrown for each word wanted.
+TRIES = 4
+# Rows scored as one group, and words scored at once inside it: bounds of a task's memory.
+GROUP_ROWS, LINES = 2048, 4096
 
 
-def draw_keys(batch: int, ids: np.ndarray, weights: np.ndarray, seed: int) -> np.ndarray:
-    """Exponential keys -ln(u)/w; the smallest are a weighted sample without replacement.
-
-    u comes from whole-number mixing modulo a prime, so that any engine can repeat the draw.
-    """
-    h = (batch * BATCH_FACTOR + ids * ID_FACTOR + seed * SEED_FACTOR) % PRIME
-    h = (h * h + ids + 1) % PRIME
+def _mixed(*numbers) -> np.ndarray:
+    """Whole-number mixing modulo a prime to (0, 1), so that any engine can repeat the draw."""
+    batch, item, seed = numbers
+    h = (batch * BATCH_FACTOR + item * ITEM_FACTOR + seed * SEED_FACTOR) % PRIME
+    h = (h * h + item + 1) % PRIME
     h = (h * MIX_FACTOR + batch) % PRIME
-    h = (h * h + ids + 1) % PRIME
-    return -np.log((h + 0.5) / PRIME) / weights
+    h = (h * h + item + 1) % PRIME
+    return (h + 0.5) / PRIME
 
 
 def word_weights(ids: np.ndarray, vocab_size: int) -> np.ndarray:
@@ -35,20 +39,47 @@ def word_weights(ids: np.ndarray, vocab_size: int) -> np.ndarray:
     return ((np.log(ids + 2) - np.log(ids + 1)) / np.log(vocab_size + 1)) ** DISTORTION
 
 
-def _draw(batch: int, ids: np.ndarray, weights: np.ndarray, n: int, seed: int) -> np.ndarray:
-    if len(ids) < n:
-        raise ValueError(f"cannot draw {n} different words from {len(ids)}")
-    keys = draw_keys(batch, ids, weights, seed)
-    best = np.argpartition(keys, n - 1)[:n]
-    return ids[best[np.lexsort((ids[best], keys[best]))]]
+@dataclass(frozen=True)
+class WordDraw:
+    """A weighted draw of different words whose cost does not depend on the vocabulary.
 
+    Numbers are thrown at the cumulative weights, ``TRIES`` for each word wanted, and a word
+    counts once, at its first hit: a weighted sample without replacement, in order. If too few
+    words were hit, the others follow in the order of exponential keys -ln(u)/w, which is the
+    same distribution.
+    """
 
-def _vocabulary_ids(vocab: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (bounded by the vocabulary size) and their weights."""
-    if not fits(vocab.select("word", "id"), MAX_BROADCAST_BYTES):
-        raise ValueError("the sampling vocabulary is over the broadcast limit")
-    ids = np.sort(vocab.select("id").toArrow()["id"].to_numpy().astype(np.int64))
-    return ids, word_weights(ids, len(ids))
+    ids: np.ndarray
+    weights: np.ndarray
+    ends: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray) -> WordDraw:
+        ids = np.sort(ids.astype(np.int64))
+        weights = word_weights(ids, len(ids))
+        return WordDraw(ids, weights, np.cumsum(weights))
+
+    def places(self, batch: int, n: int, seed: int) -> np.ndarray:
+        """Positions in ``ids`` of ``n`` different words."""
+        if len(self.ids) < n:
+            raise ValueError(f"cannot draw {n} different words from {len(self.ids)}")
+        if not n:
+            return np.zeros(0, np.int64)
+        thrown = _mixed(batch, np.arange(TRIES * n, dtype=np.int64), seed) * self.ends[-1]
+        hit = np.minimum(np.searchsorted(self.ends, thrown, "right"), len(self.ids) - 1)
+        words, first = np.unique(hit, return_index=True)
+        found = words[np.argsort(first)][:n]
+        if len(found) < n:
+            keys = -np.log(_mixed(batch, self.ids, seed)) / self.weights
+            keys[found] = np.inf
+            rest = np.lexsort((self.ids, keys))[: n - len(found)]
+            found = np.concatenate([found, rest])
+        return found
+
+
+def _vocabulary_ids(vocab: DataFrame) -> np.ndarray:
+    """The ids, 8 bytes a word; their number is the documented size of the vocabulary."""
+    return vocab.select(F.col("id").cast("bigint").alias("id")).toArrow()["id"].to_numpy()
 
 
 def sample_negatives(
@@ -61,10 +92,10 @@ def sample_negatives(
 ) -> DataFrame:
     """(batch, position, slot, id): ``k * batch_size * length`` different words per batch.
 
-    Words are drawn by weight and dealt in key order, ``k`` to each position. ``batches`` has
+    Words are drawn by weight and dealt in the order drawn, ``k`` to each position. ``batches`` has
     one row per batch; the draw happens where that row is.
     """
-    table = batches.sparkSession.sparkContext.broadcast(_vocabulary_ids(vocab))
+    table = batches.sparkSession.sparkContext.broadcast(WordDraw.of(_vocabulary_ids(vocab)))
     n = k * batch_size * length
     schema = T.StructType(
         [
@@ -76,7 +107,7 @@ def sample_negatives(
     )
 
     def draw(parts):
-        ids, weights = table.value
+        words = table.value
         place = np.arange(n)
         for part in parts:
             for batch in part.column(0).to_numpy():
@@ -85,7 +116,7 @@ def sample_negatives(
                         pa.array(np.full(n, batch, np.int64)),
                         pa.array(place // k),
                         pa.array((place % k).astype(np.int32)),
-                        pa.array(_draw(int(batch), ids, weights, n, seed).astype(np.int32)),
+                        pa.array(words.ids[words.places(int(batch), n, seed)].astype(np.int32)),
                     ],
                     names=["batch", "position", "slot", "id"],
                 )
@@ -122,47 +153,66 @@ def negative_sampling_loss(
 
     ``df`` is (batch, row, v, id-array columns named in ``parts``) from ``assign_batches``;
     ``targets`` is (id, v), the target vector of every id of ``vocab``. Each part takes its own
-    draw. The divisor counts all padded positions; a position without word adds nothing.
+    draw. The divisor counts all padded positions; a position without word adds nothing. A task
+    takes some batches at a time, so small batches cost no group each.
     """
     size = targets.select(F.col("id").cast("string").alias("word"), "v")
     if not fits(size, MAX_BROADCAST_BYTES):
         raise ValueError("the target table is over the broadcast limit")
-    rows = targets.select("id", "v").toArrow()
+    rows = targets.select(F.col("id").cast("bigint").alias("id"), "v").orderBy("id").toArrow()
+    target_ids = rows["id"].to_numpy()
     flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    dim = len(flat) // max(len(rows), 1)
-    target_ids = rows["id"].to_numpy().astype(np.int64)
-    matrix = np.zeros((int(target_ids.max()) + 1, dim))
-    matrix[target_ids] = flat.reshape(-1, dim)
-    shared = df.sparkSession.sparkContext.broadcast((_vocabulary_ids(vocab), matrix))
+    matrix = flat.astype(np.float64).reshape(len(target_ids), -1)
+    # Where each drawn word stands in the matrix; every word of the vocabulary has a target.
+    words = WordDraw.of(_vocabulary_ids(vocab))
+    shared = df.sparkSession.sparkContext.broadcast((words, target_ids, matrix))
     n = k * batch_size * length
 
+    def places_of(target_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        places = np.minimum(np.searchsorted(target_ids, ids), max(len(target_ids) - 1, 0))
+        if len(ids) and not (len(target_ids) and (target_ids[places] == ids).all()):
+            raise ValueError("a word without a target vector")
+        return places
+
     def score(key: tuple, group: pa.Table) -> pa.Table:
-        (ids, weights), target = shared.value
-        batch = key[0].as_py()
+        words, target_ids, target = shared.value
+        own = places_of(target_ids, words.ids)
+        batches, batch_of = np.unique(group["batch"].to_numpy(), return_inverse=True)
         rows = group["row"].to_numpy()
         vectors = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
         vectors = vectors.astype(np.float64).reshape(len(rows), -1)
-        values = []
+        lost = np.zeros((len(batches), len(parts)))
         for number, part in enumerate(parts):
-            words = group[part].combine_chunks()
-            sizes = words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            lists = group[part].combine_chunks()
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             if len(sizes) and sizes.max() > length:
                 raise ValueError("sentence longer than the padded width")
+            drawn = np.stack([own[words.places(int(b), n, seed + number)] for b in batches])
+            drawn = drawn.reshape(len(batches), batch_size, length, k)
+            positives = places_of(target_ids, lists.flatten().to_numpy(zero_copy_only=False))
             # One line per word: its sentence, and its place in that sentence.
             line = np.repeat(np.arange(len(rows)), sizes)
             place = np.arange(len(line)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            drawn = _draw(batch, ids, weights, n, seed + number).reshape(batch_size, length, k)
-            v = vectors[line]
-            words = words.flatten().to_numpy(zero_copy_only=False)
-            positive = np.einsum("wd,wd->w", target[words], v)
-            negative = np.einsum("wkd,wd->wk", target[drawn[rows[line], place]], v)
-            lost = np.logaddexp(0.0, -positive).sum() + np.logaddexp(0.0, negative).sum()
-            values.append(lost / (batch_size * length))
-        return pa.table({"batch": [batch] * len(parts), "part": list(parts), "value": values})
-
+            for at in range(0, len(line), LINES):
+                some, where = line[at : at + LINES], place[at : at + LINES]
+                v = vectors[some]
+                positive = np.einsum("wd,wd->w", target[positives[at : at + LINES]], v)
+                negatives = target[drawn[batch_of[some], rows[some], where]]
+                negative = np.einsum("wkd,wd->wk", negatives, v)
+                loss = np.logaddexp(0.0, -positive) + np.logaddexp(0.0, negative).sum(axis=1)
+                lost[:, number] += np.bincount(batch_of[some], loss, len(batches))
+        return pa.table(
+            {
+                "batch": np.repeat(batches, len(parts)),
+                "part": list(parts) * len(batches),
+                "value": lost.ravel() / (batch_size * length),
+            }
+        )
+
+    run = max(1, GROUP_ROWS // batch_size)
     return (
-        df.select("batch", "row", "v", *parts)
-        .groupBy("batch")
+        df.select("batch", "row", "v", *parts, F.floor(F.col("batch") / run).alias("_run"))
+        .groupBy("_run")
         .applyInArrow(score, "batch bigint, part string, value double")
     )
 

@@ -5,39 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentloom.operators.losses import (
-    contrast_scores,
-    element_l2,
-    mean_over_batches,
-    projected,
-    ranking_loss,
-    structure_alignment,
-    weighted_total,
-)
-
-
-def pair_metrics(batched: DataFrame, weights: tuple | None = None) -> DataFrame:
-    """(metric, value) over batches of paired vectors; with ``weights`` also on projected x."""
-    metrics = {
-        "ranking": ranking_loss(batched),
-        "rho": structure_alignment(batched, "rho"),
-        "l2": element_l2(batched),
-        "quick": contrast_scores(batched),
-    }
-    if weights is not None:
-        mapped = projected(batched, weights)
-        metrics["ranking_f"] = ranking_loss(mapped)
-        metrics["rho_f"] = structure_alignment(mapped, "rho")
-    out = None
-    for name, losses in metrics.items():
-        row = mean_over_batches(losses, name)
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-def total_loss(batched: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """Weighted sum of the enabled metrics."""
-    return weighted_total(pair_metrics(batched), weights)
+from sentloom.operators.losses import METRICS, batch_metrics, mean_over_batches, weighted_total
+
+
+def pair_metrics(
+    batched: DataFrame, weights: tuple | None = None, names: list[str] | None = None
+) -> DataFrame:
+    """(metric, value) over batches of paired vectors, from one pass over the batches.
+
+    By default all metrics; those on projected vectors only with ``weights``.
+    """
+    if names is None:
+        names = [name for name, (_, sides) in METRICS.items() if weights is not None or not sides]
+    return mean_over_batches(batch_metrics(batched, names, weights), names)
+
+
+def total_loss(
+    batched: DataFrame, weights: dict[str, float], projection: tuple | None = None
+) -> DataFrame:
+    """Weighted sum of the metrics with a weight above zero; no other is computed."""
+    names = [name for name, weight in weights.items() if weight > 0]
+    return weighted_total(pair_metrics(batched, projection, names), weights)
 
 
 def split_metrics(train: DataFrame, validation: DataFrame) -> DataFrame:

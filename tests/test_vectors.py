@@ -216,6 +216,27 @@ def test_batch_metrics_against_loops(spark):
         losses.match_pairs(three).collect()
 
 
+def test_all_metrics_in_one_pass(spark):
+    rows = [(b, r, [float(r + b), 1.0], [1.0, float(r * r % 5)]) for b in range(2) for r in range(12)]
+    df = spark.createDataFrame(rows, "batch long, row int, x array<double>, y array<double>")
+    swap = (np.array([[0.0, 1.0], [1.0, 0.0]]), np.zeros(2))
+    found = {(r["batch"], r["metric"]): r["value"] for r in
+             losses.batch_metrics(df, list(losses.METRICS), swap).collect()}
+    swapped = losses.projected(df, swap)
+    both = losses.projected(swapped, swap, "y")
+    for name, single in [
+        ("ranking", losses.ranking_loss(df)), ("ranking_f", losses.ranking_loss(swapped)),
+        ("ranking_both", losses.ranking_loss(both)), ("l2_f", losses.element_l2(swapped)),
+        ("rho_f", losses.structure_alignment(swapped)), ("quick_f", losses.contrast_scores(swapped)),
+    ]:
+        for row in single.collect():
+            assert found[row["batch"], name] == pytest.approx(row["value"]), name
+    with pytest.raises(ValueError, match="needs weights"):
+        losses.batch_metrics(df, ["l2_f"])
+    empty = losses.batch_metrics(df.limit(0), ["l2"])
+    assert losses.mean_over_batches(empty, ["l2"]).collect() == [("l2", None)]
+
+
 def test_weighted_total(spark):
     df = spark.createDataFrame([("a", 2.0), ("b", 3.0), ("c", 100.0)], "metric string, value double")
     assert losses.weighted_total(df, {"a": 1.0, "b": 0.5, "c": 0.0}).first()["total"] == 3.5
@@ -235,10 +256,16 @@ def test_negatives_are_different_words(spark):
 
 
 def test_frequent_words_are_drawn_more_often():
-    ids = np.arange(1000)
-    weights = sampling.word_weights(ids, 1000)
+    words = sampling.WordDraw.of(np.arange(1000))
     hits = np.zeros(1000)
     for batch in range(400):
-        keys = sampling.draw_keys(batch, ids, weights, 123)
-        hits[np.argsort(keys)[:50]] += 1
+        hits[words.places(batch, 50, 123)] += 1
     assert hits[:10].mean() > hits[10:100].mean() > hits[100:].mean() > 0
+
+
+def test_draw_of_all_words_ends():
+    words = sampling.WordDraw.of(np.arange(300) * 7)
+    for batch in range(5):
+        found = words.places(batch, 300, 1)
+        assert sorted(found) == list(range(300))
+        assert list(words.places(batch, 20, 1)) == list(dict.fromkeys(words.places(batch, 20, 1)))

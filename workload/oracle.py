@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from sentloom.operators.sampling import TRIES
 from workload import fixtures as fx
 from workload.queries import NS_BATCH, NS_K, NS_LENGTH, TOTAL_WEIGHTS
 
@@ -802,6 +803,36 @@ _METRIC_CTES = {
     "m": _MATCH,
     "q": _CONTRAST,
 }
+
+def _over(source: str, text: str) -> str:
+    """A metric's SQL over another batch table."""
+    return text.replace("FROM bp ", f"FROM {source} ").replace("JOIN bp ", f"JOIN {source} ")
+
+
+sql(
+    "pair_metrics_projected",
+    ["bp"],
+    f"SELECT metric, {r6('value')} AS value FROM ("
+    + _METRICS
+    + """
+    UNION ALL SELECT 'ranking_f', avg(value) FROM rf
+    UNION ALL SELECT 'rho_f', avg(value) FROM (SELECT -corr(sx, sy) AS value FROM simsf GROUP BY batch)
+    UNION ALL SELECT 'l2_f', avg(value) FROM lf
+    UNION ALL SELECT 'quick_f', avg(value) FROM qf
+    UNION ALL SELECT 'ranking_both', avg(value) FROM rb)""",
+    **_METRIC_CTES,
+    h=f"""SELECT batch, row, size, y, {hidden_layer('x', 16)} AS h,
+                 {hidden_layer('y', 16)} AS g FROM bp""",
+    pj=f"""SELECT batch, row, size, y, {output_layer('h', fx.HALF)} AS x,
+                  {output_layer('g', fx.HALF)} AS yp FROM h""",
+    pb="SELECT batch, row, size, x, yp AS y FROM pj",
+    rf=ranking("pj"),
+    simsf=_over("pj", _SIMS),
+    lf=_over("pj", _L2),
+    mf=_over("pj", _MATCH),
+    qf=_CONTRAST.replace("FROM m ", "FROM mf "),
+    rb=ranking("pb"),
+)
 _WEIGHTED = " + ".join(
     f"{w} * max(value) FILTER (metric = '{name}')" for name, w in TOTAL_WEIGHTS.items() if w > 0
 )
@@ -855,21 +886,48 @@ _NB = f"""
     FROM (SELECT *, row_number() OVER (ORDER BY doc_id, pos) - 1 AS rk FROM trip)"""
 
 
-def drawn(seed: str, batches: str = "(SELECT DISTINCT batch FROM nb)") -> str:
-    """(batch, seed, place, id) in key order, the drawn words only."""
-    return f"""
-        SELECT batch, seed, place, id FROM (
-            SELECT batch, seed, id, row_number() OVER (
-                PARTITION BY batch, seed ORDER BY -ln((h4 + 0.5) / {P}) / w, id) - 1 AS place
-            FROM (SELECT *, (h3 * h3 + id + 1) % {P} AS h4
-              FROM (SELECT *, (h2 * 48271 + batch) % {P} AS h3
-                FROM (SELECT *, (h1 * h1 + id + 1) % {P} AS h2
-                  FROM (SELECT batch, seed, CAST(id AS BIGINT) AS id,
-                               (batch * 7919 + id * 104729 + seed * 15485863) % {P} AS h1,
-                               pow((ln(id + 2) - ln(id + 1))
-                                   / ln((SELECT count(*) FROM wv) + 1), 0.75) AS w
-                        FROM {batches}, (SELECT unnest({seed}) AS seed), wv)))))
-        WHERE place < {NS_K * NS_BATCH * NS_LENGTH}"""
+def mixed(source: str, item: str) -> str:
+    """The rows of ``source`` with ``h``: batch, item and seed mixed to (0, 1)."""
+    return f"""(
+        SELECT *, ((h3 * h3 + {item} + 1) % {P} + 0.5) / {P} AS h
+        FROM (SELECT *, (h2 * 48271 + batch) % {P} AS h3
+          FROM (SELECT *, (h1 * h1 + {item} + 1) % {P} AS h2
+            FROM (SELECT *, (batch * 7919 + {item} * 104729 + seed * 15485863) % {P} AS h1
+                  FROM {source}))))"""
+
+
+def drawn(seed: str, batches: str = "(SELECT DISTINCT batch FROM nb)") -> dict[str, str]:
+    """d: (batch, seed, place, id), the words drawn, in order. Numbers thrown at the cumulative
+    weights; if too few words were hit, the others in the order of exponential keys."""
+    n = NS_K * NS_BATCH * NS_LENGTH
+    return {
+        "wt": """
+        SELECT CAST(id AS BIGINT) AS id,
+               pow((ln(id + 2) - ln(id + 1)) / ln((SELECT count(*) FROM wv) + 1), 0.75) AS w
+        FROM wv""",
+        "cum": """
+        SELECT id, coalesce(sum(w) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING
+                                         AND 1 PRECEDING), 0) AS low FROM wt""",
+        "runs": f"SELECT batch, seed FROM {batches}, (SELECT CAST(unnest({seed}) AS BIGINT) AS seed)",
+        "thrown": f"""
+        SELECT batch, seed, attempt, h * (SELECT sum(w) FROM wt) AS mark
+        FROM {mixed(f"runs, (SELECT unnest(range({TRIES * n})) AS attempt)", "attempt")}""",
+        "firsts": f"""
+        SELECT *, row_number() OVER (PARTITION BY batch, seed ORDER BY attempt) - 1 AS place
+        FROM (SELECT batch, seed, id, min(attempt) AS attempt
+              FROM thrown ASOF JOIN cum ON mark >= low GROUP BY batch, seed, id)""",
+        "short": f"""
+        SELECT batch, seed, count(*) AS had FROM firsts GROUP BY batch, seed
+        HAVING count(*) < {n}""",
+        "d": f"""
+        SELECT batch, seed, place, id FROM firsts WHERE place < {n}
+        UNION ALL
+        SELECT batch, seed, had + row_number() OVER (
+                   PARTITION BY batch, seed ORDER BY -ln(h) / w, id) - 1 AS place, id
+        FROM {mixed("short, wt", "id")} l WHERE NOT EXISTS (
+            SELECT 1 FROM firsts f WHERE f.batch = l.batch AND f.seed = l.seed AND f.id = l.id)
+        QUALIFY place < {n}""",
+    }
 
 
 sql(
@@ -878,7 +936,7 @@ sql(
     f"""SELECT batch, place // {NS_K} AS position, CAST(place % {NS_K} AS INTEGER) AS slot,
            CAST(id AS INTEGER) AS id FROM d""",
     nb=_NB,
-    d=drawn("[123]"),
+    **drawn("[123]"),
 )
 _POSITIVE = " UNION ALL ".join(
     f"""SELECT batch, row, '{part}' AS part, {seed} AS seed, t, id, v FROM (
@@ -911,7 +969,7 @@ sql(
         GROUP BY batch""",
     nb=_NB,
     p=_POSITIVE,
-    d=drawn("[123, 124, 125]"),
+    **drawn("[123, 124, 125]"),
     tv=f"""SELECT id, CAST(v[{fx.HALF + 1}:{2 * fx.HALF}] AS DOUBLE[]) AS o FROM wv""",
     whole=bag("nb", "batch, row", "encode", "drop"),
     sv=f"SELECT batch, row, v[1:{fx.HALF}] AS v FROM whole",

@@ -758,6 +758,14 @@ def projected_vectors(spark, sf):
     )
 
 
+@query
+def pair_metrics_projected(spark, sf):
+    """All metrics, those on projected vectors too, in one pass."""
+    weights = fx.hidden_weights(16, fx.HALF)
+    found = evaluation_plans.pair_metrics(fx.batched(spark, sf), weights)
+    return found.select("metric", r6("value").alias("value"))
+
+
 TOTAL_WEIGHTS = {"ranking": 0.5, "rho": 1.0, "l2": 0.0, "quick": 2.0}
 
 
