@@ -65,10 +65,15 @@ class WordDraw:
             raise ValueError(f"cannot draw {n} different words from {len(self.ids)}")
         if not n:
             return np.zeros(0, np.int64)
-        thrown = _mixed(batch, np.arange(TRIES * n, dtype=np.int64), seed) * self.ends[-1]
-        hit = np.minimum(np.searchsorted(self.ends, thrown, "right"), len(self.ids) - 1)
-        words, first = np.unique(hit, return_index=True)
-        found = words[np.argsort(first)][:n]
+        hit = np.zeros(0, np.int64)
+        for turn in range(TRIES):  # most often one or two turns are enough
+            thrown = _mixed(batch, np.arange(turn * n, (turn + 1) * n, dtype=np.int64), seed)
+            at = np.searchsorted(self.ends, thrown * self.ends[-1], "right")
+            hit = np.concatenate([hit, np.minimum(at, len(self.ids) - 1)])
+            found, first = np.unique(hit, return_index=True)
+            if len(found) >= n:
+                break
+        found = found[np.argsort(first)][:n]
         if len(found) < n:
             keys = -np.log(_mixed(batch, self.ids, seed)) / self.weights
             keys[found] = np.inf

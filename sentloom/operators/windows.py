@@ -168,6 +168,36 @@ def length_stats(df: DataFrame, tokens: list[str], max_len: int = 30) -> DataFra
     )
 
 
+def caption_stats(
+    captions: DataFrame,
+    features: DataFrame,
+    group: str = "clip_id",
+    order: str | list[str] = "pos",
+    tokens: str = "tokens",
+    n: int = 40,
+    max_len: int = 30,
+) -> DataFrame:
+    """One row of counters (seen, considered, too long, output) of a caption job.
+
+    Every caption is seen; the first ``n`` of a group with a feature are considered. Only lengths
+    go through the cap's shuffle.
+    """
+    keys = [order] if isinstance(order, str) else order
+    rows = captions.select(group, *keys, F.size(tokens).alias("_size"))
+    with_feature = rows.join(features.select(group).distinct(), group, "left_semi")
+    short = F.col("_size") < max_len if max_len else F.lit(True)
+    counted = cap_per_group(with_feature, group, keys, n).agg(
+        F.count("*").alias("sentences_considered"),
+        F.count_if(~short).alias("sentences_too_long"),
+        F.count_if(short).alias("sentences_output"),
+    )
+    seen = rows.agg(F.count("*").alias("sentences_seen"))
+    names = seen.columns + counted.columns
+    return seen.unionByName(counted, allowMissingColumns=True).agg(
+        *[F.max(name).alias(name) for name in names]
+    )
+
+
 def cap_per_group(df: DataFrame, group: str, order: str | list[str], n: int = 40) -> DataFrame:
     """First ``n`` rows of each group in ``order``.
 

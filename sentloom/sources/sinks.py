@@ -62,11 +62,12 @@ def write_splits(
     validation_shards: int = 1,
     seed: int = 123,
 ) -> None:
-    """Records in seeded order, split by count, as ``train`` and ``validation`` shards."""
+    """Records in seeded order, split by count, as ``train`` and ``validation`` shards. They are
+    stored before they are ranked, since ranking reads them twice."""
     placed = materialize(
         to_records(
             assign_shards(
-                records,
+                materialize(records),
                 *id_cols,
                 seed=seed,
                 n_validation=n_validation,

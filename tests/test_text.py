@@ -243,3 +243,12 @@ def test_lines_survive_another_split_layout(spark, tmp_path):
     finally:
         spark.conf.unset(name)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_caption_stats(spark):
+    rows = [(1, p, ["w"] * (40 if p == 0 else 3)) for p in range(5)] + [(2, 0, ["w"]), (3, 0, None)]
+    captions = spark.createDataFrame(rows, "clip_id long, pos long, tokens array<string>")
+    features = spark.createDataFrame([(1,), (1,), (4,)], "clip_id long")
+    found = windows.caption_stats(captions, features, n=3)
+    assert found.collect() == [(7, 3, 1, 2)]
+    assert windows.caption_stats(captions.limit(0), features).collect() == [(0, 0, 0, 0)]

@@ -143,6 +143,7 @@ sql("sentence_files", ["sent"], """
     SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS rank, text FROM sent""")
 sql("scored_files", ["spairs"], """
     SELECT replace(s1, chr(9), ' ') AS s1, replace(s2, chr(9), ' ') AS s2, score FROM spairs""")
+ORACLES["scored_files_header"] = ORACLES["scored_files"]
 sql(
     "ws_tokens",
     ["corpus"],
@@ -311,6 +312,13 @@ sql("captions_capped", ["corpus"], f"""
     SELECT doc_id AS clip_id, pos, {joined('tokens')} AS tokens
     FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM corpus)
     WHERE rn <= 40 AND len(tokens) < 30""")
+sql("caption_stats", ["corpus"], """
+    SELECT (SELECT count(*) FROM corpus) AS sentences_seen,
+           count(*) AS sentences_considered,
+           count(*) FILTER (len(tokens) >= 30) AS sentences_too_long,
+           count(*) FILTER (len(tokens) < 30) AS sentences_output
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM corpus)
+    WHERE rn <= 40 AND doc_id IN (SELECT vec_id FROM embeddings)""")
 sql(
     "captions_features",
     ["vocab"],
@@ -394,6 +402,39 @@ sql(
         FROM (SELECT split, count(*) AS n, CASE split WHEN 'train' THEN 100 ELSE 1 END AS k
               FROM r GROUP BY split), range(100) t(i) WHERE i < k""",
 )
+
+
+def _split(rows: str, first: int) -> str:
+    return f"""
+        SELECT *, CASE WHEN row_number() OVER (
+            ORDER BY md5('123:' || doc_id || ':' || pos), doc_id, pos) <= {first}
+            THEN 'validation' ELSE 'train' END AS split FROM {rows}"""
+
+
+sql(
+    "stored_images",
+    ["vocab"],
+    f"""SELECT split, {joined('list_append(ids, 0)')} AS sentence, {outline('embedding')}
+        FROM placed""",
+    capped="""SELECT doc_id, pos, tokens, embedding FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rn FROM corpus)
+        JOIN embeddings ON vec_id = doc_id WHERE rn <= 40 AND len(tokens) < 30""",
+    coded=ids_of("capped", "doc_id, pos", "tokens", "drop"),
+    rows="SELECT * FROM capped JOIN coded USING (doc_id, pos)",
+    placed=_split("rows", 100),
+)
+sql(
+    "stored_labels",
+    ["vocab"],
+    f"""SELECT split, {joined('list_append(ids, 0)')} AS encode, {r6('obj_id')} AS feature
+        FROM placed""",
+    lab=_LABELLED,
+    coded=ids_of("lab", "doc_id, pos", "tokens", "drop"),
+    rows="SELECT * FROM coded JOIN lab USING (doc_id, pos) WHERE len(tokens) < 30",
+    placed=_split("rows", 100),
+)
+sql("stored_vocabulary", ["vocab"], """
+    SELECT 'count' AS kind, word, n FROM wc UNION ALL SELECT 'id', word, id FROM vocab""")
 sql(
     "stored_records",
     ["vocab", "tpairs"],
@@ -507,10 +548,14 @@ sql(
 sql(
     "padded_clips",
     [],
-    f"""SELECT batch, CAST(n AS INTEGER) AS n, 640 AS padded, {outline('v')} FROM m
-        JOIN (SELECT batch, count(*) AS n FROM f GROUP BY batch) USING (batch)""",
-    f="""SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 8 AS batch, embedding
-         FROM embeddings""",
+    f"""SELECT batch, CAST(n AS INTEGER) AS n, 640 AS padded, {r6('square')} AS flat_square,
+               {r6('coalesce(second, 0)')} AS second_frame, {outline('v')} FROM m
+        JOIN (SELECT batch, count(*) AS n, max(embedding[1]) FILTER (i = 1) AS second,
+                     sum(list_dot_product(CAST(embedding AS DOUBLE[]),
+                                          CAST(embedding AS DOUBLE[]))) AS square
+              FROM f GROUP BY batch) USING (batch)""",
+    f="""SELECT rk // 8 AS batch, rk % 8 AS i, embedding
+         FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS rk FROM embeddings)""",
     m=summed("f", "batch", "embedding", 64, "avg"),
 )
 sql(
@@ -1018,10 +1063,11 @@ sql(
     mapped=_MAPPED,
 )
 
-# The same results by the join of a vocabulary over the broadcast limit.
+# The same results by the join of a vocabulary over the broadcast limit, or from a stored table.
 for _joined, _twin in [
     ("encode_ids_joined", "encode_ids_drop"),
     ("word_vectors_joined", "word_vectors"),
     ("bow_joined", "sentence_bow"),
+    ("stored_expansion", "expand_vocab"),
 ]:
     ORACLES[_joined] = ORACLES[_twin]

@@ -111,6 +111,18 @@ def scored_files(spark, sf):
     return sources.read_scored_pairs(spark, [path], header=False)
 
 
+@query
+def scored_files_header(spark, sf):
+    """The same with an id column and a header line in every file."""
+    path = _fresh_path(spark)
+    fields = [F.replace(c, F.lit("\t"), F.lit(" ")).alias(c) for c in ("s1", "s2")]
+    pairs = fx.scored_pairs(spark, sf).select(
+        F.concat_ws("-", "doc_id", "pos").alias("pair_id"), *fields, "score"
+    )
+    pairs.write.option("sep", "\t").option("quote", "").option("header", "true").csv(path)
+    return sources.read_scored_pairs(spark, [path])
+
+
 @query
 def ws_tokens(spark, sf):
     return fx.corpus(spark, sf).select(
@@ -357,6 +369,11 @@ def captions_capped(spark, sf):
     )
 
 
+@query
+def caption_stats(spark, sf):
+    return windows.caption_stats(fx.captions(spark, sf), fx.features(spark, sf))
+
+
 @query
 def captions_features(spark, sf):
     found = caption_plans.image_records(
@@ -451,6 +468,64 @@ def stored_records(spark, sf):
     return stored.select(joined("s1").alias("s1"), joined("s2").alias("s2"))
 
 
+@query
+def stored_images(spark, sf):
+    """Captions with their features written as train and validation shards, and read again."""
+    found = caption_plans.image_records(
+        fx.captions(spark, sf), fx.features(spark, sf), fx.vocab(spark, sf)
+    )
+    path = _fresh_path(spark)
+    sinks.write_splits(
+        found, path, "image", "clip_id", "pos", n_validation=100, train_shards=10
+    )
+    return _stored_splits(spark, path, "image", lambda df: df.select(
+        "split", joined("sentence").alias("sentence"), *outline("image")))
+
+
+@query
+def stored_labels(spark, sf):
+    """Labelled texts written as train and validation shards, and read again."""
+    found = caption_plans.label_records(_labelled(spark, sf), fx.vocab(spark, sf))
+    path = _fresh_path(spark)
+    sinks.write_splits(
+        found, path, "label", "doc_id", "pos", n_validation=100, train_shards=4
+    )
+    return _stored_splits(spark, path, "label", lambda df: df.select(
+        "split", joined("encode").alias("encode"), r6(F.get("feature", F.lit(0))).alias("feature")))
+
+
+def _stored_splits(spark, path: str, kind: str, shown) -> DataFrame:
+    parts = [
+        shown(sources.read_records(spark, [f"{path}/{split}/shard={split}-*"], kind)
+              .withColumn("split", F.lit(split)))
+        for split in ("train", "validation")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def stored_vocabulary(spark, sf):
+    """The vocabulary and the counts of all words, written and read again."""
+    path = _fresh_path(spark)
+    sinks.write_vocab(fx.vocab(spark, sf), f"{path}/vocab")
+    sinks.write_word_counts(word_counts(fx.corpus(spark, sf)), f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts").select(F.lit("count").alias("kind"), "word", "n")
+    words = spark.read.parquet(f"{path}/vocab").select(
+        F.lit("id").alias("kind"), "word", F.col("id").cast("bigint").alias("n")
+    )
+    return counts.unionByName(words)
+
+
+@query
+def stored_expansion(spark, sf):
+    """``expand_vocab`` written and read again."""
+    large, own = _spaces(spark, sf)
+    fixed = expand.SpaceMap(fx.wave(16, 16, 7, 13, 6.0), fx.wave(1, 16, 0, 5, 10.0)[0])
+    path = _fresh_path(spark)
+    sinks.write_expanded(expand.expand_vocab(large, own, fixed), path)
+    return spark.read.parquet(path).select("pos", "word", *outline("v"))
+
+
 def _fresh_path(spark) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/records-{uuid.uuid4().hex}"
 
@@ -577,6 +652,8 @@ def padded_clips(spark, sf):
         F.col("clip_id").alias("batch"),
         F.size("frames").alias("n"),
         F.size(A.pad_flat("frames", 10, 64)).alias("padded"),
+        r6(V.dot(A.pad_flat("frames", 10, 64), A.pad_flat("frames", 10, 64))).alias("flat_square"),
+        r6(F.get(A.pad_flat("frames", 10, 64), F.lit(64))).alias("second_frame"),
         *outline(V.mean_pool("frames", 64)),
     )
 
