@@ -16,7 +16,7 @@ import brute  # noqa: E402
 from compare import duck, local_spark  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from sentloom.llm import chat, decontam, langid, packing, pii, quality, sharding, simhash, urls, warc  # noqa: E402
+from sentloom.llm import chat, decontam, langid, nearcopies, packing, pii, quality, sharding, simhash, urls, warc  # noqa: E402
 from sentloom.llm.common import lookup_join  # noqa: E402
 from sentloom.llm.components import connected_components  # noqa: E402
 from sentloom.llm.oracle import ORACLES  # noqa: E402
@@ -162,6 +162,48 @@ def test_simhash_links_in_large_buckets(spark):
         assert all(len(x) == 1 for x in mine.values()) and len(mine) == len(set(least))
 
 
+def edited_copies(n_texts, n_copies, edits):
+    rng = brute.np.random.default_rng(5)
+    texts = []
+    for _ in range(n_texts):
+        words = [f"w{i}" for i in rng.integers(0, 10**6, 150)]
+        for _ in range(n_copies):
+            copy = list(words)
+            for at in rng.integers(0, 150, rng.integers(0, edits)):
+                copy[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy) + "\nall rights reserved by the authors of this one text")
+    return texts
+
+
+def jaccard_components(texts):
+    """The first index that each text is linked to, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        words = brute.ascii_lower(t or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("shape", [(40, 4, 9), (2, 90, 9)])  # small groups; large ones
+def test_near_copies_against_all_pairs(spark, shape):
+    own = [*edited_copies(*shape), None, "", " \n", "one two three", "ONE two  three"]
+    rows = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(own)], SCHEMA.split(", _text")[0])
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, rows.repartition(5), FOLDER).collect()}
+    assert kept == set(jaccard_components(own)) and len(kept) < len(own) - 10
+
+
 def test_thresholds():
     costs = [{-1: 0, 0: 8, 1: 99, 2: 999}, {-1: 0, 0: 1, 1: 2, 2: 99}, {-1: 0, 0: 9, 1: 99, 2: 999}]
     assert simhash.choose_thresholds(costs) == [0, 1, -1]
@@ -288,6 +330,15 @@ def test_pipeline_against_brute_force(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).select("doc_id").distinct().collect()} == kept
 
 
+def test_pipeline_drops_copies_of_high_jaccard(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()}
+    good = sorted((r for r in docs.collect() if not quality_fails(r.text)), key=lambda r: r.doc_id)
+    kept = [good[i] for i in set(jaccard_components([r.text for r in good]))]
+    kept = {r.doc_id for r in kept if not brute.contamination(r.text, bench)[1]}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).select("doc_id").distinct().collect()} == kept
+
+
 def quality_fails(text):
     b = brute.quality(text)
     n, lines = b["n_words"], [x for x in (text or "").split("\n") if x.split()]
