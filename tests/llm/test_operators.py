@@ -204,6 +204,14 @@ def test_near_copies_against_all_pairs(spark, shape):
     assert kept == set(jaccard_components(own)) and len(kept) < len(own) - 10
 
 
+def test_near_copies_are_judged_by_row(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (7, a), (7, b), (None, c), (None, d), (None, d), (9, c), (9, c)]
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows], SCHEMA.split(", _text")[0])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
+    assert sorted(kept, key=lambda r: r[1]) == [(1, a), (7, b), (9, c), (None, d)]
+
+
 def test_thresholds():
     costs = [{-1: 0, 0: 8, 1: 99, 2: 999}, {-1: 0, 0: 1, 1: 2, 2: 99}, {-1: 0, 0: 9, 1: 99, 2: 999}]
     assert simhash.choose_thresholds(costs) == [0, 1, -1]
