@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from sentloom.llm.common import lookup_join, slices
+from sentloom.llm.common import free_name, lookup_join, slices
 from sentloom.llm.components import connected_components
 from sentloom.session import materialize
 
@@ -210,12 +210,36 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows have it. An empty table gives an empty result.
     """
     rows = materialize(fingerprints(df, id_col, text_col))
+    rooted = _rooted(rows)
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    labelled = rooted.join(smallest, "root").select("fp", "component_id", "n_rows")
+    return lookup_join(rows, labelled, "fp", "n_rows", "doc_id")
+
+
+def _rooted(rows: DataFrame) -> DataFrame:
+    """(fp, first_id, n_rows, root): a row per fingerprint, with its component's root."""
     nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")))
     groups, thresholds = plan_partitions(nodes)
     roots = connected_components(links(nodes, groups, thresholds))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select(
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(
         "fp", "first_id", "n_rows", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labelled = rooted.join(smallest, "root").select("fp", "component_id", "n_rows")
-    return lookup_join(rows, labelled, "fp", "n_rows", "doc_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component of near duplicates one row of ``df``, with its columns as they are: that of
+    the smallest id (null ids last), then of the smallest hash of its text.
+
+    Rows are judged one by one, whatever ids they share: they are numbered and stored first, and
+    the number is part of what the components compare. Null and empty texts have fingerprint zero
+    and are linked like others.
+    """
+    number = free_name(df, "row_number")
+    rows = materialize(df.withColumn(number, F.monotonically_increasing_id()))
+    order = F.struct(
+        F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"),
+        F.xxhash64(text_col).alias("hash"), F.col(number).alias("number"),
+    )
+    prints = materialize(fingerprints(rows.select(order.alias("order"), text_col), "order", text_col))
+    kept = _rooted(prints).groupBy("root").agg(F.min("first_id").alias("first")).select(F.col("first.number").alias(number))
+    return rows.join(kept, number, "left_semi").select(*df.columns)
