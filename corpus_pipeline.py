@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentloom.llm import decontam, nearcopies, packing, pii, quality
+from sentloom.llm import decontam, packing, pii, quality, simhash
 from sentloom.llm.common import free_name, table
 from sentloom.session import materialize
 
@@ -25,9 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard of 0.8 or more) the row with the smallest id
-    stays; rows of one id are judged by their own texts."""
-    return _as(docs, nearcopies.keep_first(docs))
+    """Of each group of SimHash near-duplicates (3-word shingles, at most 2 bits apart) the row with
+    the smallest id stays; rows of one id are judged by their own texts."""
+    return simhash.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,13 +59,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", keep_good),
-    ("near copies", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("personal data", redact_personal_data),
     ("packing", pack),
 ]
 
-#: SQL can not state the near copies, the random field or the packing; the tests compare the
+#: SQL can not state the components, the random field or the packing; the tests compare the
 #: stages with brute force.
 ORACLE_SQL = None
 
