@@ -63,4 +63,77 @@ SELECT conv_id, n AS prompt_turns, coalesce(array_to_string(sa, ''), '') AS prom
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op3_warc": OP3, "op4_urls": OP4, "op7_chat": OP7}
+OP11 = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS MATERIALIZED (SELECT r, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+k AS MATERIALIZED (
+  SELECT r, line, i, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+s AS (
+  SELECT r, count(f.key) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL) AS kept
+  FROM k LEFT JOIN f ON k.key = f.key GROUP BY r)
+SELECT doc_id, len(lines) AS n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d JOIN s USING (r)
+"""
+
+OP12 = """
+WITH o AS MATERIALIZED (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS MATERIALIZED (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(flatten(list_transform(string_split(c::VARCHAR, ''),
+      lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda v, x: CASE WHEN x >= 0 THEN xor(v, x) WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, 4294967295::BIGINT),
+    4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT c FROM o)),
+t AS MATERIALIZED (
+  SELECT h.c, 0 AS own, o.p, {'role': role, 'text': text} AS turn FROM h JOIN o ON o.c = h.base AND o.p <= h.h
+  UNION ALL SELECT h.c, 1, o.p, {'role': role, 'text': text} FROM h JOIN o ON o.c = h.c AND o.p > h.h),
+s AS MATERIALIZED (
+  SELECT h.c, coalesce(list(turn ORDER BY own, p) FILTER (WHERE turn IS NOT NULL), []) AS turns FROM h LEFT JOIN t ON t.c = h.c GROUP BY h.c),
+m AS MATERIALIZED (SELECT c, d, list_slice(turns, 1, d) AS path, len(turns) = d AS ends FROM (SELECT *, unnest(range(len(turns) + 1)) AS d FROM s)),
+n AS MATERIALIZED (
+  SELECT d, path, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY d, path),
+k AS MATERIALIZED (SELECT d - 1 AS d, list_slice(path, 1, d - 1) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+e AS MATERIALIZED (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * length(n.path[n.d].text) END AS saved
+  FROM n LEFT JOIN k ON k.d = n.d AND k.path = n.path),
+b AS MATERIALIZED (
+  SELECT a AS d, list_slice(path, 1, a) AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM e) GROUP BY ALL)
+SELECT e.conv_id, e.d AS depth, up.conv_id AS parent_conv_id, e.n_convs, e.n_children, n_leaves, saved_tokens, e.ends_sha256
+FROM e JOIN b ON b.d = e.d AND b.path = e.path LEFT JOIN n up ON up.d = e.d - 1 AND up.path = list_slice(e.path, 1, e.d - 1) AND e.d > 0
+"""
+
+OP13 = """
+WITH q AS MATERIALIZED (
+  SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM q a JOIN q r ON a.id % 100 = 0 AND a.id <> r.id),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc": OP3,
+    "op4_urls": OP4,
+    "op7_chat": OP7,
+    "op11_line_dedup": OP11,
+    "op12_prefix_trie": OP12,
+    "op13_hard_negatives": OP13,
+}
