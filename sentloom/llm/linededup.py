@@ -175,7 +175,9 @@ def drop_frequent_lines(
         some = F.exists(line_keys(text_col), lambda k: F.length(k) >= min_chars)
     text_key = F.when(some, F.struct(*[h.cast("bigint").alias(n) for n, h in zip(("a", "b"), _hash(text_col), strict=True)]))
     places = (
-        rows.select(text_key.alias("text_key"), F.posexplode_outer(line_keys(text_col)).alias("pos", "line"))
+        # The key in a step of its own: beside the explode it would be computed per line.
+        rows.select(text_key.alias("text_key"), line_keys(text_col).alias("lines"))
+        .select("text_key", F.posexplode_outer("lines").alias("pos", "line"))
         .filter(F.length("line") >= min_chars)
         .select("text_key", "pos", F.struct(*_hash("line")).alias("hash"))
     )
