@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sentloom.operators.lookup import MAX_BROADCAST_BYTES, _list_array, _lookup, _starts
+from sentloom.operators.lookup import MAX_BROADCAST_BYTES, _known, _list_array, _lookup
 from sentloom.operators.lookup import fits, shared_matrix
 
 # Fixed value: added to the variance in layer normalisation.
@@ -115,6 +115,16 @@ def _final_states(
     return states
 
 
+def gru_states(
+    matrix: np.ndarray, words: np.ndarray, starts: np.ndarray, forward: GruWeights, backward: GruWeights | None
+) -> np.ndarray:
+    """Last states of the sentences' words (rows of ``matrix``), of both directions side by side."""
+    ends = [_final_states(matrix, words, starts, forward, False)]
+    if backward is not None:
+        ends.append(_final_states(matrix, words, starts, backward, True))
+    return np.concatenate(ends, axis=1)
+
+
 def encode_gru(
     df: DataFrame,
     word_vec: DataFrame,
@@ -128,7 +138,7 @@ def encode_gru(
     """Final state of a layer-normalised GRU over the word vectors.
 
     With ``backward`` weights the two directions' states are concatenated; both must have the
-    same number of units. An empty sentence gives a zero vector.
+    same number of units. An empty sentence gives a zero vector; NULL tokens are left out.
     """
     if backward is not None and backward.units != forward.units:
         raise ValueError("both directions need the same number of units")
@@ -136,19 +146,15 @@ def encode_gru(
     kernels = context.broadcast((forward, backward))
 
     def states(matrix: np.ndarray, words: np.ndarray, starts: np.ndarray) -> pa.Array:
-        fw, bw = kernels.value
-        ends = [_final_states(matrix, words, starts, fw, False)]
-        if bw is not None:
-            ends.append(_final_states(matrix, words, starts, bw, True))
-        return _vectors(np.concatenate(ends, axis=1))
+        return _vectors(gru_states(matrix, words, starts, *kernels.value))
 
     if fits(word_vec, max_bytes):
         shared = shared_matrix(word_vec, oov)
 
         def encode(tokens: pa.Array) -> pa.Array:
             places, matrix = shared.value
-            words = _lookup(tokens.flatten(), places, len(matrix) - 1)
-            return states(matrix, words, _starts(tokens))
+            starts, known = _known(tokens)
+            return states(matrix, _lookup(known, places, len(matrix) - 1), starts)
 
         column = F.col(tokens)
     else:
@@ -157,8 +163,8 @@ def encode_gru(
             raise ValueError("word table over the broadcast limit: pass looked-up vectors")
 
         def encode(tokens: pa.Array) -> pa.Array:
-            flat = tokens.flatten()
-            return states(_rows(flat), np.arange(len(flat)), _starts(tokens))
+            starts, flat = _known(tokens)
+            return states(_rows(flat), np.arange(len(flat)), starts)
 
         column = F.col(tokens)
     return df.withColumn(out, F.arrow_udf(encode, T.ArrayType(T.DoubleType()))(column))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from sentloom.functions.vectors import NORM_EPSILON
 from sentloom.operators.dense import project
 from sentloom.operators.rank import ranked
+from sentloom.session import materialize
 
 
 def paired_spaces(large: DataFrame, own: DataFrame) -> DataFrame:
@@ -115,32 +118,95 @@ def gram_sums(
 
 @dataclass(frozen=True)
 class SpaceMap:
-    """y = x @ coef + intercept"""
+    """y = x @ coef + intercept; ``rank`` of the centred x, if fitted."""
 
     coef: np.ndarray
     intercept: np.ndarray
+    rank: int | None = None
 
 
-def _dense(rows, kind: str) -> np.ndarray:
-    part = rows[rows["kind"] == kind]
-    m = np.zeros((part["i"].max() + 1, part["j"].max() + 1))
-    m[part["i"], part["j"]] = part["value"]
-    return m
+_FACTOR = T.StructType(
+    [
+        T.StructField("task", T.LongType()),
+        T.StructField("i", T.IntegerType()),
+        T.StructField("values", T.ArrayType(T.DoubleType())),
+    ]
+)
+
+
+def _reduced(rows: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(rows, mode="r")
+
+
+def _factor_rows(factor: np.ndarray | None, task: int) -> Iterator[pa.RecordBatch]:
+    if factor is not None:
+        offsets = np.arange(len(factor) + 1, dtype=np.int32) * factor.shape[1]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(factor), task, np.int64)),
+                pa.array(np.arange(len(factor), dtype=np.int32)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(factor.ravel())),
+            ],
+            names=_FACTOR.names,
+        )
+
+
+def triangular_factor(pairs: DataFrame) -> np.ndarray:
+    """The R of the QR decomposition of the rows (1, x, y) of a tall table of (x, y) vector pairs.
+
+    Each task reduces its batches to one R; the R of up to ``FAN_IN`` tasks are reduced to one, round
+    by round, until one is left. No sum of squares is formed, so the condition of x is not
+    squared. A task holds two factors at a time; the driver gets the rows of the last one.
+    """
+
+    def reduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor = None
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _matrix(batch.column(0)), _matrix(batch.column(1))
+                rows = np.hstack([np.ones((len(x), 1)), x, y])
+                factor = _reduced(rows if factor is None else np.vstack([factor, rows]))
+        yield from _factor_rows(factor, TaskContext.get().partitionId())
+
+    def reduce_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor, task, rows = None, None, []
+
+        def added() -> np.ndarray | None:
+            return factor if not rows else _reduced(np.vstack([*([] if factor is None else [factor]), *rows]))
+
+        for batch in batches:
+            values = batch.column(2)
+            for n, now in enumerate(batch.column(0).to_pylist()):
+                if now != task:
+                    factor, task, rows = added(), now, []
+                rows.append(values[n].values.to_numpy()[None, :])
+        yield from _factor_rows(added(), TaskContext.get().partitionId())
+
+    factors = materialize(pairs.select("x", "y").mapInArrow(reduce_batches, _FACTOR))
+    while (tasks := factors.select("task").distinct().count()) > 1:
+        groups = -(-tasks // FAN_IN)
+        together = factors.repartition(groups, F.pmod("task", F.lit(groups))).sortWithinPartitions("task", "i")
+        factors = materialize(together.mapInArrow(reduce_factors, _FACTOR))
+    rows = factors.orderBy("i").select("values").toArrow()["values"].combine_chunks()
+    return _matrix(rows) if len(rows) else np.zeros((0, 0))
 
 
 def fit_space_map(pairs: DataFrame) -> SpaceMap:
     """Least squares with intercept over (x, y) pairs.
 
-    Spark sums the Gram matrices; the driver gets only these d x d sums, never the rows, and
-    solves the small system. The second pass uses centred vectors, which keeps the system well
-    conditioned; a singular one gets the minimum-norm solution.
+    Spark reduces the rows to one triangular factor; below its first row stands the factor of the
+    centred vectors, which the driver solves. A singular system gets the minimum-norm solution, and
+    the rank says so.
     """
-    first = gram_sums(pairs, ("n", "x", "y")).toPandas()
-    n = _dense(first, "n")[0, 0]
-    mean_x, mean_y = _dense(first, "x")[:, 0] / n, _dense(first, "y")[:, 0] / n
-    second = gram_sums(pairs, ("xx", "xy"), (mean_x, mean_y)).toPandas()
-    coef, *_ = np.linalg.lstsq(_dense(second, "xx"), _dense(second, "xy"), rcond=None)
-    return SpaceMap(coef, mean_y - mean_x @ coef)
+    dim = pairs.select(F.size("x").alias("n")).first()
+    if dim is None:
+        raise ValueError("no pairs to fit")
+    d, factor = dim["n"], triangular_factor(pairs)
+    coef, _, rank, _ = np.linalg.lstsq(factor[1:, 1 : d + 1], factor[1:, d + 1 :], rcond=None)
+    if len(factor) < 2:
+        coef, rank = np.zeros((d, factor.shape[1] - d - 1)), 0
+    intercept = (factor[0, d + 1 :] - factor[0, 1 : d + 1] @ coef) / factor[0, 0]
+    return SpaceMap(coef, intercept, int(rank))
 
 
 def apply_space_map(large: DataFrame, fitted: SpaceMap, out: str = "mapped") -> DataFrame:

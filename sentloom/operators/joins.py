@@ -24,6 +24,24 @@ def salted_join(
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def split_hot(
+    asks: DataFrame, table: DataFrame, key: str, spread: list[str], rows_per_task: int
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_chunk``, for a grouped or plain join by (key, _chunk): asks of one
+    key go to as many chunks as they have runs of ``rows_per_task`` rows, and the key's rows of
+    ``table`` are copied once per chunk; keys nobody asks for are left out. ``asks`` is read
+    twice, so it should be stored."""
+    counts = asks.groupBy(key).agg(F.ceil(F.count("*") / rows_per_task).alias("_chunks"))
+    hot = counts.filter("_chunks > 1").withColumnRenamed(key, "_hot")
+    # Fewer keys than rows / rows_per_task are hot.
+    left = asks.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn(
+        "_chunk", F.pmod(F.xxhash64(*spread), F.coalesce("_chunks", F.lit(1).cast("bigint")))
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_chunks") - 1))
+    right = table.join(counts, key).withColumn("_chunk", every).drop("_chunks")
+    return left.drop("_hot", "_chunks"), right
+
+
 def caption_features(captions: DataFrame, features: DataFrame, key: str = "clip_id") -> DataFrame:
     """Captions with the feature of their clip; a caption without feature is left out.
 

@@ -20,10 +20,13 @@ from pyspark.sql import types as T
 
 from sentloom import EOS_ID, UNK, UNK_ID
 from sentloom.operators.joins import salted_join
+from sentloom.operators.pooling import vector_sums
 from sentloom.session import materialize
 
 # Every Python worker holds its own copy of a broadcast word table.
 MAX_BROADCAST_BYTES = 128 << 20
+# Vectors gathered at once.
+SLICE_BYTES = 32 << 20
 NO_UNK = f"oov='unk' needs a vector for {UNK}"
 
 
@@ -32,13 +35,17 @@ def _check_oov(oov: str) -> None:
         raise ValueError(f"oov must be 'unk' or 'drop', not {oov!r}")
 
 
-def fits(table: DataFrame, max_bytes: int) -> bool:
-    """Whether a (word, id[, v]) table is small enough to send to every executor."""
+def table_bytes(table: DataFrame) -> int:
+    """About the memory of a (word, id[, v]) table in a task."""
     size = F.octet_length("word") + 64
     if "v" in table.columns:
         size = size + F.size("v") * 8
-    total = table.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"]
-    return (total or 0) <= max_bytes
+    return table.agg(F.sum(size.cast("bigint")).alias("bytes")).first()["bytes"] or 0
+
+
+def fits(table: DataFrame, max_bytes: int) -> bool:
+    """Whether a (word, id[, v]) table is small enough to send to every executor."""
+    return table_bytes(table) <= max_bytes
 
 
 def _starts(lists: pa.ListArray) -> np.ndarray:
@@ -215,26 +222,41 @@ def _segments(starts: np.ndarray, max_words: int):
         first = last
 
 
+def bag_sums(rows: np.ndarray, starts: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Sum of the matrix rows of each sentence, some sentences at a time."""
+    dim = matrix.shape[1]
+    sums = np.zeros((len(starts) - 1, dim))
+    for first, last in _segments(starts, max(1, (4 << 20) // max(dim, 1))):
+        filled = np.flatnonzero(np.diff(starts[first : last + 1])) + first
+        if len(filled):
+            words = matrix[rows[starts[first] : starts[last]]]
+            sums[filled] = np.add.reduceat(words, starts[filled] - starts[first], axis=0, dtype=np.float64)
+    return sums
+
+
 def _bag_encoder(shared):
     def encode(tokens: pa.Array) -> pa.Array:
         places, matrix = shared.value
-        dim = matrix.shape[1]
         starts, known = _known(tokens)
-        rows = _lookup(known, places, len(matrix) - 1)
-        sums = np.zeros((len(tokens), dim))
-        for first, last in _segments(starts, max(1, (4 << 20) // max(dim, 1))):
-            filled = np.flatnonzero(np.diff(starts[first : last + 1])) + first
-            if len(filled):
-                words = matrix[rows[starts[first] : starts[last]]]
-                sums[filled] = np.add.reduceat(
-                    words, starts[filled] - starts[first], axis=0, dtype=np.float64
-                )
-        offsets = np.arange(len(tokens) + 1) * dim
+        sums = bag_sums(_lookup(known, places, len(matrix) - 1), starts, matrix)
+        offsets = np.arange(len(tokens) + 1) * matrix.shape[1]
         return _list_array(offsets, pa.array(sums.ravel()))
 
     return F.arrow_udf(encode, T.ArrayType(T.DoubleType()))
 
 
+def joint_index(tables: list[tuple[DataFrame, str]]) -> tuple[dict, np.ndarray, list[np.ndarray]]:
+    """Several (word table, mode) as one: word → row of a table that has, per model, the row of that
+    model's matrix. The last row of each stands for unknown words. The caller has checked the sum of
+    the sizes with :func:`table_bytes`."""
+    found = [_matrix(table, oov) for table, oov in tables]
+    words = dict.fromkeys(word for places, _ in found for word in places)
+    index = {word: i for i, word in enumerate(words)}
+    missing = [len(matrix) - 1 for _, matrix in found]
+    rows = [[places.get(word, last) for (places, _), last in zip(found, missing, strict=True)] for word in index]
+    return index, np.array([*rows, missing], np.int32), [matrix for _, matrix in found]
+
+
 def encode_bow(
     df: DataFrame,
     word_vec: DataFrame,
@@ -253,16 +275,15 @@ def encode_bow(
         return df.withColumn(out, _bag_encoder(shared_matrix(word_vec, oov))(F.col(tokens)))
     df, key = _keyed(df, key)
     dim = word_vec.select(F.size("v").alias("n")).first()["n"]
-    found = _vectors_by_join(df, word_vec, oov, tokens, key)
-    sums = found.groupBy(*key).agg(
-        F.array(
-            *[
-                F.coalesce(F.sum(F.get("_v", F.lit(i)).cast("double")), F.lit(0.0))
-                for i in range(dim)
-            ]
-        ).cast(T.ArrayType(T.DoubleType())).alias(out)
+    name = F.to_json(F.struct(*key)).alias("_bag")
+    found = _vectors_by_join(df, word_vec, oov, tokens, key).select(name, F.col("_v").alias("v"))
+    sums = vector_sums(found, "_bag", "v").select("_bag", F.col("total").alias(out))
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return (
+        df.withColumn("_row_bag", F.to_json(F.struct(*key)))
+        .join(sums, F.col("_row_bag") == F.col("_bag"), "left")
+        .withColumn(out, F.coalesce(F.col(out), zeros)).drop("_row_bag", "_bag", "_row_key")
     )
-    return _join_back(df, sums, key)
 
 
 def _vectors_by_join(
@@ -283,6 +304,28 @@ def _vectors_by_join(
     return found.select(*key, "_i", "word", value.cast(T.ArrayType(kind)).alias("_v"))
 
 
+def _gathered(
+    df: DataFrame, column: str, out: str, kind: T.DataType, slice_bytes: int, gather, width: int
+) -> DataFrame:
+    """``df`` with ``out``: ``gather(lists)`` of a list column. Vectors are gathered for a slice of the
+    rows at a time, of about ``slice_bytes``, and each slice goes out as a batch of its own; so neither
+    memory nor the 32-bit offsets of a list column depend on the length of the texts."""
+    kept = [f for f in df.schema.fields if f.name.lower() != out.lower()]
+    names = [f.name for f in kept]
+    rows = df.select(*[F.col(f"`{name}`") for name in names], F.col(column).alias("_gathered"))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(batch.num_columns - 1)
+            for first, last in _segments(_starts(lists), max(1, slice_bytes // max(width, 1))):
+                part = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], gather(part.columns[-1])], names=[*names, out]
+                )
+
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(out, kind)]))
+
+
 def lookup_vectors(
     df: DataFrame,
     word_vec: DataFrame,
@@ -291,6 +334,7 @@ def lookup_vectors(
     out: str = "vectors",
     key: list[str] | None = None,
     max_bytes: int = MAX_BROADCAST_BYTES,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Tokens → sequence of word vectors, one per token, with the mode's fallback vector."""
     _check_oov(oov)
@@ -305,8 +349,9 @@ def lookup_vectors(
             vectors = _list_array(offsets, pa.array(matrix[rows].ravel()))
             return _list_array(starts, vectors)
 
-        encode = F.arrow_udf(gather, T.ArrayType(T.ArrayType(_vector_type(word_vec))))
-        return df.withColumn(out, encode(F.col(tokens)))
+        kind = T.ArrayType(T.ArrayType(_vector_type(word_vec)))
+        matrix = shared.value[1]
+        return _gathered(df, tokens, out, kind, slice_bytes, gather, matrix.shape[1] * matrix.itemsize)
     df, key = _keyed(df, key)
     found = _vectors_by_join(df, word_vec, oov, tokens, key)
     seqs = found.groupBy(*key).agg(
@@ -324,6 +369,7 @@ def lookup_ids(
     out: str = "vectors",
     max_bytes: int = MAX_BROADCAST_BYTES,
     key: list[str] | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
     """Id arrays → sequences of vectors. ``table`` is (id, v); an unknown id gets zeros, a NULL id
     is left out."""
@@ -353,4 +399,4 @@ def lookup_ids(
         return _list_array(starts, _list_array(offsets, pa.array(gathered.ravel())))
 
     kind = T.ArrayType(T.ArrayType(_vector_type(table)))
-    return df.withColumn(out, F.arrow_udf(gather, kind)(F.col(ids)))
+    return _gathered(df, ids, out, kind, slice_bytes, gather, matrix.shape[1] * matrix.itemsize)

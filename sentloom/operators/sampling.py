@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sentloom.functions.vectors import dot, softplus
+from sentloom.operators.joins import split_hot
 from sentloom.operators.lookup import MAX_BROADCAST_BYTES, fits
+from sentloom.session import materialize
 
 # Fixed values of the reproducible draw: a prime modulus below 2^31 and multipliers.
 PRIME = 2147483647
@@ -22,6 +26,11 @@ DISTORTION = 0.75
 TRIES = 4
 # Rows scored as one group, and words scored at once inside it: bounds of a task's memory.
 GROUP_ROWS, LINES = 2048, 4096
+# Bytes of a word's id, weight and cumulative weight; ids of one range of a large vocabulary, as a
+# power of two.
+WORD_BYTES, RANGE_BITS = 24, 16
+# Batches that ask one range for more words in one task.
+FILLED = 64
 
 
 def _mixed(*numbers) -> np.ndarray:
@@ -94,14 +103,22 @@ def sample_negatives(
     length: int,
     k: int = 5,
     seed: int = 123,
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """(batch, position, slot, id): ``k * batch_size * length`` different words per batch.
 
     Words are drawn by weight and dealt in the order drawn, ``k`` to each position. ``batches`` has
-    one row per batch; the draw happens where that row is.
+    one row per batch; the draw happens where that row is. With a vocabulary whose ids and weights
+    are over ``max_bytes`` the numbers thrown go to the words instead (:func:`draw_by_ranges`).
     """
-    table = batches.sparkSession.sparkContext.broadcast(WordDraw.of(_vocabulary_ids(vocab)))
     n = k * batch_size * length
+    if vocab.count() * WORD_BYTES > max_bytes:
+        drawn = draw_by_ranges(batches.select("batch"), vocab, n, seed)
+        place = F.col("place")
+        return drawn.select(
+            "batch", F.floor(place / k).alias("position"), (place % k).cast("int").alias("slot"), F.col("id").cast("int").alias("id")
+        )
+    table = batches.sparkSession.sparkContext.broadcast(WordDraw.of(_vocabulary_ids(vocab)))
     schema = T.StructType(
         [
             T.StructField("batch", T.LongType()),
@@ -129,6 +146,94 @@ def sample_negatives(
     return batches.select(F.col("batch").cast("bigint")).mapInArrow(draw, schema)
 
 
+def draw_by_ranges(batches: DataFrame, vocab: DataFrame, n: int, seed: int, range_bits: int = RANGE_BITS) -> DataFrame:
+    """(batch, place, id): the draw of :class:`WordDraw` over a vocabulary that no task holds.
+
+    A two-level cumulative index: ids fall into ranges of 2^``range_bits``; the driver knows the
+    ranges' total weights, a range's own cumulative weights exist only in the task that holds it. A
+    number thrown is sent to its range and hits a word there; a range that very many numbers hit is
+    copied. A batch's first ``n`` different words are its draw. Batches that hit too few ask
+    every range for the words of the least exponential keys.
+    """
+    words = materialize(vocab.select(F.col("id").cast("bigint").alias("id")).withColumn("range", F.shiftright("id", range_bits)))
+    size = words.count()
+    if size < n and not batches.isEmpty():
+        raise ValueError(f"cannot draw {n} different words from {size}")
+    if not n:
+        return batches.select(F.col("batch").cast("bigint"), F.lit(0).alias("place"), F.lit(0).alias("id")).filter("false")
+    weight = F.pow((F.ln(F.col("id") + 2) - F.ln(F.col("id") + 1)) / F.ln(F.lit(size + 1)), F.lit(DISTORTION))
+    # A row per range: 2^range_bits words each.
+    ranges = words.groupBy("range").agg(F.sum(weight).alias("w")).orderBy("range").toArrow()
+    names, totals = ranges["range"].to_numpy(), ranges["w"].to_numpy()
+    ends = np.cumsum(totals)
+
+    def throw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = np.arange(TRIES * n, dtype=np.int64)
+        for part in parts:
+            for batch in part.column(0).to_numpy():
+                x = _mixed(int(batch), turn, seed) * ends[-1]
+                at = np.minimum(np.searchsorted(ends, x, "right"), len(ends) - 1)
+                inside = (x - (ends[at] - totals[at])) / totals[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(turn), batch, np.int64)), pa.array(turn), pa.array(names[at]), pa.array(inside)],
+                    names=["batch", "turn", "range", "inside"],
+                )
+
+    asked = batches.select(F.col("batch").cast("bigint").alias("batch"))
+    thrown = materialize(asked.mapInArrow(throw, "batch bigint, turn bigint, range bigint, inside double"))
+    left, right = split_hot(thrown, words, "range", ["batch", "turn"], LINES * 64)
+
+    def hit(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = np.sort(right["id"].to_numpy())
+        batch, turn, found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(left):
+            own = np.cumsum(word_weights(ids, size))
+            at = np.searchsorted(own, left["inside"].to_numpy() * own[-1], "right")
+            batch, turn, found = left["batch"].to_numpy(), left["turn"].to_numpy(), ids[np.minimum(at, len(ids) - 1)]
+        return pa.table({"batch": batch, "turn": turn, "id": found})
+
+    by = ["range", "_chunk"]
+    hits = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(hit, "batch bigint, turn bigint, id bigint")
+    first = hits.groupBy("batch", "id").agg(F.min("turn").alias("turn"))
+    order = Window.partitionBy("batch").orderBy("turn")
+    drawn = materialize(
+        first.withColumn("place", F.row_number().over(order) - 1).filter(F.col("place") < n).select("batch", "place", "id")
+    )
+    short = drawn.groupBy("batch").agg(F.count("*").alias("found"), F.collect_list("id").alias("ids")).filter(F.col("found") < n)
+    if short.isEmpty():
+        return drawn
+    return drawn.unionByName(_fill(short, words, (int(names[0]), int(names[-1])), n, seed, size))
+
+
+def _fill(short: DataFrame, words: DataFrame, ranges: tuple[int, int], n: int, seed: int, size: int) -> DataFrame:
+    """(batch, place, id): the words still missing in ``short`` (batch, found, ids), in the order of
+    exponential keys. Every range gives at most as many words as a batch lacks."""
+    short = materialize(short)
+    every = F.explode(F.sequence(*[F.lit(r).cast("bigint") for r in ranges]))
+    left, right = split_hot(short.withColumn("range", every), words, "range", ["batch"], FILLED)
+
+    def least(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids = np.sort(right["id"].to_numpy())
+        weights = word_weights(ids, size)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for batch, found, used in zip(left["batch"].to_pylist(), left["found"].to_pylist(), left["ids"], strict=True):
+            keys = -np.log(_mixed(batch, ids, seed)) / weights
+            keys[np.isin(ids, used.values.to_numpy())] = np.inf
+            best = np.lexsort((ids, keys))[: n - found]
+            best = best[np.isfinite(keys[best])]
+            out.append((np.full(len(best), batch), ids[best], keys[best]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table({"batch": columns[0], "id": columns[1], "key": columns[2]})
+
+    by = ["range", "_chunk"]
+    keyed = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(least, "batch bigint, id bigint, key double")
+    order = Window.partitionBy("batch").orderBy("key", "id")
+    ranked = keyed.withColumn("_i", F.row_number().over(order)).join(short.select("batch", "found"), "batch")
+    return ranked.withColumn("place", F.col("_i") - 1 + F.col("found")).filter(F.col("place") < n).select(
+        "batch", F.col("place").cast("int").alias("place"), "id"
+    )
+
+
 def positive_pairs(triples: DataFrame, v: str = "v", keep: list[str] | None = None) -> DataFrame:
     """(keep, part, t, v, id): each sentence vector with every target word of its triple.
 
@@ -153,17 +258,19 @@ def negative_sampling_loss(
     k: int = 5,
     seed: int = 123,
     parts: tuple[str, ...] = ("decode_pre", "decode_post", "encode"),
+    max_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """(batch, part, value): -Σ (ln σ(pos) + Σ ln σ(-neg)) / (batch_size * length).
 
     ``df`` is (batch, row, v, id-array columns named in ``parts``) from ``assign_batches``;
     ``targets`` is (id, v), the target vector of every id of ``vocab``. Each part takes its own
     draw. The divisor counts all padded positions; a position without word adds nothing. A task
-    takes some batches at a time, so small batches cost no group each.
+    takes some batches at a time, so small batches cost no group each. Targets over ``max_bytes`` meet
+    the words in a join instead; the losses are the same.
     """
     size = targets.select(F.col("id").cast("string").alias("word"), "v")
-    if not fits(size, MAX_BROADCAST_BYTES):
-        raise ValueError("the target table is over the broadcast limit")
+    if not fits(size, max_bytes):
+        return _loss_by_join(df, targets, vocab, batch_size, length, k, seed, parts)
     rows = targets.select(F.col("id").cast("bigint").alias("id"), "v").orderBy("id").toArrow()
     target_ids = rows["id"].to_numpy()
     flat = rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -222,6 +329,46 @@ def negative_sampling_loss(
     )
 
 
+def _loss_by_join(
+    df: DataFrame, targets: DataFrame, vocab: DataFrame, batch_size: int, length: int, k: int, seed: int, parts: tuple[str, ...]
+) -> DataFrame:
+    """The same losses without any table in a task's memory.
+
+    Each word of a sentence and each word drawn for its position asks for a target vector. Asks meet
+    targets by id, common words over several tasks, and what they get meets the sentence's vector by
+    (batch, row); only sums per batch and part are left after that.
+    """
+    df = materialize(df.select(F.col("batch").cast("bigint").alias("batch"), F.col("row").cast("bigint").alias("row"), "v", *parts))
+    lists = F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(p).alias("ids")) for i, p in enumerate(parts)]))
+    rows = df.select("batch", "row", lists.alias("x")).select("batch", "row", "x.part", "x.ids")
+    long = F.size("ids") > length
+    rows = rows.withColumn("ids", F.when(long, F.raise_error(F.lit("sentence longer than the padded width"))).otherwise(F.col("ids")))
+    lines = materialize(rows.select("batch", "row", "part", F.posexplode("ids").alias("at", "id")))
+    positive = lines.select("batch", "row", "part", F.col("id").cast("bigint").alias("id"), F.lit(-1.0).alias("sign"))
+    asks, batches, n = positive, lines.select("batch").distinct(), k * batch_size * length
+    if k:
+        for i in range(len(parts)):
+            drawn = draw_by_ranges(batches, vocab, n, seed + i)
+            place = F.floor(F.col("place") / k)
+            drawn = drawn.select("batch", F.floor(place / length).alias("row"), (place % length).alias("at"), "id")
+            wanted = lines.filter(F.col("part") == i).select("batch", "row", "part", "at")
+            negative = wanted.join(drawn, ["batch", "row", "at"]).select("batch", "row", "part", "id", F.lit(1.0).alias("sign"))
+            asks = asks.unionByName(negative)
+    # One row per different ask of a sentence.
+    asks = materialize(asks.groupBy("batch", "row", "part", "id", "sign").agg(F.count("*").alias("times")))
+    table = targets.select(F.col("id").cast("bigint").alias("id"), F.col("v").alias("target"))
+    left, right = split_hot(asks, table, "id", ["batch", "row"], LINES * 16)
+    met = left.join(right, ["id", "_chunk"], "left")
+    target = F.when(F.col("target").isNull(), F.raise_error(F.lit("a word without a target vector"))).otherwise(F.col("target"))
+    scored = met.select("batch", "row", "part", "sign", "times", target.alias("target")).join(df.select("batch", "row", "v"), ["batch", "row"])
+    loss = softplus(F.col("sign") * dot("target", "v")) * F.col("times")
+    found = scored.groupBy("batch", "part").agg(F.sum(loss).alias("lost"))
+    every = df.select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0), F.lit(len(parts) - 1))).alias("part"))
+    name = F.get(F.array(*[F.lit(p) for p in parts]), F.col("part"))
+    value = F.coalesce("lost", F.lit(0.0)) / (batch_size * length)
+    return every.join(found, ["batch", "part"], "left").select("batch", name.alias("part"), value.alias("value"))
+
+
 def text_total(losses: DataFrame) -> DataFrame:
     """(batch, value): previous plus next plus own."""
     return losses.groupBy("batch").agg(F.sum("value").alias("value"))

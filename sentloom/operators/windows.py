@@ -16,26 +16,37 @@ def neighbours(
     """Columns ``previous`` and ``next``: ``value`` of the row before and after in its group.
 
     ``order`` is an integer. The window runs over runs of ``chunk_rows`` order values, so one
-    huge group is spread over many tasks. Only the first and the last row of each run miss a
-    neighbour; they get it from a second window over just these edge rows.
+    huge group is spread over many tasks. Runs exchange their edges beside it: an aggregate takes
+    each run's first and last value, and a group with several runs hands them on to the runs
+    before and after.
     """
-    chunk = Window.partitionBy(group, "_chunk").orderBy(order)
-    rows = df.withColumn("_chunk", F.floor(F.col(order) / chunk_rows)).select(
-        "*",
-        F.lag(value).over(chunk).alias("previous"),
-        F.lead(value).over(chunk).alias("next"),
-        (F.lag(order).over(chunk).isNull() | F.lead(order).over(chunk).isNull()).alias("_edge"),
-    )
-    across = Window.partitionBy(group).orderBy(order)
+    run = F.floor(F.col(order) / chunk_rows)
+    window = Window.partitionBy(group, "_chunk").orderBy(order)
+    rows = df.withColumn("_chunk", run).select(
+        "*", F.lag(value).over(window).alias("_lag"), F.lead(value).over(window).alias("_lead"),
+        F.row_number().over(window).alias("_place"), F.lead(order).over(window).isNull().alias("_end"),
+    )
     edges = (
-        rows.filter("_edge")
-        .withColumn("_before", F.lag(value).over(across))
-        .withColumn("_after", F.lead(value).over(across))
-        .withColumn("previous", F.coalesce("previous", "_before"))
-        .withColumn("next", F.coalesce("next", "_after"))
-        .drop("_before", "_after")
-    )
-    return rows.filter(~F.col("_edge")).unionByName(edges).drop("_chunk", "_edge")
+        df.groupBy(F.col(group).alias("_group"), run.alias("_run"))
+        .agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
+        .groupBy("_group")
+        .agg(F.sort_array(F.collect_list(F.struct("_run", "first", "last"))).alias("r"))
+        .filter(F.size("r") > 1)
+    )
+    near = F.transform(
+        "r",
+        lambda x, i: F.struct(
+            x["_run"].alias("run"), F.get("r", i - 1)["last"].alias("before"), F.get("r", i + 1)["first"].alias("after")
+        ),
+    )
+    handed = edges.select("_group", F.explode(near).alias("x")).select("_group", "x.*")
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_chunk") == F.col("run"))
+    return (
+        rows.join(handed, same, "left")
+        .withColumn("previous", F.when(F.col("_place") == 1, F.col("before")).otherwise(F.col("_lag")))
+        .withColumn("next", F.when(F.col("_end"), F.col("after")).otherwise(F.col("_lead")))
+        .drop("_lag", "_lead", "_place", "_end", "_chunk", "_group", "run", "before", "after")
+    )
 
 
 def _usable(parts: list[Column]) -> Column:

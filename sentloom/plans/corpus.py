@@ -10,8 +10,9 @@ from sentloom.operators.lookup import MAX_BROADCAST_BYTES, append_eos, encode_id
 from sentloom.operators.rank import limit_ordered
 from sentloom.operators.vocab import build_vocab, word_counts
 from sentloom.operators.windows import neighbours, row_triples, usable_triple
+from sentloom.plans.jobs import Counters, Written, choose_vocab, write_eval_sets
 from sentloom.session import materialize
-from sentloom.sources.sinks import write_splits, write_vocab, write_word_counts
+from sentloom.sources.sinks import write_splits
 from sentloom.sources.text import sentence_arrays
 
 PARTS = ["decode_pre", "encode", "decode_post"]
@@ -40,19 +41,28 @@ def id_triples(
     max_len: int = 30,
     add_eos: bool = False,
     max_bytes: int = MAX_BROADCAST_BYTES,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Id triples of a sentence table. Each sentence is encoded once, before the window, and
-    the window carries ids and the token count (the length rule looks at tokens)."""
+    the window carries ids and the token count (the length rule looks at tokens). ``counters`` counts
+    the sentences seen, considered, too long and put out, when the result is written."""
     coded = encode_ids(
         sentences, vocab, oov, tokens, "_ids", add_eos, [group, order], max_bytes
     )
     item = F.struct(F.size(tokens).alias("n"), F.col("_ids").alias("ids"))
     near = neighbours(coded.select(group, order, item.alias("_item")), group, order, "_item")
     items = {"decode_pre": "previous", "encode": "_item", "decode_post": "next"}
-    keep = F.lit(True)
-    for source in items.values():
-        n = F.col(f"{source}.n")
-        keep = keep & (n > 0) & ((n < max_len) if max_len else F.lit(True))
+    sizes = [F.coalesce(F.col(f"{source}.n"), F.lit(0)) for source in items.values()]
+    considered, short = F.least(*sizes) > 0, F.greatest(*sizes) < max_len if max_len else F.lit(True)
+    keep = considered & short
+    if counters is not None:
+        near = counters.watch(
+            near,
+            sentences_seen=F.count("*"),
+            sentences_considered=F.count_if(considered),
+            sentences_too_long=F.count_if(considered & ~short),
+            sentences_output=F.count_if(keep),
+        )
     return near.filter(keep).select(
         group, order, *[F.col(f"{source}.ids").alias(p) for p, source in items.items()]
     )
@@ -116,20 +126,21 @@ def write_corpus(
     text: str = "text",
     vocab: DataFrame | None = None,
     max_sentences: int = 0,
-) -> DataFrame:
+    eval_sets: dict[str, DataFrame] | None = None,
+) -> Written:
     """The whole job: counts and vocabulary (unless one is given), triples, split, shards.
 
-    ``max_sentences`` keeps only the first triples in file and line order; 0 keeps all.
-    Writes ``counts``, ``vocab``, ``train`` and ``validation`` below ``path``; returns the
-    vocabulary.
+    ``max_sentences`` keeps only the first triples in file and line order; 0 keeps all (the counters
+    are of all sentences). Writes ``counts``, ``vocab``, ``train`` and ``validation`` below ``path``,
+    and the scored pairs of ``eval_sets`` as arrays below ``eval``; returns the vocabulary and the
+    counters.
     """
     tokens = sentences.select(group, order, ws_tokens(text).alias("tokens"))
-    if vocab is None:
-        counts = materialize(word_counts(tokens))
-        write_word_counts(counts, f"{path}/counts")
-        vocab = materialize(build_vocab(counts, num_words))
-    write_vocab(vocab, f"{path}/vocab")
-    records = id_triples(tokens, vocab, group, order, "tokens", oov, max_len)
+    vocab = choose_vocab(tokens, path, num_words, vocab)
+    if eval_sets:
+        write_eval_sets(eval_sets, vocab, f"{path}/eval", oov=oov)
+    counters = Counters()
+    records = id_triples(tokens, vocab, group, order, "tokens", oov, max_len, counters=counters)
     records = limit_ordered(records, max_sentences, group, order)
     write_splits(
         records,
@@ -142,4 +153,4 @@ def write_corpus(
         validation_shards=validation_shards,
         seed=seed,
     )
-    return vocab
+    return Written(vocab, counters.taken())

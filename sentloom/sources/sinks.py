@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentloom.operators.rank import assign_shards, hash_ranked, shard_of, shuffle_key
 from sentloom.schemas import RECORDS
-from sentloom.session import materialize
+from sentloom.session import checkpoint_root, materialize
 
 
 def to_records(df: DataFrame, kind: str, *keep: str) -> DataFrame:
@@ -98,3 +100,18 @@ def write_word_counts(counts: DataFrame, path: str) -> None:
 def write_expanded(expanded: DataFrame, path: str) -> None:
     """(pos, word, v), words and vectors in one order."""
     expanded.select("pos", "word", "v").orderBy("pos").write.mode("overwrite").parquet(path)
+
+
+def store_bucketed(df: DataFrame, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` stored in the shared folder in ``buckets`` of ``key`` (as many as shuffle partitions by
+    default), sorted by it, and read back. Joins and groups by ``key`` don't shuffle it again;
+    worth it for a wide table, such as features, that several jobs join."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    (
+        df.repartition(n, key).write.format("parquet")
+        .option("path", f"{checkpoint_root(spark).rstrip('/')}/{name}")
+        .bucketBy(n, key).sortBy(key).saveAsTable(name)
+    )
+    return spark.table(name)

@@ -50,7 +50,7 @@ def _canonical(df: pd.DataFrame) -> pd.DataFrame:
         if df[c].dtype.kind == "f":
             df = df.assign(**{c: df[c].map(lambda x: "null" if pd.isna(x) else repr(float(x)))})
         else:
-            df = df.assign(**{c: df[c].map(lambda x: "null" if x is None or x is pd.NA else str(x))})
+            df = df.assign(**{c: df[c].map(lambda x: "null" if x is None or x is pd.NA or x is pd.NaT or x != x else str(x))})
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 

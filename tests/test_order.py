@@ -110,7 +110,9 @@ def test_written_shards_come_back(spark, rows, tmp_path):
 def test_whole_corpus_job(spark, tmp_path):
     lines = [(f"f{i % 3}", i // 3, f"word{i % 5} other word{i % 11}") for i in range(90)]
     df = spark.createDataFrame(lines, "file string, pos long, text string")
-    vocab = write_corpus(df, str(tmp_path), num_words=50, n_validation=10, train_shards=3)
+    written = write_corpus(df, str(tmp_path), num_words=50, n_validation=10, train_shards=3)
+    vocab = written.vocab
+    assert written.counters == {"sentences_seen": 90, "sentences_considered": 84, "sentences_too_long": 0, "sentences_output": 84}
     train = read_records(spark, f"{tmp_path}/train/shard=*", "triple")
     held = read_records(spark, f"{tmp_path}/validation/shard=*", "triple")
     assert (train.count(), held.count()) == (3 * 28 - 10, 10)

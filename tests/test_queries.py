@@ -8,13 +8,10 @@ import __spark_entry__ as entry
 from workload.oracle import ORACLES
 from workload.queries import QUERIES
 
-# Checked against NumPy in test_dense.py and test_expand.py instead.
-WITHOUT_SQL = {"expand_vocab_fitted", "sentence_gru"}
-
 
 def test_every_query_has_sql():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -24,11 +21,6 @@ def test_query(spark, con, name):
     assert difference(rows, con.execute(ORACLES[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", sorted(WITHOUT_SQL))
-def test_rows_only(spark, name):
-    assert QUERIES[name](spark, FOLDER).count()
-
-
 def test_entry(spark):
     found = entry.entry(spark)
     assert found.columns == ["doc_id", "pos", "decode_pre", "encode", "decode_post"]

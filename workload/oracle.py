@@ -650,6 +650,16 @@ sql(
 )
 
 
+sql(
+    "nearest_of_label",
+    [],
+    f"""SELECT id, neighbour, rank, {r6('similarity')} AS similarity FROM n
+        WHERE id IN (SELECT vec_id FROM embeddings WHERE label = 0)""",
+    e="SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+    n=near("e", "v", 10, True),
+)
+
+
 def overlap(a: str, b: str) -> str:
     return f"""(SELECT count(*) FROM embeddings) AS n, count(*) AS shared,
         {r6("count(*) / ((SELECT count(*) FROM embeddings) * 10.0)")} AS overlap
@@ -1044,6 +1054,12 @@ sql(
     own=_OWN,
     s="SELECT word, x, y FROM large JOIN own USING (word)",
 )
+sql(
+    "space_map_residuals",
+    [],
+    """SELECT 'y' AS kind, CAST(i AS INTEGER) AS i, 0 AS j, 0.0::DOUBLE AS value FROM range(16) t(i)
+       UNION ALL SELECT 'xy', CAST(i AS INTEGER), CAST(j AS INTEGER), 0.0::DOUBLE FROM range(16) t(i), range(16) u(j)""",
+)
 sql(
     "space_map_applied",
     ["wv"],
@@ -1063,11 +1079,96 @@ sql(
     mapped=_MAPPED,
 )
 
+# The fit: normal equations of (1, x), eliminated column by column.
+sql(
+    "expand_vocab_fitted",
+    ["wv", "turns"],
+    f"""SELECT row_number() OVER (ORDER BY fresh, place) - 1 AS pos, word, {outline('v')} FROM (
+            SELECT word, coalesce(o.y, g.m) AS v, g.id IS NULL AS fresh,
+                   coalesce(g.id, o.id) AS place
+            FROM mapped g FULL JOIN own o USING (word))""",
+    large=_LARGE,
+    own=_OWN,
+    s="SELECT list_concat([1.0::DOUBLE], x) AS p, list_concat([1.0::DOUBLE], x, y) AS q FROM large JOIN own USING (word)",
+    cells="SELECT i, j, sum(p[i + 1] * q[j + 1]) AS c FROM s, range(17) t(i), range(33) u(j) GROUP BY i, j",
+    lines="SELECT i, list(c ORDER BY j) AS r FROM cells GROUP BY i",
+    solved="""
+        SELECT 0 AS k, list(r ORDER BY i) AS m FROM lines
+        UNION ALL
+        SELECT k + 1, list_transform(m, lambda r, i: list_transform(r, lambda v, j:
+            CASE WHEN i = k + 1 THEN v / p[k + 1] ELSE v - r[k + 1] * p[j] / p[k + 1] END))
+        FROM (SELECT k, m, m[k + 1] AS p FROM solved WHERE k < 17)""",
+    mapped="""
+        SELECT word, id, list_transform(range(18, 34), lambda j:
+            f[1][j] + list_sum(list_transform(x, lambda v, i: v * f[i + 1][j]))) AS m
+        FROM large, (SELECT m AS f FROM solved WHERE k = 17) WHERE NOT contains(word, '_')""",
+)
+ORACLES["expand_vocab_fitted"] = ORACLES["expand_vocab_fitted"].replace("WITH ", "WITH RECURSIVE ", 1).replace("solved AS MATERIALIZED (", "solved AS (")
+
+# --- recurrent encoder ------------------------------------------------------------------------------
+
+
+def wave_columns(rows: int, cols: int, a: str, b: int) -> str:
+    """The columns of a formula matrix, as a list of lists."""
+    return f"list_transform(range({cols}), lambda j: list_transform(range({rows}), lambda i: sin({a} * i + {b} * j + 1.0) / 3.0))"
+
+
+def times(v: str, columns: str) -> str:
+    return f"list_transform({columns}, lambda c: list_dot_product({v}, c))"
+
+
+def spread(v: str, mean: str) -> str:
+    return f"sqrt(list_avg(list_transform({v}, lambda x: (x - {mean}) * (x - {mean}))) + 1e-12)"
+
+
+sql(
+    "sentence_gru",
+    ["wv", "turns"],
+    f"""SELECT conv_id, turn, {outline('v')} FROM (
+            SELECT a.conv_id, a.turn, list_concat(a.h, b.h) AS v
+            FROM (SELECT * FROM g WHERE dir = 1 AND i = n) a
+            JOIN (SELECT * FROM g WHERE dir = 2 AND i = n) b ON a.conv_id = b.conv_id AND a.turn = b.turn)""",
+    k=f"""
+        SELECT dir, {wave_columns(16, 32, '(3 + dir)', 5)} AS wh, {wave_columns(64, 32, '(7 + dir)', 11)} AS wx,
+               {wave_columns(16, 16, '(2 + dir)', 9)} AS u, {wave_columns(64, 16, '(4 + dir)', 3)} AS w
+        FROM (SELECT unnest([1, 2]) AS dir)""",
+    lin=f"""
+        SELECT word, dir, {times('x', 'wx')} AS g, {times('x', 'w')} AS c
+        FROM (SELECT word, CAST(v AS DOUBLE[]) AS x FROM wv), k""",
+    centred="SELECT *, list_avg(g) AS gm, list_avg(c) AS cm FROM lin",
+    pre=f"""
+        SELECT word, dir, list_transform(g, lambda x: (x - gm) / gs) AS gx, list_transform(c, lambda x: (x - cm) / cs) AS cx
+        FROM (SELECT *, {spread('g', 'gm')} AS gs, {spread('c', 'cm')} AS cs FROM centred)""",
+    seq="""
+        SELECT conv_id, turn, dir, i, coalesce(a.gx, b.gx) AS gx, coalesce(a.cx, b.cx) AS cx
+        FROM (SELECT conv_id, turn, dir, unnest(CASE dir WHEN 1 THEN tokens ELSE list_reverse(tokens) END) AS word,
+                     unnest(range(len(tokens))) AS i FROM turns, (SELECT unnest([1, 2]) AS dir)) s
+        LEFT JOIN pre a USING (word, dir) JOIN pre b ON b.word = '<unk>' AND b.dir = s.dir""",
+    g=f"""
+        SELECT conv_id, turn, dir, len(tokens) AS n, 0::BIGINT AS i, list_resize([]::DOUBLE[], 16, 0.0::DOUBLE) AS h
+        FROM turns, (SELECT unnest([1, 2]) AS dir)
+        UNION ALL
+        SELECT conv_id, turn, dir, n, i + 1, list_transform(range(1, 17), lambda j: h[j] + z[j] * (tanh(z[16 + j] * (q[j] - qm) / qs + cx[j]) - h[j]))
+        FROM (SELECT *, list_transform(range(1, 33), lambda j: 1 / (1 + exp(-((s[j] - sm) / ss + gx[j])))) AS z
+          FROM (SELECT *, {spread('s', 'sm')} AS ss, {spread('q', 'qm')} AS qs
+            FROM (SELECT *, list_avg(s) AS sm, list_avg(q) AS qm
+              FROM (SELECT g.*, gx, cx, {times('h', 'wh')} AS s, {times('h', 'u')} AS q
+                FROM g JOIN seq USING (conv_id, turn, dir, i) JOIN k USING (dir)))))""",
+)
+ORACLES["sentence_gru"] = ORACLES["sentence_gru"].replace("WITH ", "WITH RECURSIVE ", 1).replace("g AS MATERIALIZED (", "g AS (")
+
 # The same results by the join of a vocabulary over the broadcast limit, or from a stored table.
 for _joined, _twin in [
     ("encode_ids_joined", "encode_ids_drop"),
     ("word_vectors_joined", "word_vectors"),
     ("bow_joined", "sentence_bow"),
     ("stored_expansion", "expand_vocab"),
+    ("nearest_indexed", "nearest"),
+    ("stored_set", "stored_records"),
+    ("vocabulary_summaries", "vocabulary"),
+    ("captions_bucketed", "captions_features"),
+    ("negative_sampling_loss_joined", "negative_sampling_loss"),
+    ("corpus_job_stats", "corpus_stats"),
+    ("caption_job_stats", "caption_stats"),
 ]:
     ORACLES[_joined] = ORACLES[_twin]

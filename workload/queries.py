@@ -27,6 +27,7 @@ from sentloom.operators.rank import (
 )
 from sentloom.operators.vocab import (
     build_vocab,
+    frequent_words,
     load_embeddings,
     load_vocab,
     shared_words,
@@ -39,7 +40,7 @@ from sentloom.plans import encoding, evaluation as evaluation_plans
 from sentloom.plans.encoding import SentenceModel
 from sentloom.plans.expansion import expanded_vocabulary
 from sentloom.session import checkpoint_root, materialize
-from sentloom.sources import sinks
+from sentloom.sources import sets, sinks
 from sentloom.sources import text as sources
 from workload import fixtures as fx
 
@@ -230,8 +231,8 @@ def labelled_onehot(spark, sf):
 @query
 def union_domains(spark, sf):
     pairs = materialize(fx.scored_pairs(spark, sf))
-    langs = sorted(r.lang for r in pairs.select("lang").distinct().collect() if r.lang is not None)
-    parts = {lang: pairs.filter(F.col("lang") == lang).drop("lang") for lang in langs}
+    langs = [r.lang for r in pairs.select("lang").distinct().collect()]
+    parts = {lang: pairs.filter(F.col("lang").eqNullSafe(F.lit(lang))).drop("lang") for lang in langs}
     return sources.union_domains(parts).select("doc_id", "pos", "domain", "s1", "s2", "score")
 
 
@@ -248,6 +249,12 @@ def vocabulary(spark, sf):
     return build_vocab(word_counts(fx.corpus(spark, sf)), fx.NUM_WORDS)
 
 
+@query
+def vocabulary_summaries(spark, sf):
+    """``vocabulary`` from heavy-hitter summaries of the tasks."""
+    return build_vocab(frequent_words(fx.corpus(spark, sf), fx.NUM_WORDS - 2), fx.NUM_WORDS)
+
+
 def _word_lines(spark, sf) -> DataFrame:
     """The words of all turns in order, one per line: (pos, text)."""
     words = fx.turns(spark, sf).select(
@@ -339,6 +346,23 @@ def corpus_stats(spark, sf):
     return windows.row_triple_stats(sources.sentence_arrays(fx.documents(spark, sf), "doc_id"))
 
 
+@query
+def corpus_job_stats(spark, sf):
+    """The counters that the whole corpus job takes while it writes its triples."""
+    rows = fx.sentences(spark, sf)
+    written = corpus_plans.write_corpus(rows, _fresh_path(spark), fx.NUM_WORDS, "unk", group="doc_id")
+    return spark.createDataFrame([written.counters])
+
+
+@query
+def caption_job_stats(spark, sf):
+    """The counters of the whole caption job."""
+    written = caption_plans.write_captions(
+        fx.captions(spark, sf), fx.features(spark, sf), _fresh_path(spark), num_words=fx.NUM_WORDS, n_validation=100
+    )
+    return spark.createDataFrame([written.counters])
+
+
 @query
 def turn_stats(spark, sf):
     near = windows.neighbours(fx.turns(spark, sf), "conv_id", "turn", "tokens")
@@ -374,6 +398,14 @@ def caption_stats(spark, sf):
     return windows.caption_stats(fx.captions(spark, sf), fx.features(spark, sf))
 
 
+@query
+def captions_bucketed(spark, sf):
+    """``captions_features`` with the features stored in buckets by clip."""
+    features = sinks.store_bucketed(fx.features(spark, sf), "clip_id")
+    found = caption_plans.image_records(fx.captions(spark, sf), features, fx.vocab(spark, sf))
+    return found.select("clip_id", "pos", joined("sentence").alias("sentence"), *outline("image"))
+
+
 @query
 def captions_features(spark, sf):
     found = caption_plans.image_records(
@@ -468,6 +500,18 @@ def stored_records(spark, sf):
     return stored.select(joined("s1").alias("s1"), joined("s2").alias("s2"))
 
 
+@query
+def stored_set(spark, sf):
+    """The pairs of ``stored_records`` committed as a set, checked and read again."""
+    tokens = {"t1": X.ws_tokens("s1"), "t2": X.ws_tokens("s2")}
+    pairs = fx.turn_pairs(spark, sf).withColumns(tokens).drop("s1", "s2")
+    coded = encode_ids(pairs, fx.vocab(spark, sf), "unk", ["t1", "t2"], ["s1", "s2"])
+    path = _fresh_path(spark)
+    sets.write_set(coded, path, "pair", "conv_id", "turn", n_validation=20, train_shards=10)
+    parts = [sets.read_set(spark, path, split, verify=True) for split in sets.SPLITS]
+    return parts[0].unionByName(parts[1]).select(joined("s1").alias("s1"), joined("s2").alias("s2"))
+
+
 @query
 def stored_images(spark, sf):
     """Captions with their features written as train and validation shards, and read again."""
@@ -721,6 +765,21 @@ def nearest(spark, sf):
     return found.select("id", "neighbour", "rank", r6("similarity").alias("similarity"))
 
 
+@query
+def nearest_indexed(spark, sf):
+    """``nearest`` through the pivot index, in small blocks."""
+    found = neighbours.knn(fx.embeddings(spark, sf), 10, "vec_id", rows_per_block=256, max_bytes=0)
+    return found.select("id", "neighbour", "rank", r6("similarity").alias("similarity"))
+
+
+@query
+def nearest_of_label(spark, sf):
+    """The vectors of one label against all vectors, which stay where they are."""
+    vectors = fx.embeddings(spark, sf)
+    found = neighbours.knn_queries(vectors.filter(F.col("label") == 0), vectors, 10, "vec_id")
+    return found.select("id", "neighbour", "rank", r6("similarity").alias("similarity"))
+
+
 @query
 def neighbour_overlap(spark, sf):
     pairs = fx.vec_pairs(spark, sf)
@@ -910,6 +969,17 @@ def negative_sampling_loss(spark, sf):
     return sampling.text_total(found).select("batch", r6("value").alias("value"))
 
 
+@query
+def negative_sampling_loss_joined(spark, sf):
+    """``negative_sampling_loss`` with words and targets that no task holds."""
+    words = fx.word_vec(spark, sf)
+    targets = words.select("id", F.slice("v", fx.HALF + 1, fx.HALF).alias("v"))
+    found = sampling.negative_sampling_loss(
+        _ns_triples(spark, sf, words), targets, words, NS_BATCH, NS_LENGTH, NS_K, max_bytes=0
+    )
+    return sampling.text_total(found).select("batch", r6("value").alias("value"))
+
+
 # --- vocabulary expansion -------------------------------------------------------------------------
 
 
@@ -932,6 +1002,19 @@ def space_map_gram(spark, sf):
     return found.select("kind", "i", "j", r6("value").alias("value"))
 
 
+@query
+def space_map_residuals(spark, sf):
+    """Products of the fitted map's residuals with the large space, and their sums: a least-squares
+    fit leaves them zero."""
+    pairs = materialize(expand.paired_spaces(*_spaces(spark, sf)))
+    fitted = expand.fit_space_map(pairs)
+    left = project(pairs, fitted.coef, fitted.intercept, v="x", out="_mapped").select(
+        "x", F.zip_with("y", "_mapped", lambda y, m: y - m).alias("y")
+    )
+    found = expand.gram_sums(left, ("y", "xy"))
+    return found.select("kind", "i", "j", r6("value").alias("value"))
+
+
 @query
 def space_map_applied(spark, sf):
     """The map with fixed coefficients on every word of the large space."""
@@ -960,14 +1043,9 @@ def expand_vocab_fitted(spark, sf):
 
 
 def gru_weights(dim: int, units: int, seed: int) -> GruWeights:
-    rng = np.random.default_rng(seed)
-
-    def draw(*shape):
-        return rng.uniform(-0.3, 0.3, shape)
-
-    return GruWeights(
-        draw(units, 2 * units), draw(dim, 2 * units), draw(units, units), draw(dim, units)
-    )
+    """Weights by a formula that both engines can evaluate."""
+    shapes = [(units, 2 * units, 3, 5), (dim, 2 * units, 7, 11), (units, units, 2, 9), (dim, units, 4, 3)]
+    return GruWeights(*[fx.wave(rows, cols, a + seed, b, 3.0) for rows, cols, a, b in shapes])
 
 
 @query
