@@ -28,6 +28,8 @@ from sentloom.session import checkpoint_root, materialize
 MIN_REVISIT = 1000
 #: Bytes of an archive per reading task.
 SPLIT_BYTES = 16 << 20
+#: Reading tasks; more splits share them.
+MAX_TASKS = 50_000
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC = b"\x1f\x8b\x08"
@@ -142,26 +144,27 @@ class _Bytes:
         return -1
 
     def member(self, offset: int) -> tuple[bytes, int] | None:
-        """The gzip member at ``offset`` and its end, if a WARC record begins there."""
-        unpacker, out, at, known = zlib.decompressobj(31), [], offset, False
-        got = 0
+        """The gzip member at ``offset`` and its end, if a WARC record begins there. Once its version line
+        was seen, damage is an error: a record doesn't vanish."""
+        self.upto(offset + 4096)
+        try:
+            first = zlib.decompressobj(31).decompress(self.data[offset - self.start : offset - self.start + 4096], len(_VERSION))
+        except zlib.error:
+            return None
+        if first != _VERSION:
+            return None
+        unpacker, out, at = zlib.decompressobj(31), [], offset
         while not unpacker.eof:
-            self.upto(at + (CHUNK if known else 4096))
-            chunk = self.data[at - self.start : at - self.start + (CHUNK if known else 4096)]
+            self.upto(at + CHUNK)
+            chunk = self.data[at - self.start : at - self.start + CHUNK]
             if not chunk:
-                return None
+                raise ValueError(f"the record at byte {offset} is cut off")
             try:
-                part = unpacker.decompress(chunk)
-            except zlib.error:
-                return None
-            out.append(part)
-            got += len(part)
+                out.append(unpacker.decompress(chunk))
+            except zlib.error as damage:
+                raise ValueError(f"the record at byte {offset} is damaged") from damage
             at += len(chunk)
-            if not known and got >= len(_VERSION):
-                if not b"".join(out).startswith(_VERSION):
-                    return None
-                known = True
-        return (b"".join(out), at - len(unpacker.unused_data)) if known else None
+        return b"".join(out), at - len(unpacker.unused_data)
 
 
 def scan_range(file, size: int, start: int, end: int) -> Iterator[bytes]:
@@ -236,8 +239,8 @@ def read_warc(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: boo
                 if rows:
                     yield _batch(rows, fields, kinds)
 
-    cores = manifest.sparkSession.sparkContext.defaultParallelism
-    return splits.repartition(cores * 4, "path", "split").mapInArrow(read, schema)
+    tasks = max(1, min(splits.count(), MAX_TASKS))
+    return splits.repartition(tasks, "path", "split").mapInArrow(read, schema)
 
 
 def _batch(rows: list[tuple], fields, kinds) -> pa.RecordBatch:
