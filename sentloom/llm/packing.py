@@ -3,15 +3,16 @@
 Each task packs the documents of its partition as they come. The state is a level array: for
 each fill level, the partially filled windows at it. A document's rest (what is left after its
 full windows) goes to the level for which the sum of squared counts becomes least, so no level
-gathers windows that nothing fits. A few documents are held back until the end to be cut into
-what the open windows still lack; at most one window of a task stays partly empty.
+gathers windows that nothing fits. At the end the emptiest windows are dissolved into what the
+fullest still lack, their documents cut where need be, so at most one window of a task stays partly
+empty. Small partitions are packed together: ``TASK_BYTES`` of text make some hundred windows, of
+which that one is less than a hundredth.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,9 @@ TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END_ID = 2
 #: Partially filled windows at a time; beyond it the next document is cut to fill them.
-MAX_OPEN = 256
+MAX_OPEN = 64
+#: Text of one task, at least.
+TASK_BYTES = 2 << 20
 #: Words in a worker's cache before it starts anew.
 CACHE_WORDS = 1_000_000
 #: Sequence ids of a partition start at its number shifted by this.
@@ -84,7 +87,8 @@ class WordTokenizer:
         words, split = set(), []
         for part in parts:
             m = _WORD_AND_MARKS.fullmatch(part)
-            if not (m and m[1].decode().isalpha()):
+            # Lower-casing may turn a letter into a letter and a mark, which joins what follows.
+            if not (m and m[1].decode().lower().isalpha()):
                 self.cache[part] = self.whole(part)
                 continue
             if m[1] not in self.cache:
@@ -116,36 +120,41 @@ class WordTokenizer:
 
 
 class SumOfSquaresPacker:
-    """Packs (key, n tokens) as they come; calls ``emit(key, start, length, sequence, offset)``."""
+    """Packs (key, n tokens) as they come; calls ``emit(key, start, length, sequence, offset)`` for the
+    pieces of a window once it is full, and of all windows at the end. ``rest(key, start)`` may
+    give a smaller key for a document's piece from ``start`` on."""
 
-    def __init__(self, emit, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN):
+    def __init__(self, emit, first_sequence: int, window: int = WINDOW, max_open: int = MAX_OPEN, rest=None):
         self.emit, self.window, self.max_open = emit, window, max_open
+        self.rest = rest or (lambda key, start: key)
         self.next_sequence = first_sequence
         self.counts = np.zeros(window + 1, np.int64)
-        self.open: dict[int, list[int]] = {}
-        self.n_open = self.gap = self.held = 0
-        self.queue: deque[tuple[object, int]] = deque()
-
-    def _new(self) -> int:
+        #: Open windows by level; a window is the list of its pieces (key, start, length).
+        self.open: dict[int, list[list[tuple]]] = {}
+        self.n_open = 0
+
+    def _close(self, pieces: list[tuple]) -> None:
+        offset = 0
+        for key, start, length in pieces:
+            self.emit(key, start, length, self.next_sequence, offset)
+            offset += length
         self.next_sequence += 1
-        return self.next_sequence - 1
 
     def _put(self, key, start: int, length: int, level: int) -> None:
         """A piece into a window at ``level`` (0: a new one)."""
+        pieces: list[tuple] = []
         if level:
-            sequence = self.open[level].pop()
+            pieces = self.open[level].pop()
             self.counts[level] -= 1
             self.n_open -= 1
-            self.gap -= self.window - level
-        else:
-            sequence = self._new()
-        self.emit(key, start, length, sequence, level)
+        pieces.append((key, start, length))
         level += length
-        if level < self.window:
-            self.open.setdefault(level, []).append(sequence)
+        if level == self.window:
+            self._close(pieces)
+        else:
+            self.open.setdefault(level, []).append(pieces)
             self.counts[level] += 1
             self.n_open += 1
-            self.gap += self.window - level
 
     def level_for(self, length: int) -> int:
         """The level at which a piece raises the sum of squared counts least; the fuller one
@@ -159,34 +168,45 @@ class SumOfSquaresPacker:
         best = len(levels) - 1 - int(np.argmin(rise[::-1]))
         return int(levels[best]) if rise[best] <= 2 * self.counts[length] + 1 else 0
 
-    def _place(self, key, n: int) -> None:
+    def add(self, key, n: int) -> None:
         start = 0
         while n - start >= self.window:
-            self._put(key, start, self.window, 0)
+            self._close([(key, start, self.window)])
             start += self.window
-        if n > start:
-            self._put(key, start, n - start, self.level_for(n - start))
-
-    def _fill(self, key, n: int) -> None:
-        """Cut a document into what the open windows lack, the fullest first."""
-        start = 0
-        while start < n:
-            level = int(np.flatnonzero(self.counts)[-1]) if self.n_open else 0
+        if start:
+            key = self.rest(key, start)
+        if self.n_open <= self.max_open:
+            if n > start:
+                self._put(key, start, n - start, self.level_for(n - start))
+            return
+        while start < n:  # cut into what the fullest windows lack
+            level = int(np.flatnonzero(self.counts)[-1])
             length = min(n - start, self.window - level)
             self._put(key, start, length, level)
             start += length
 
-    def add(self, key, n: int) -> None:
-        self.queue.append((key, n))
-        self.held += n
-        while self.queue and self.held - self.queue[0][1] >= self.gap:
-            key, n = self.queue.popleft()
-            self.held -= n
-            (self._fill if self.n_open > self.max_open else self._place)(key, n)
-
     def finish(self) -> None:
-        while self.queue:
-            self._fill(*self.queue.popleft())
+        """Dissolve the emptiest windows into the fullest."""
+        left = [(level, pieces) for level in sorted(self.open) for pieces in self.open[level]]
+        self.open, self.n_open = {}, 0
+        self.counts[:] = 0
+        low, high = 0, len(left) - 1
+        while low < high:
+            level, target = left[high]
+            source = left[low][1]
+            while source and level < self.window:
+                key, start, length = source.pop()
+                taken = min(length, self.window - level)
+                target.append((key, start, taken))
+                level += taken
+                if taken < length:
+                    source.append((key, start + taken, length - taken))
+            left[high] = (level, target)
+            high -= level == self.window
+            low += not source
+        for _, pieces in left:
+            if pieces:
+                self._close(pieces)
 
 
 def pack_documents(
@@ -197,14 +217,16 @@ def pack_documents(
     window: int = WINDOW,
     end_id: int = END_ID,
     max_open: int = MAX_OPEN,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
     """Pieces of all documents in windows of ``window`` tokens: id, start, length, doc_tokens,
     sequence_id, offset and the piece's ids (binary, little-endian unsigned 32 bit).
 
     A document is its tokens and ``end_id``; a null or empty text is ``end_id`` alone. Every token
     is in exactly one piece. Rows with equal or null ids are documents of their own. Tasks
-    pack their partitions independently, without a shuffle; a task run again packs the same.
-    Memory: ``max_open`` windows' tokens at most are held back, beside the batch at hand.
+    pack their partitions independently, without a shuffle; a task run again packs the same. Partitions
+    are joined to ``task_bytes`` of text, for which the texts' sizes are added up first.
+    Memory: the tokens of ``max_open`` windows, beside the batch at hand.
     """
     kind = df.schema[id_col].dataType
     schema = T.StructType(
@@ -218,13 +240,16 @@ def pack_documents(
         end = np.array([end_id], "<u4").tobytes()
 
         def emit(key, start, length, sequence, offset):
-            doc, ids = key
-            rows.append(
-                (doc, start, length, len(ids) // 4, sequence, offset, ids[4 * start : 4 * (start + length)])
-            )
+            doc, n, first, ids = key
+            at = 4 * (start - first)
+            rows.append((doc, start, length, n, sequence, offset, ids[at : at + 4 * length]))
+
+        def rest(key, start):
+            doc, n, first, ids = key
+            return doc, n, start, ids[4 * (start - first) :]
 
         packer = SumOfSquaresPacker(
-            emit, TaskContext.get().partitionId() << SEQUENCE_BITS, window, max_open
+            emit, TaskContext.get().partitionId() << SEQUENCE_BITS, window, max_open, rest
         )
         arrow_id = None
 
@@ -241,16 +266,17 @@ def pack_documents(
             arrow_id = batch.column(0).type
             for part, texts in slices(batch, "text"):
                 for doc, ids in zip(part.column(0).to_pylist(), words.encode(texts), strict=True):
-                    packer.add((doc, ids + end), len(ids) // 4 + 1)
+                    n = len(ids) // 4 + 1
+                    packer.add((doc, n, 0, ids + end), n)
                 if rows:
                     yield out()
         packer.finish()
         if rows:
             yield out()
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        packed, schema
-    )
+    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    return texts.coalesce(max(1, size // task_bytes)).mapInArrow(packed, schema)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
