@@ -1,7 +1,7 @@
 """Proportional stratified interleaving, in DataFrame functions only.
 
 Rows of each stratum (a source) are shuffled by a seeded hash and ranked; the rank's fraction of
-the stratum's size puts all strata on one scale, on which every interval has each stratum in
+the stratum's size, with a phase of the stratum's own, puts all strata on one scale, on which every interval has each stratum in
 proportion. Sorted by it and cut into equal runs, every shard has the mixture of the whole.
 
 Both ranks are exact without a sort of a stratum or of the table in one task: rows fall into
@@ -28,14 +28,17 @@ def stratified_shards(
     differ by one at most. Keep ``rows`` narrow: they are shuffled twice.
 
     Null strata are a stratum of their own, null keys are a key like others. Rows with equal keys
-    are ordered by ``ties``; rows that are equal there too are interchangeable, and any order of
-    them is the same result. An empty table gives no rows.
+    are told apart by ``ties``; rows that are equal there too are interchangeable, and any order of
+    them is the same result. Columns named ``shard`` or ``slot`` in any case are replaced, and those that
+    start with an underscore are left out. An empty table gives no rows.
     """
-    columns = rows.columns
+    taken = {"shard", "slot"}
+    columns = [c for c in rows.columns if c.lower() not in taken and not c.startswith("_")]
     keyed = rows.select(
         *columns,
         F.when(F.col(strata).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(strata).cast("string"))).alias("_stratum"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("_hash"),
+        # Ties are part of the hash, so the rows of one key go to many buckets.
+        F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (key, *ties)])).alias("_hash"),
     ).withColumn("_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
     group = ["_stratum", "_bucket"]
     before = Window.partitionBy("_stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -50,11 +53,13 @@ def stratified_shards(
     )
     inside = Window.partitionBy(*group).orderBy("_hash", *ties)
     rank = F.col("_before") + F.col("_in")
+    # Each stratum has a phase of its own in (0, 1): small strata are spread over the whole scale.
+    phase = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "_stratum")), 1, 8), 16, 10).cast("double") + 0.5) / (1 << 32)
     ranked = (
         keyed.withColumn("_in", F.row_number().over(inside))
         .join(offsets, group)
-        .withColumn("_fraction", (2 * rank - 1).cast("double") / (2 * F.col("_size")).cast("double"))
-        .select(*columns, "_stratum", "_fraction", F.floor(F.col("_fraction") * BUCKETS).cast("int").alias("_bucket"))
+        .withColumn("_fraction", (rank - 1 + phase) / F.col("_size"))
+        .select(*columns, "_stratum", "_fraction", F.least(F.floor(F.col("_fraction") * BUCKETS), F.lit(BUCKETS - 1)).cast("int").alias("_bucket"))
     )
     ranked = materialize(ranked)
     # One row per bucket: BUCKETS at most, so windows over all of them are small.
