@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentloom.session import materialize
@@ -73,11 +73,18 @@ def lookup_join(
     )
 
 
-def hash_sample(rows: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows (columns ``hash`` and any others) of the least hashes: a sample of bounded
-    size, the same on every cluster. Only hashes are sorted; the rows are fetched by them."""
-    first = materialize(rows.select("hash").orderBy("hash").limit(n)).distinct()
-    return rows.join(F.broadcast(first), "hash").limit(n)
+def hash_sample(rows: DataFrame, n: int, by: str | None = None) -> DataFrame:
+    """One row (columns ``hash`` and any others) for each of the ``n`` least different hashes, or of the
+    ``n`` least of each value of ``by``: a sample of bounded size, the same on every cluster. Rows of
+    one hash must be equal. Only hashes are sorted; the rows are fetched by them."""
+    keys = ["hash", *([by] if by else [])]
+    hashes = rows.select(*keys).distinct()
+    if by:
+        place = F.row_number().over(Window.partitionBy(by).orderBy("hash"))
+        first = hashes.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+    else:
+        first = hashes.orderBy("hash").limit(n)
+    return rows.join(F.broadcast(materialize(first)), keys).dropDuplicates(keys)
 
 
 def slices(batch: pa.RecordBatch, column: str | int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

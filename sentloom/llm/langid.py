@@ -20,8 +20,9 @@ from sentloom.llm.common import free_name, hash_sample, slices
 
 FEATURES = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled rows that the classifier is fitted on, and the share kept for the temperature.
-FIT_ROWS = 4000
+#: Different labelled texts of each language, of at most so many bytes, that the classifier is fitted
+#: on, and the share kept for the temperature.
+FIT_ROWS, FIT_BYTES = 1000, 1 << 16
 CALIBRATION_SHARE = 0.2
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
@@ -128,11 +129,13 @@ class _Ftrl:
 
 
 def fit(labelled: DataFrame, n_rows: int = FIT_ROWS) -> Model:
-    """Fit on ``labelled`` (``text``, ``lang``, both not null). No rows with letters: a model that
-    answers ``und``."""
+    """Fit on ``n_rows`` texts of each language of ``labelled`` (``text``, ``lang``, both not null), so
+    copies and frequent languages don't fill the sample. No rows with letters: a model that answers
+    ``und``."""
     n_docs, frequency = document_frequencies(labelled)
     idf = np.log((1 + n_docs) / (1 + frequency)) + 1
-    sample = hash_sample(labelled.select("text", "lang", F.xxhash64("text", "lang").alias("hash")), n_rows)
+    short = labelled.filter(F.octet_length("text") <= FIT_BYTES)
+    sample = hash_sample(short.select("text", "lang", F.xxhash64("text", "lang").alias("hash")), n_rows, "lang")
     rows = sorted(((r.hash, r.lang, r.text) for r in sample.toLocalIterator()))
     languages = sorted({lang for _, lang, _ in rows})
     model = Model(languages, idf, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)), 1.0)
@@ -166,7 +169,7 @@ def _temperature(model: Model, data) -> float:
 def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` without its text, with ``lang_pred`` and ``score`` (the calibrated probability; 0 where
     the text is null or has no letter). Only the text is looked at. No shuffle."""
-    carry = [c for c in df.columns if c not in (text_col, "lang_pred", "score")]
+    carry = [c for c in df.columns if c != text_col and c.lower() not in ("lang_pred", "score")]
     schema = T.StructType([df.schema[c] for c in carry]).add("lang_pred", "string").add("score", "double")
     shared = df.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))  # plain arrays
 

@@ -1,16 +1,20 @@
 """Personal data: exact patterns, and a skip-chain conditional random field for what they miss.
 
-The patterns (``base_spans``) are the certain part. The field runs over a document's candidate
-tokens (those with a digit or an @). Neighbouring candidates share a chain potential; distant
-candidates that are the same token, or have the same digits, share a skip potential, so that what
-is a phone number in one place is one elsewhere, written without its plus sign. Spans found by the
-patterns are clamped; loopy message passing gives the marginals of the rest. The weights are
-fitted by pseudo-likelihood on a bounded sample whose labels come from the patterns.
+The patterns (``base_spans``) are the certain part; quoted hexadecimal secrets are seeds beside them. The
+field runs over a document's candidate tokens (those with a digit or an @). Neighbouring candidates share
+a chain potential; distant candidates that are the same token, or have the same digits, share a skip
+potential, so that what is a phone number in one place is one elsewhere, written without its plus sign.
+Pattern and seed spans are clamped; loopy message passing gives the marginals of the rest.
+
+The weights are fitted by pseudo-likelihood on a bounded sample. A token that has the form of a kind but
+fails its pattern (a 16-digit number without a valid check digit) is of unknown label there, not a
+negative: so form, context and repetition decide about it, and not the pattern once more.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,9 +26,13 @@ from pyspark.sql import types as T
 from sentloom.llm.common import hash_sample, slices
 
 KINDS = ("email", "ip", "card", "phone")
-N_LABELS = len(KINDS) + 1  # 0: none of them
-#: Documents (with candidates) that the field is fitted on.
-FIT_DOCUMENTS = 500
+#: The field's kinds; the last one has seeds, but no base spans.
+FIELD_KINDS = (*KINDS, "secret")
+N_LABELS = len(FIELD_KINDS) + 1  # 0: none of them
+#: Documents (with candidates, of at most so many bytes) that the field is fitted on.
+FIT_DOCUMENTS, FIT_BYTES = 2000, 1 << 16
+#: Digits that a token without @ needs to be added; fewer name nobody.
+MIN_DIGITS = 7
 #: A token outside the patterns' spans needs this marginal to be added.
 MIN_MARGINAL = 0.9
 ROUNDS, DAMPING = 10, 0.5
@@ -35,6 +43,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[0-9@]")
+_SECRET = re.compile(r'"([0-9A-Fa-f]{32,})"')
+#: Forms of the kinds, whether or not their patterns' checks hold.
+_FORMS = re.compile(r"[0-9]{13,19}|\+?[0-9()-]{8,}|[0-9]+(?:\.[0-9]+){3}|.+@.+\..+|[0-9A-Fa-f]{20,}")
+_HEX = re.compile(r"[0-9A-Fa-f]{20,}")
 _TOKEN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 _EDGE = ".,;:!?\"'<>[]{}|*#$%&"
 
@@ -79,17 +91,30 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def seed_spans(text: str) -> list[Span]:
+    """Quoted hexadecimal strings with letters and digits."""
+    if '"' not in text:
+        return []
+    return [
+        ("secret", *m.span(1)) for m in _SECRET.finditer(text)
+        if re.search("[0-9]", m[1]) and re.search("[A-Fa-f]", m[1])
+    ]
+
+
 class Graph:
-    """A document's candidate tokens: features, labels from the patterns, and edges."""
+    """A document's candidate tokens: features, labels from the known spans, and edges. ``unknown``:
+    tokens outside these spans that have a kind's form."""
 
     def __init__(self, text: str, base: list[Span]) -> None:
         self.spans: list[tuple[int, int]] = []
         features: list[list[int]] = []
         keys: list[tuple[str, str]] = []
         chain: list[tuple[int, int]] = []
-        last_token = -2
+        last_token, before = -2, ""
+        forms: list[bool] = []
         for number, m in enumerate(_TOKEN.finditer(text)):
             if not _CANDIDATE.search(m[0]):
+                before = m[0]
                 continue
             start = m.start() + len(m[0]) - len(m[0].lstrip(_EDGE))
             token = m[0].strip(_EDGE)
@@ -100,17 +125,23 @@ class Graph:
             last_token = number
             self.spans.append((start, start + len(token)))
             digits = re.sub("[^0-9]", "", token)
-            features.append(_features(token, digits))
+            features.append(_features(token, digits, before))
+            forms.append(_FORMS.fullmatch(token) is not None)
+            before = ""
             keys.append((token.lower(), digits if len(digits) >= 7 else ""))
         self.features = np.array(features, np.int64).reshape(len(features), N_FEATURES)
         self.chain = np.array(chain, np.int64).reshape(len(chain), 2)
         self.skip = _skip_edges(keys)
         self.labels = np.zeros(len(features), np.int64)
         self.clamped = np.zeros(len(features), bool)
+        starts, ends = (np.array([x[i] for x in self.spans], np.int64) for i in (0, 1))
         for kind, start, end in base:
-            for i, (a, b) in enumerate(self.spans):
-                if a < end and start < b and not self.clamped[i]:
-                    self.labels[i], self.clamped[i] = KINDS.index(kind) + 1, True
+            # Tokens don't overlap, so those that meet the span are neighbours.
+            first, last = np.searchsorted(ends, start, "right"), np.searchsorted(starts, end, "left")
+            for i in range(first, last):
+                if not self.clamped[i]:
+                    self.labels[i], self.clamped[i] = FIELD_KINDS.index(kind) + 1, True
+        self.unknown = np.array(forms, bool) & ~self.clamped
 
 
 def _skip_edges(keys: list[tuple[str, str]]) -> np.ndarray:
@@ -127,14 +158,16 @@ def _skip_edges(keys: list[tuple[str, str]]) -> np.ndarray:
     return np.array(sorted(edges), np.int64).reshape(len(edges), 2)
 
 
+#: Classes of the word before a candidate, by hash.
+CONTEXTS = 16
 #: Feature columns, each with its number of values.
-_SIZES = (20, 5, 3, 4, 3, 3, 2)
+_SIZES = (20, 5, 3, 4, 3, 3, 2, 2, CONTEXTS)
 N_FEATURES = len(_SIZES)
 _STARTS = np.concatenate([[0], np.cumsum(_SIZES)[:-1]])
 N_WEIGHTS = sum(_SIZES)
 
 
-def _features(token: str, digits: str) -> list[int]:
+def _features(token: str, digits: str, before: str) -> list[int]:
     letters = sum(c.isalpha() for c in token)
     values = (
         min(len(digits), 19),
@@ -144,6 +177,8 @@ def _features(token: str, digits: str) -> list[int]:
         min(letters, 2),
         min(token.count("(") + token.count(")") + token.count("+"), 2),
         int(len(digits) + letters == len(token)),
+        int(_HEX.fullmatch(token) is not None),
+        zlib.crc32(before.lower().encode()) % CONTEXTS if before else 0,
     )
     return [int(s + v) for s, v in zip(_STARTS, values, strict=True)]
 
@@ -162,7 +197,8 @@ class Field:
 
     @staticmethod
     def fit(graphs: list[Graph], steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> Field:
-        """Pseudo-likelihood: each token's label given its features and its neighbours' labels.
+        """Pseudo-likelihood: each token's label given its features and its neighbours' labels. Tokens
+        of unknown label, and their edges, are left out.
         No graphs, or none with candidates, give weights of zero but for the skip bonus."""
         unary = np.zeros((N_WEIGHTS, N_LABELS))
         chain = np.zeros((N_LABELS, N_LABELS))
@@ -175,15 +211,18 @@ class Field:
         labels = np.concatenate([g.labels for g in graphs])
         chains = np.concatenate([g.chain + o for g, o in zip(graphs, offsets, strict=False)])
         skips = np.concatenate([g.skip + o for g, o in zip(graphs, offsets, strict=False)])
-        n, truth = len(labels), np.eye(N_LABELS)[labels]
-        agree = np.zeros((n, N_LABELS))
+        known = ~np.concatenate([g.unknown for g in graphs])
+        chains = chains[known[chains].all(1)]
+        skips = skips[known[skips].all(1)]
+        n, truth = max(int(known.sum()), 1), np.eye(N_LABELS)[labels]
+        agree = np.zeros((len(labels), N_LABELS))
         for a, b in (skips.T, skips.T[::-1]):
             np.add.at(agree, a, truth[b])
         for _ in range(steps):
             score = unary[features].sum(1) + skip * agree
             np.add.at(score, chains[:, 0], chain[:, labels[chains[:, 1]]].T)
             np.add.at(score, chains[:, 1], chain[labels[chains[:, 0]]])
-            error = (truth - _softmax(score)) / n
+            error = (truth - _softmax(score)) * known[:, None] / n
             step = np.zeros_like(unary)
             for column in features.T:
                 np.add.at(step, column, error)
@@ -207,16 +246,18 @@ class Field:
         n, m = len(graph.chain), len(graph.skip)
         if n + m == 0:
             return _softmax(node)
-        pair = np.concatenate(
-            [np.repeat(x[None], k, 0) for x, k in ((self.chain, n), (self.chain.T, n), (same, 2 * m))]
-        )
+        # Edges by the table of their potentials; no edge has a table of its own.
+        runs = ((slice(0, n), self.chain), (slice(n, 2 * n), self.chain.T), (slice(2 * n, None), same))
         back = np.concatenate([np.arange(n) + n, np.arange(n), 2 * n + m + np.arange(m), 2 * n + np.arange(m)])
         message = np.zeros((len(source), N_LABELS))
         for _ in range(ROUNDS):
             belief = node.copy()
             np.add.at(belief, target, message)
             out = belief[source] - message[back]
-            new = np.logaddexp.reduce(out[:, :, None] + pair, axis=1)
+            new = np.empty_like(out)
+            for run, pair in runs:
+                for label in range(N_LABELS):
+                    new[run, label] = np.logaddexp.reduce(out[run] + pair[:, label], axis=1)
             new -= new.max(1, keepdims=True)
             message = DAMPING * message + (1 - DAMPING) * new
         belief = node.copy()
@@ -224,32 +265,31 @@ class Field:
         return _softmax(belief)
 
 
-def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
-    """Tokens outside the base spans that the field labels with a kind for which the document has
-    a base span; what no pattern supports anywhere in the document is left alone."""
-    kinds = {kind for kind, _, _ in base}
-    if not kinds:
-        return []
-    graph = Graph(text, base)
+def added_spans(field: Field, text: str, known: list[Span]) -> list[Span]:
+    """Tokens outside the known spans that the field gives a kind by their marginals."""
+    graph = Graph(text, known)
     if graph.clamped.all():
         return []
     marginals = field.marginals(graph)
     added = []
     for i in np.flatnonzero(~graph.clamped):
         label = int(marginals[i].argmax())
-        if label and KINDS[label - 1] in kinds and marginals[i, label] >= MIN_MARGINAL:
-            added.append((KINDS[label - 1], *graph.spans[i]))
+        start, end = graph.spans[i]
+        if label and marginals[i, label] >= MIN_MARGINAL:
+            token = text[start:end]
+            if "@" in token or len(re.sub("[^0-9]", "", token)) >= MIN_DIGITS:
+                added.append((FIELD_KINDS[label - 1], start, end))
     return added
 
 
 def fit_field(df: DataFrame, id_col: str, text_col: str, n_documents: int = FIT_DOCUMENTS) -> Field:
-    """Fit on the first ``n_documents`` of the documents with candidates, in an order by hash: a
-    sample of documented size, the same on every cluster. Hashes alone are sorted; the texts are
-    then fetched by them."""
-    rows = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"))
-    rows = rows.filter(F.col("text").rlike("[0-9@]"))
+    """Fit on the first ``n_documents`` of the different documents with candidates and at most
+    ``FIT_BYTES`` bytes, in an order by hash: a sample of documented size, the same on every
+    cluster. Hashes alone are sorted; the texts are then fetched by them."""
+    rows = df.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("hash"))
+    rows = rows.filter(F.col("text").rlike("[0-9@]") & (F.octet_length("text") <= FIT_BYTES))
     sample = hash_sample(rows, n_documents).select("text")
-    graphs = [Graph(row.text, base_spans(row.text)) for row in sample.orderBy(F.md5("text")).collect()]
+    graphs = [Graph(row.text, base_spans(row.text) + seed_spans(row.text)) for row in sample.orderBy(F.md5("text")).collect()]
     return Field.fit(graphs)
 
 
@@ -262,7 +302,7 @@ def find_personal_data(
     spans_col: str = "spans",
 ) -> DataFrame:
     """One row per row of ``df``: all its columns, ``base_col`` and ``spans_col``, arrays of
-    (kind, start, end) by kind and start; the latter holds the base spans and the field's.
+    (kind, start, end) by kind and start; the latter holds the base spans, the seeds and the field's.
 
     Null and empty texts have no spans. Each row stands for itself, whatever its id. An empty
     table gives an empty result. Columns of these two names are replaced. No shuffle.
@@ -280,7 +320,7 @@ def find_personal_data(
     rows = df.drop(*[c for c in df.columns if c.lower() in (base_col, spans_col)])
     schema = T.StructType([*rows.schema.fields, T.StructField(base_col, span), T.StructField(spans_col, span)])
     arrow_span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    order = {kind: i for i, kind in enumerate(KINDS)}
+    order = {kind: i for i, kind in enumerate(FIELD_KINDS)}
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,8 +328,10 @@ def find_personal_data(
                 base_rows, all_rows = [], []
                 for data in texts:
                     text = data.decode()
-                    base = base_spans(text) if _CANDIDATE.search(text) else []
-                    more = added_spans(fitted, text, base)
+                    base, more = [], []
+                    if _CANDIDATE.search(text):
+                        base, seeds = base_spans(text), seed_spans(text)
+                        more = seeds + added_spans(fitted, text, base + seeds)
                     spans = sorted(base + more, key=lambda s: (order[s[0]], s[1], s[2]))
                     for rows_, values in ((base_rows, base), (all_rows, spans)):
                         rows_.append([{"kind": k, "start": a, "end": b} for k, a, b in values])

@@ -17,7 +17,7 @@ from compare import duck, local_spark  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from sentloom.llm import chat, decontam, langid, packing, pii, quality, sharding, simhash, urls, warc  # noqa: E402
-from sentloom.llm.common import lookup_join  # noqa: E402
+from sentloom.llm.common import hash_sample, lookup_join  # noqa: E402
 from sentloom.llm.components import connected_components  # noqa: E402
 from sentloom.llm.oracle import ORACLES  # noqa: E402
 from sentloom.llm.queries import QUERIES  # noqa: E402
@@ -105,6 +105,31 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 211])
+def test_packing_at_any_partitioning(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions, "doc_id")
+    rows = packing.pack_documents(docs).drop("ids").collect()
+    padding = check_pieces([(r.start, r.length, r.sequence_id, r.offset) for r in rows], 4096)
+    tokens = sum(r.length for r in rows)
+    assert padding < 0.01 * tokens
+    pieces = defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id, r.doc_tokens].append(r.length)
+    cut = sum(len(p) > -(-n // 4096) for (_, n), p in pieces.items())
+    assert cut < 0.1 * len(pieces)
+
+
+def test_ids_of_letters_that_change_when_lower_cased():
+    import random
+
+    words, rng = packing.WordTokenizer(packing.TOKENIZER), random.Random(1)
+    pool = "aZéÉİıßſŒẞǅΣςﬀÅ漢字кЖ,.!?;:'\"-12 \u0301\u0307\n\t<|>%"
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for _ in range(5000)]
+    for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        wanted = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert brute.np.frombuffer(ids, "<u4").tolist() == wanted, text
+
+
 def test_packer_fills_windows():
     rng, pieces = brute.np.random.default_rng(1), []
     packer = packing.SumOfSquaresPacker(lambda k, s, n, q, o: pieces.append((s, n, q, o)), 0, window=64, max_open=8)
@@ -128,16 +153,38 @@ def test_field_adds_a_repeated_number(docs, none):
     text = "call +1 (017) 555-7713 now. " + "words " * 30 + "again +1 (017) 555-7713 ok"
     field = pii.Field.fit([pii.Graph(text, pii.base_spans(text))] * 20)
     other = "call +10175557713 now " + "words " * 30 + "or 10175557713 ok"
-    base = pii.base_spans(other)
-    added = pii.added_spans(field, other, base)
-    assert all(not (a < e and s < b) for _, a, b in added for _, s, e in base)
-    assert [other[a:b] for _, a, b in added] in (["10175557713"], [])
+    added = pii.added_spans(field, other, pii.base_spans(other))
+    assert [(kind, other[a:b]) for kind, a, b in added] == [("phone", "10175557713")]
     found = pii.find_personal_data(docs)
     assert found.count() == docs.count() and pii.find_personal_data(none).count() == 0
     redacted = [r.text for r in pii.redact(found).collect() if r.text and "card" in r.text]
     assert redacted[0] == "ip [IP] and 256.1.1.1 card [CARD] phone [PHONE] [EMAIL] x@y"
 
 
+def test_field_finds_forms_that_patterns_reject():
+    valid, invalid, secret = "4111111111111111", "9807915762804490", "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    fitted = [f"some words {valid} and version 3. of 2019 with 12 parts", f'token = "{secret}" under version 4.0.'] * 10
+    field = pii.Field.fit([pii.Graph(t, pii.base_spans(t) + pii.seed_spans(t)) for t in fitted])
+    text = f'pay {invalid} by version 3. or token = "{secret}" in 2019'
+    known = pii.base_spans(text) + pii.seed_spans(text)
+    assert pii.base_spans(text) == [] and [text[a:b] for _, a, b in known] == [secret]
+    assert [(kind, text[a:b]) for kind, a, b in pii.added_spans(field, text, known)] == [("card", invalid)]
+
+
+def test_field_takes_many_numbers():
+    text = "call +1 (017) 555-7713 " + " ".join(str(10**9 + i % 5000) for i in range(60_000))
+    field = pii.Field.fit([pii.Graph("call +1 (017) 555-7713 ok", [("phone", 5, 22)])] * 3)
+    assert isinstance(pii.added_spans(field, text, pii.base_spans(text)), list)
+
+
+def test_sample_has_every_language(spark):
+    rows = [("copy", "en")] * 500 + [(f"text {i}", "de") for i in range(40)] + [("seul", "fr")]
+    df = spark.createDataFrame(rows, "text string, lang string").withColumn("hash", F.xxhash64("text", "lang")).repartition(4)
+    found = [(r.lang, r.text) for r in hash_sample(df, 10, "lang").collect()]
+    assert sorted(lang for lang, _ in found) == ["de"] * 10 + ["en", "fr"]
+    assert len(hash_sample(df, 10).collect()) == len({r.hash for r in hash_sample(df, 10).collect()}) == 10
+
+
 def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     prints = [r.fp & (2**64 - 1) for r in rows]
@@ -198,6 +245,19 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(empty).count() == 0
 
 
+def test_damaged_archive_is_an_error(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 300) for i in range(5)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_warc(warc.with_references(pages), str(tmp_path / "w")).collect()
+    path = Path(manifest[0].path.removeprefix("file:"))
+    whole = path.read_bytes()
+    third = [i for i in range(len(whole)) if whole.startswith(b"\x1f\x8b\x08", i)][2]
+    for damaged in (whole[: third + 150] + bytes(x ^ 255 for x in whole[third + 150 : third + 152]) + whole[third + 152 :], whole[:-20]):
+        path.write_bytes(damaged)
+        sized = spark.createDataFrame([(manifest[0].path, len(damaged), 5)], "path string, bytes long, records long")
+        with pytest.raises(Exception, match="damaged|cut off"):
+            warc.read_warc(sized).collect()
+
+
 def test_urls(spark):
     rules = spark.createDataFrame([("com", "/", "allow"), ("a.com", "/x", "block"), ("", "/q", "block"), (None, "/", "block")], "host string, path string, verdict string")
     index = urls.build_index(rules)
@@ -245,6 +305,26 @@ def test_sharding(docs, none):
     assert sharding.document_shards(none, 4).count() == 0
 
 
+def test_sharding_spreads_hot_ids_and_small_strata(spark):
+    rows = [(7, f"text {i}", f"s{i}", "x") for i in range(400)] + [(None, f"t{i}", "big", "y") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, SHARD string")
+    found = sharding.document_shards(df, 4).collect()
+    by_shard = defaultdict(list)
+    for r in found:
+        by_shard[r.shard].append(r)
+    assert {len(v) for v in by_shard.values()} == {200}
+    assert all(sorted(r.slot for r in v) == list(range(200)) for v in by_shard.values())
+    assert all(99 <= sum(r.source == "big" for r in v) <= 101 for v in by_shard.values())
+    keyed = df.withColumn("SLOT", F.lit(1)).withColumn("_hash", F.lit(2))
+    assert sharding.stratified_shards(keyed, "source", "doc_id", 3).columns == ["doc_id", "text", "source", "shard", "slot"]
+
+
+def test_language_columns_of_other_case(spark):
+    df = spark.createDataFrame([(1, "ein Text", "de", 1)], "doc_id long, text string, lang string, SCORE int")
+    model = langid.Model([], None, None, None, 1.0)
+    assert langid.predict(df, model).columns == ["doc_id", "lang", "lang_pred", "score"]
+
+
 def test_language(spark, docs, none):
     rows = langid.identify(docs).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
