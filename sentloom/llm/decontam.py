@@ -136,43 +136,41 @@ def find_contamination(
         _window_prints(w, lengths),
         lambda p: F.transform(F.array_distinct(p["prints"]), lambda h: F.struct(p["m"].alias("m"), h.alias("print"))),
     )))
-    hit_prints = (
+    hit = materialize(
         source.select("doc_id", "text_key", F.explode(selected).alias("p")).select("doc_id", "text_key", "p.*")
-        .join(prints, ["m", "print"])
-        .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("m", "print")).alias("found"))
+        .join(prints, ["m", "print"]).select("doc_id", "text_key").distinct()
     )
-    hit_prints = materialize(hit_prints)
 
-    def starts(w: Column, found: Column) -> Column:
-        return F.flatten(F.transform(_window_prints(w, lengths), lambda p: F.filter(
-            F.transform(p["prints"], lambda h, i: F.when(
-                F.array_contains(found, F.struct(p["m"].alias("m"), h.alias("print"))),
-                F.struct(p["m"].alias("m"), i.alias("start")),
-            )),
-            lambda s: s.isNotNull(),
-        )))
+    def placed(w: Column) -> Column:
+        """All windows of a text, each with its print: linear in the text."""
+        return F.flatten(F.transform(_window_prints(w, lengths), lambda p: F.transform(p["prints"], lambda h, i: F.struct(
+            p["m"].alias("m"), h.alias("print"), i.alias("start"), F.array_join(F.slice(w, i + 1, p["m"]), " ").alias("window"),
+        ))))
 
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
-    candidates = source.join(
-        hit_prints.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "found"), same
+    named = [F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")]
+    candidates = source.join(hit.select(*named), same)
+    extended = (
+        candidates.select("doc_id", "text_key", F.explode(let(words, placed)).alias("c")).select("doc_id", "text_key", "c.*")
+        .join(prints, ["m", "print"])
     )
-    extended = candidates.select(
-        "doc_id", "text_key",
-        F.explode(let(
-            F.struct(words_of(F.col("text")).alias("w"), F.col("found")),
-            lambda x: F.transform(starts(x["w"], x["found"]), lambda s: F.struct(
-                s["m"].alias("m"), s["start"].alias("start"),
-                F.array_join(F.slice(x["w"], s["start"] + 1, s["m"]), " ").alias("window"),
-            )),
-        )).alias("c"),
-    ).select("doc_id", "text_key", "c.*")
-    hits = extended.join(windows.select("m", "window", "items"), ["m", "window"])
+    # Windows of one passage mostly have the same items, so a hit carries the name of the set.
+    set_name = F.struct(F.xxhash64("items").alias("a"), F.xxhash64(F.lit(1), "items").alias("b"))
+    sets = windows.select(set_name.alias("set"), "items").dropDuplicates(["set"])
+    hits = extended.join(windows.select("m", "window", set_name.alias("set")), ["m", "window"])
     covered = F.array_distinct(F.flatten(F.transform(
         "hits", lambda h: F.sequence(h["start"], h["start"] + h["m"] - 1))))
-    return hits.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "m"))).alias("hits"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    ).withColumn("n_hit", F.size(covered).cast("bigint"))
+    grouped = materialize(
+        hits.groupBy("doc_id", "text_key")
+        .agg(F.array_sort(F.collect_set(F.struct("start", "m"))).alias("hits"), F.collect_set("set").alias("sets"))
+    )
+    items = (
+        grouped.select(*named, F.explode("sets").alias("set")).join(sets, "set").select("_id", "_key", F.explode("items").alias("item"))
+        .groupBy("_id", "_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    )
+    return grouped.join(items, same).select(
+        "doc_id", "text_key", "hits", "items", F.size(covered).cast("bigint").alias("n_hit")
+    )
 
 
 def decontaminate(

@@ -232,6 +232,19 @@ def test_decontamination(spark, docs, none):
     assert not any(r.contaminated for r in decontam.decontaminate(docs, bench.filter("false")).collect())
 
 
+def test_decontamination_is_linear_in_the_text(spark):
+    import time
+
+    item = " ".join(f"w{i}" for i in range(3000))
+    bench = spark.createDataFrame([(i, item) for i in range(40)] + [(99, "x y z")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, (item + " own words ") * 66), (2, "x y z"), (3, "w1 w2 w3")], "doc_id long, text string")
+    start = time.time()
+    rows = {r.doc_id: r for r in decontam.decontaminate(docs, bench).collect()}
+    assert time.time() - start < 60
+    assert (rows[1].n_words, rows[1].n_hit, len(rows[1]["items"])) == (66 * 3002, 66 * 3000, 40)
+    assert rows[2]["items"] == ["99"] and not rows[3].contaminated
+
+
 def test_warc(spark, tmp_path):
     big = "é" * 600
     rows = [(1, "http://a b\r\nX: y", big), (5, None, big), (5, "u", big), (None, "u", big), (2, "u", "small"), (3, "u", "small"), (4, "u", None)]
