@@ -55,7 +55,8 @@ def vector_sums(df: DataFrame, key: str, v: str = "v") -> DataFrame:
     rows = df.filter(F.col(v).isNotNull() & F.col(key).isNotNull()).select(
         key, F.lit(1).cast("bigint").alias("n"), F.col(v).alias("total")
     )
-    salt = F.pmod(F.xxhash64("total"), F.lit(_SALTS))
+    # By row and not by value: equal partial sums of a hot group go apart too.
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(_SALTS))
     parts = (
         rows.mapInArrow(_add_up, schema)
         .withColumn("_salt", salt)
