@@ -28,11 +28,13 @@ TOKENIZER = "word_bpe_49k.json"
 WINDOW = 4096
 END_ID = 2
 #: Partially filled windows at a time; beyond it the next document is cut to fill them.
-MAX_OPEN = 64
+MAX_OPEN = 512
 #: Text of one task, at least.
 TASK_BYTES = 2 << 20
 #: Words in a worker's cache before it starts anew.
 CACHE_WORDS = 1_000_000
+#: Words encoded in one call.
+LEARNT = 10_000
 #: Sequence ids of a partition start at its number shifted by this.
 SEQUENCE_BITS = 40
 _PIECE = pa.schema(
@@ -86,37 +88,41 @@ class WordTokenizer:
     def _learn(self, parts: set[bytes]) -> None:
         words, split = set(), []
         for part in parts:
+            if part.isalpha():  # of bytes: ASCII letters only
+                words.add(part)
+                continue
             m = _WORD_AND_MARKS.fullmatch(part)
             # Lower-casing may turn a letter into a letter and a mark, which joins what follows.
-            if not (m and m[1].decode().lower().isalpha()):
+            if not (m and (m[1].isalpha() or m[1].decode().lower().isalpha())):
                 self.cache[part] = self.whole(part)
                 continue
             if m[1] not in self.cache:
                 words.add(m[1])
             if m[2]:
                 split.append((part, m[1], m[2]))
-        if words:
-            self._learn_words(list(words))
+        ordered = list(words)
+        for at in range(0, len(ordered), LEARNT):
+            self._learn_words(ordered[at : at + LEARNT])
         for part, word, marks in split:
             if marks not in self.cache:
                 self.cache[marks] = self.whole(marks)
             self.cache[part] = self.cache[word] + self.cache[marks]
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """A document's ids per text, without the closing one."""
+        """A document's ids per text, without the closing one. New words of all texts are learnt
+        together."""
+        parts = []
         for text in texts:
             low = text.lower()  # of bytes: A-Z only, which the tokenizer lower-cases too
-            if b"<|" in low:  # may be a special token, which has its case
-                yield self.whole(text)
-                continue
-            parts = low.split()
-            found = list(map(self.cache.get, parts))
-            if None in found:
-                if len(self.cache) > CACHE_WORDS:
-                    self.cache.clear()
-                self._learn({part for part in parts if part not in self.cache})
-                found = list(map(self.cache.__getitem__, parts))
-            yield b"".join(found)
+            # "<|" may begin a special token, which has its case.
+            parts.append(None if b"<|" in low else low.split())
+        needed = set().union(*(p for p in parts if p))
+        if len(self.cache) + len(needed) > CACHE_WORDS:
+            self.cache.clear()
+        self._learn(needed.difference(self.cache))
+        get = self.cache.__getitem__
+        for text, split in zip(texts, parts, strict=True):
+            yield self.whole(text) if split is None else b"".join(map(get, split))
 
 
 class SumOfSquaresPacker:
