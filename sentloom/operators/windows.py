@@ -16,9 +16,9 @@ def neighbours(
     """Columns ``previous`` and ``next``: ``value`` of the row before and after in its group.
 
     ``order`` is an integer. The window runs over runs of ``chunk_rows`` order values, so one
-    huge group is spread over many tasks. Runs exchange their edges beside it: an aggregate takes
-    each run's first and last value, and a group with several runs hands them on to the runs
-    before and after.
+    huge group is spread over many tasks. Runs exchange their edges beside it: an aggregate of the
+    orders tells each run's first and last row, and only in groups of several runs are these rows'
+    values fetched and handed on to the runs before and after.
     """
     run = F.floor(F.col(order) / chunk_rows)
     window = Window.partitionBy(group, "_chunk").orderBy(order)
@@ -26,17 +26,23 @@ def neighbours(
         "*", F.lag(value).over(window).alias("_lag"), F.lead(value).over(window).alias("_lead"),
         F.row_number().over(window).alias("_place"), F.lead(order).over(window).isNull().alias("_end"),
     )
-    edges = (
+    ends = (
         df.groupBy(F.col(group).alias("_group"), run.alias("_run"))
-        .agg(F.min_by(value, order).alias("first"), F.max_by(value, order).alias("last"))
-        .groupBy("_group")
-        .agg(F.sort_array(F.collect_list(F.struct("_run", "first", "last"))).alias("r"))
-        .filter(F.size("r") > 1)
+        .agg(F.min(order).alias("first"), F.max(order).alias("last"))
+        .groupBy("_group").agg(F.collect_list(F.array("first", "last")).alias("ends")).filter(F.size("ends") > 1)
+        .select("_group", F.explode(F.array_distinct(F.flatten("ends"))).alias("_at"))
+    )
+    found = df.select(F.col(group).alias("_own"), F.col(order).alias("_order"), run.alias("_run"), F.col(value).alias("_value"))
+    edges = (
+        found.join(ends, F.col("_own").eqNullSafe(F.col("_group")) & (F.col("_order") == F.col("_at")))
+        .groupBy("_group").agg(F.sort_array(F.collect_list(F.struct("_order", "_run", "_value"))).alias("r"))
+        .withColumn("firsts", F.filter("r", lambda x, i: (i == 0) | (F.get("r", i - 1)["_run"] != x["_run"])))
+        .withColumn("lasts", F.filter("r", lambda x, i: (i == F.size("r") - 1) | (F.get("r", i + 1)["_run"] != x["_run"])))
     )
     near = F.transform(
-        "r",
+        "firsts",
         lambda x, i: F.struct(
-            x["_run"].alias("run"), F.get("r", i - 1)["last"].alias("before"), F.get("r", i + 1)["first"].alias("after")
+            x["_run"].alias("run"), F.get("lasts", i - 1)["_value"].alias("before"), F.get("firsts", i + 1)["_value"].alias("after")
         ),
     )
     handed = edges.select("_group", F.explode(near).alias("x")).select("_group", "x.*")

@@ -14,7 +14,7 @@ from sentloom.operators.lookup import encode_ids
 from sentloom.operators.rank import limit_ordered
 from sentloom.operators.windows import cap_per_group
 from sentloom.plans.jobs import Counters, Written, choose_vocab
-from sentloom.session import materialize
+from sentloom.session import materialize, scratch
 from sentloom.sources.sinks import write_splits
 
 
@@ -133,14 +133,6 @@ def label_records(
     )
 
 
-def _write(
-    records: DataFrame, path: str, kind: str, id_cols: list[str], vocab: DataFrame, counters: Counters, max_sentences: int, split: dict
-) -> Written:
-    rows = limit_ordered(records, max_sentences, *id_cols)
-    write_splits(rows, path, kind, *id_cols, **split)
-    return Written(vocab, counters.taken())
-
-
 def write_captions(
     captions: DataFrame,
     features: DataFrame,
@@ -166,11 +158,13 @@ def write_captions(
     records = {"image": image_records, "clip": clip_records}
     if kind not in records:
         raise ValueError(f"kind must be one of {sorted(records)}, not {kind!r}")
-    vocab = choose_vocab(captions, path, num_words, vocab)
-    counters = Counters()
-    found = records[kind](captions, features, vocab, oov, per_clip, max_len, add_eos, order, counters)
-    keys = [order] if isinstance(order, str) else order
-    return _write(found, path, kind, ["clip_id", *keys], vocab, counters, max_sentences, split)
+    keys = ["clip_id", *([order] if isinstance(order, str) else order)]
+    with scratch(captions.sparkSession):
+        vocab = choose_vocab(captions, path, num_words, vocab)
+        counters = Counters()
+        found = records[kind](captions, features, vocab, oov, per_clip, max_len, add_eos, order, counters)
+        write_splits(limit_ordered(found, max_sentences, *keys), path, kind, *keys, **split)
+    return Written(vocab, counters.taken())
 
 
 def write_pairs(
@@ -188,10 +182,12 @@ def write_pairs(
     """The whole pair job: texts (key, s1, s2) → id pairs as train and validation shards; options as
     for :func:`write_captions`. A new vocabulary is of both sides."""
     both = pairs.select(F.concat(ws_tokens("s1"), ws_tokens("s2")).alias("tokens"))
-    vocab = choose_vocab(both, path, num_words, vocab)
-    counters = Counters()
-    found = pair_records(pairs, vocab, oov, max_len, add_eos, key, counters)
-    return _write(found, path, "pair", key, vocab, counters, max_sentences, split)
+    with scratch(pairs.sparkSession):
+        vocab = choose_vocab(both, path, num_words, vocab)
+        counters = Counters()
+        found = pair_records(pairs, vocab, oov, max_len, add_eos, key, counters)
+        write_splits(limit_ordered(found, max_sentences, *key), path, "pair", *key, **split)
+    return Written(vocab, counters.taken())
 
 
 def write_labels(
@@ -208,7 +204,9 @@ def write_labels(
 ) -> Written:
     """The whole label job: (key, tokens, obj_id) → labelled ids as train and validation shards; options
     as for :func:`write_captions`."""
-    vocab = choose_vocab(labelled, path, num_words, vocab)
-    counters = Counters()
-    found = label_records(labelled, vocab, oov, max_len, add_eos, key, counters)
-    return _write(found, path, "label", key, vocab, counters, max_sentences, split)
+    with scratch(labelled.sparkSession):
+        vocab = choose_vocab(labelled, path, num_words, vocab)
+        counters = Counters()
+        found = label_records(labelled, vocab, oov, max_len, add_eos, key, counters)
+        write_splits(limit_ordered(found, max_sentences, *key), path, "label", *key, **split)
+    return Written(vocab, counters.taken())

@@ -11,7 +11,7 @@ from sentloom.operators.rank import limit_ordered
 from sentloom.operators.vocab import build_vocab, word_counts
 from sentloom.operators.windows import neighbours, row_triples, usable_triple
 from sentloom.plans.jobs import Counters, Written, choose_vocab, write_eval_sets
-from sentloom.session import materialize
+from sentloom.session import materialize, scratch
 from sentloom.sources.sinks import write_splits
 from sentloom.sources.text import sentence_arrays
 
@@ -135,22 +135,22 @@ def write_corpus(
     and the scored pairs of ``eval_sets`` as arrays below ``eval``; returns the vocabulary and the
     counters.
     """
-    tokens = sentences.select(group, order, ws_tokens(text).alias("tokens"))
-    vocab = choose_vocab(tokens, path, num_words, vocab)
-    if eval_sets:
-        write_eval_sets(eval_sets, vocab, f"{path}/eval", oov=oov)
-    counters = Counters()
-    records = id_triples(tokens, vocab, group, order, "tokens", oov, max_len, counters=counters)
-    records = limit_ordered(records, max_sentences, group, order)
-    write_splits(
-        records,
-        path,
-        "triple",
-        group,
-        order,
-        n_validation=n_validation,
-        train_shards=train_shards,
-        validation_shards=validation_shards,
-        seed=seed,
-    )
+    with scratch(sentences.sparkSession):
+        tokens = sentences.select(group, order, ws_tokens(text).alias("tokens"))
+        vocab = choose_vocab(tokens, path, num_words, vocab)
+        if eval_sets:
+            write_eval_sets(eval_sets, vocab, f"{path}/eval", oov=oov)
+        counters = Counters()
+        records = id_triples(tokens, vocab, group, order, "tokens", oov, max_len, counters=counters)
+        write_splits(
+            limit_ordered(records, max_sentences, group, order),
+            path,
+            "triple",
+            group,
+            order,
+            n_validation=n_validation,
+            train_shards=train_shards,
+            validation_shards=validation_shards,
+            seed=seed,
+        )
     return Written(vocab, counters.taken())

@@ -44,12 +44,13 @@ class Counters:
 def choose_vocab(tokens: DataFrame, path: str, num_words: int, vocab: DataFrame | None) -> DataFrame:
     """The given vocabulary, or a new one of the ``tokens`` column with its counts; written below
     ``path`` either way."""
-    if vocab is None:
-        counts = materialize(word_counts(tokens))
-        write_word_counts(counts, f"{path}/counts")
-        vocab = materialize(build_vocab(counts, num_words))
-    write_vocab(vocab, f"{path}/vocab")
-    return vocab
+    if vocab is not None:
+        write_vocab(vocab, f"{path}/vocab")
+        return vocab
+    counts = materialize(word_counts(tokens))
+    write_word_counts(counts, f"{path}/counts")
+    write_vocab(build_vocab(counts, num_words), f"{path}/vocab")
+    return tokens.sparkSession.read.parquet(f"{path}/vocab")
 
 
 def write_eval_sets(sets: dict[str, DataFrame], vocab: DataFrame, path: str, width: int = 50, oov: str = "unk") -> None:

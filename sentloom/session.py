@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +47,25 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Paths stored by the innermost :func:`scratch`; those outside of any stay.
+_STORED: ContextVar[list[str] | None] = ContextVar("stored", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that :func:`materialize` stores inside it, for jobs whose results are written
+    elsewhere by then."""
+    stored: list[str] = []
+    token = _STORED.set(stored)
+    try:
+        yield
+    finally:
+        _STORED.reset(token)
+        for name in stored:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -51,5 +73,8 @@ def materialize(df: DataFrame) -> DataFrame:
     a later stage see another partitioning or another sample than an earlier one saw.
     """
     path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    stored = _STORED.get()
+    if stored is not None:
+        stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentloom.schemas import RECORDS
+from sentloom.session import scratch
 from sentloom.sources.sinks import write_splits
 
 SPLITS = ("train", "validation")
@@ -68,7 +69,8 @@ def write_set(records: DataFrame, path: str, kind: str, *id_cols: str, **split)
     spark = records.sparkSession
     before = manifests(spark, path).agg(F.max("version")).first()[0]
     folder, version = f"{path}/set-{uuid.uuid4().hex}", (before or 0) + 1
-    write_splits(records, folder, kind, *id_cols, **split)
+    with scratch(spark):
+        write_splits(records, folder, kind, *id_cols, **split)
     rows = _counted(spark, folder, kind).select(F.lit(folder).alias("folder"), F.lit(kind).alias("kind"), "*")
     # One row per shard, in one file: it is there or it is not.
     rows.coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifests/version={version}")

@@ -44,6 +44,20 @@ def test_bucketed_features_are_not_shuffled(spark):
     assert plans[1] * 2 == plans[0]  # one side of two
 
 
+def test_scratch_leaves_nothing(spark, tmp_path):
+    from pathlib import Path
+
+    from sentloom.session import checkpoint_root, materialize, scratch
+
+    root = Path(checkpoint_root(spark).removeprefix("file:"))
+    kept = materialize(spark.range(3))
+    before = set(root.iterdir())
+    with pytest.raises(ZeroDivisionError), scratch(spark):
+        assert materialize(spark.range(5)).count() == 5
+        raise ZeroDivisionError
+    assert set(root.iterdir()) == before and kept.count() == 3
+
+
 def test_captions_job(spark, tmp_path):
     captions = spark.createDataFrame(
         [(c, p, ["a"] * (1 + 10 * p) + [f"b{c}"]) for c in range(6) for p in range(5)] + [(9, 0, ["lost"])],
