@@ -117,9 +117,11 @@ class WordTokenizer:
             # "<|" may begin a special token, which has its case.
             parts.append(None if b"<|" in low else low.split())
         needed = set().union(*(p for p in parts if p))
-        if len(self.cache) + len(needed) > CACHE_WORDS:
+        new = needed.difference(self.cache)
+        if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache.clear()
-        self._learn(needed.difference(self.cache))
+            new = needed
+        self._learn(new)
         get = self.cache.__getitem__
         for text, split in zip(texts, parts, strict=True):
             yield self.whole(text) if split is None else b"".join(map(get, split))
