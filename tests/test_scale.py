@@ -101,6 +101,32 @@ def test_loss_by_join_is_the_same(spark):
         sampling.negative_sampling_loss(df, targets, vocab, 3, 2, 2, max_bytes=0).collect()
 
 
+def test_loss_by_runs_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vocab = spark.createDataFrame([(f"w{i}", i) for i in range(300)], "word string, id int")
+    targets = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "id int, v array<double>")
+    rows = [(b, r, rng.normal(size=4).tolist(), *[[int(x) for x in rng.integers(0, 300, rng.integers(0, 6))] for _ in range(3)]) for b in range(40) for r in range(3)]
+    df = spark.createDataFrame(rows, "batch long, row int, v array<double>, decode_pre array<int>, decode_post array<int>, encode array<int>")
+    monkeypatch.setattr(sampling, "GROUP_ROWS", 6)
+    monkeypatch.setattr(sampling, "BLOCK_ROWS", 24)
+    options = [{}, {"max_bytes": 0}, {"max_bytes": 0, "block_bytes": 0}]  # sent, by runs, word by word
+    ways = [{(r["batch"], r["part"]): r["value"] for r in sampling.negative_sampling_loss(df, targets, vocab, 3, 6, 2, **o).collect()} for o in options]
+    assert len(ways[0]) == 120 and ways[0].keys() == ways[1].keys() == ways[2].keys()
+    for other in ways[1:]:
+        np.testing.assert_allclose([other[k] for k in ways[0]], list(ways[0].values()), atol=1e-12)
+    # Without words drawn one by one: a row per number thrown went through a shuffle before.
+    monkeypatch.setattr(sampling, "draw_by_ranges", None)
+    assert sampling.negative_sampling_loss(df, targets, vocab, 3, 6, 2, max_bytes=0).count() == 120
+
+
+@pytest.mark.parametrize("n", [0, 5, 60, 290, 300])
+def test_many_draws_at_once_are_the_same(n):
+    words = sampling.WordDraw.of(np.arange(300) * 3)
+    batches = np.arange(700, dtype=np.int64) * 11
+    found = words.places_many(batches, n, 7)
+    assert found.shape == (700, n) and all((found[i] == words.places(int(b), n, 7)).all() for i, b in enumerate(batches))
+
+
 def word_vec(spark, dim=3, double=False):
     rng = np.random.default_rng(1)
     rows = [(w, i, [float(x) for x in rng.normal(size=dim).astype(np.float32)]) for i, w in enumerate(["<eos>", "<unk>", "a", "b", "c"])]
