@@ -24,14 +24,18 @@ from sentloom.session import materialize
 # Similarities are compared at this precision, so that the shape of a block product can not
 # change the order of equal neighbours.
 DIGITS = 10
-# Elements of one partial block product (32 MB).
-_TILE = 4 << 20
+# Elements of the bounds computed at once; rows and columns of one partial product; pairs computed again
+# in double at once.
+_TILE, _TILE_ROWS, _TILE_COLUMNS, _EXACT = 1 << 20, 2048, 4096, 1 << 16
 # Vectors of one block, in double.
 _BLOCK_BYTES = 64 << 20
 # Queries sent to every task, and pivots, in double.
 SENT_BYTES, _PIVOT_BYTES = 8 << 20, 32 << 20
-# Queries that meet a block in one task.
-_CHUNK = 16_384
+# Queries that meet a block in one task; rows that leave a task at once.
+_CHUNK, _OUT = 16_384, 4096
+# Of all (query, block) visits the share above which all rows are scanned, and the bytes of rows that
+# a task then holds.
+_DENSE, _SCAN_BYTES = 0.1, 32 << 20
 # Room for rounding in angles and similarities.
 _ANGLE_SLACK, _BOUND_SLACK = 1e-6, 1e-9
 
@@ -42,16 +46,6 @@ def _unit_rows(lists: pa.ChunkedArray) -> np.ndarray:
     return rows / np.sqrt(np.maximum((rows * rows).sum(axis=1, keepdims=True), NORM_EPSILON))
 
 
-def _best(sims: np.ndarray, k: int) -> np.ndarray:
-    """Mask of the k largest per row; among equals the left-most."""
-    if sims.shape[1] <= k:
-        return np.ones(sims.shape, bool)
-    kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
-    above, equal = sims > kth, sims == kth
-    room = k - above.sum(axis=1, keepdims=True)
-    return above | (equal & (equal.cumsum(axis=1, dtype=np.int32) <= room))
-
-
 def _size(df: DataFrame) -> tuple[int, int]:
     """Rows and dimensions."""
     size = df.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
@@ -68,17 +62,50 @@ def _scored(
     names: np.ndarray, a: np.ndarray, there: np.ndarray, b: np.ndarray, k: int,
     least: np.ndarray | None = None, own: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(name, neighbour, similarity) of the k best rows of ``b`` for each row of ``a``, some rows at a
-    time. ``there`` is ascending. Rows below ``least`` and rows named as ``own`` are left out."""
-    step = max(1, _TILE // max(len(b), 1))
-    for at in range(0, len(a), step):
-        s = np.round(a[at : at + step] @ b.T, DIGITS)
-        if own is not None:
-            s[own[at : at + step, None] == there[None, :]] = -np.inf
-        if least is not None:
-            s[s < least[at : at + step, None]] = -np.inf
-        r, c = np.nonzero(_best(s, k) & np.isfinite(s))
-        yield names[at + r], there[c], s[r, c]
+    """(name, neighbour, similarity) of the k best rows of ``b`` for each row of ``a``, one tile of both at
+    a time. ``there`` is ascending. Rows below ``least`` and rows named as ``own`` are left out.
+
+    Tiles are multiplied in single precision; what can reach a row's k-th similarity so far, within the
+    rounding of that, is computed again in double.
+    """
+    slack = 1e-6 + 4e-7 * a.shape[1]
+    low_b = b.astype(np.float32)
+    wanted = k + (own is not None)
+    for at in range(0, len(a), _TILE_ROWS):
+        some = a[at : at + _TILE_ROWS]
+        low = some.astype(np.float32)
+        floor = np.full(len(some), -np.inf) if least is None else least[at : at + _TILE_ROWS] - slack
+        best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        for first in range(0, len(b), _TILE_COLUMNS):
+            s = low @ low_b[first : first + _TILE_COLUMNS].T
+            open_ = np.flatnonzero(np.isneginf(floor))
+            if len(open_) and s.shape[1] > wanted:
+                floor[open_] = np.partition(s[open_], -wanted, axis=1)[:, -wanted] - 2 * slack
+            r, c = np.nonzero(s >= floor[:, None].astype(np.float32))
+            for cut in range(0, len(r), _EXACT):
+                row, column = r[cut : cut + _EXACT], c[cut : cut + _EXACT] + first
+                exact = np.round(np.einsum("nd,nd->n", some[row], b[column]), DIGITS)
+                keep = np.isfinite(exact)
+                if own is not None:
+                    keep &= own[at + row] != there[column]
+                if least is not None:
+                    keep &= exact >= least[at + row]
+                new = [x[keep] for x in (row, column, exact)]
+                best = _first([np.concatenate(x) for x in zip(best, new, strict=True)], k)
+            if len(r):
+                last = np.flatnonzero(np.bincount(best[0], minlength=len(some)) == k)
+                ends = np.cumsum(np.bincount(best[0], minlength=len(some)))[last] - 1
+                floor[last] = np.maximum(floor[last], best[2][ends] - slack)
+        yield names[at + best[0]], there[best[1]], best[2]
+
+
+def _first(columns: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The k best of each row of (row, place, similarity), in that order; ties go to the smaller place."""
+    order = np.lexsort((columns[1], -columns[2], columns[0]))
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(np.diff(columns[0], prepend=-1))
+    inside = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    return [c[inside < k] for c in columns]
 
 
 def _sent(queries: DataFrame, corpus: DataFrame, k: int, include_self: bool) -> DataFrame:
@@ -97,13 +124,12 @@ def _sent(queries: DataFrame, corpus: DataFrame, k: int, include_self: bool) ->
             if not batch.num_rows or not len(ids):
                 continue
             table = pa.Table.from_batches([batch]).sort_by("id")
-            parts = _scored(place, matrix, table["id"].to_numpy(), _unit_rows(table["v"]), k, own=None if include_self else ids)
-            columns = [np.concatenate(c) for c in zip(best, *parts, strict=True)]
-            order = np.lexsort((columns[1], -columns[2], columns[0]))
-            columns = [c[order] for c in columns]
-            first = np.flatnonzero(np.diff(columns[0], prepend=-1))
-            inside = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-            best = [c[inside < k] for c in columns]
+            # What a query has found before is the least that counts.
+            found = np.bincount(best[0], minlength=len(ids))
+            least = np.full(len(ids), -np.inf)
+            least[found == k] = best[2][np.cumsum(found)[found == k] - 1]
+            parts = _scored(place, matrix, table["id"].to_numpy(), _unit_rows(table["v"]), k, least, None if include_self else ids)
+            best = _first([np.concatenate(c) for c in zip(best, *parts, strict=True)], k)
         yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["id", "neighbour", "similarity"])
 
     return _ordered(corpus.mapInArrow(search, "id bigint, neighbour bigint, similarity double"), k)
@@ -117,7 +143,8 @@ class PivotIndex:
     dealt out over several blocks. A block knows the least and the greatest angle between its rows
     and the pivot, so by the triangle inequality no row of it can be nearer to a query than the
     query's angle to the pivot allows. A query visits blocks by falling bound, some more each
-    round, and stops when the next bound is below its k-th similarity. Of equal vectors only the
+    round, and stops when the next bound is below its k-th similarity. Where the bounds leave out
+    too little, chunks of queries scan runs of all rows instead. Of equal vectors only the
     k of the smallest ids are kept, since no other can be among a query's first k.
     """
 
@@ -194,6 +221,9 @@ class PivotIndex:
         state = queries.withColumn("kth", F.lit(-math.inf))
         found, at, step = None, 0, 1
         while at < len(self.cells):
+            if at and self._reached(state) > _DENSE * len(self.cells) * queries.count():
+                self.visits.append(queries.count() * len(self.cells))
+                return self._near(self._scanned(state))
             asked = materialize(self._asked(state, at, at + step))
             self.visits.append(asked.count())
             if not self.visits[-1]:
@@ -201,8 +231,7 @@ class PivotIndex:
             new = self._visited(asked)
             if found is not None:
                 new = new.unionByName(found.select("key", F.inline("near")))
-            near = F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))), lambda x: F.struct(x["neighbour"].alias("neighbour"), x["similarity"].alias("similarity")))
-            found = materialize(_ordered(new, self.k, "key").groupBy("key").agg(near.alias("near")))
+            found = materialize(self._near(new))
             kth = F.when(F.size("near") == self.k, F.get("near", F.lit(self.k - 1))["similarity"])
             state = queries.join(found, "key", "left").select("key", "v", F.coalesce(kth, F.lit(-math.inf)).alias("kth"))
             at, step = at + step, step * 2
@@ -210,12 +239,49 @@ class PivotIndex:
             return queries.select("key", F.lit(None).cast("array<struct<neighbour: bigint, similarity: double>>").alias("near"))
         return found
 
+    def _near(self, found: DataFrame) -> DataFrame:
+        """(key, near) of (key, neighbour, similarity)."""
+        near = F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "similarity"))), lambda x: F.struct(x["neighbour"].alias("neighbour"), x["similarity"].alias("similarity")))
+        return _ordered(found, self.k, "key").groupBy("key").agg(near.alias("near"))
+
+    def _reached(self, state: DataFrame) -> int:
+        """Number of (query, block) pairs whose bound reaches the query's k-th similarity."""
+        shared = state.sparkSession.sparkContext.broadcast(self._bounds_only())
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = shared.value
+            step = max(1, _TILE // max(len(index.cells), len(index.pivots)))
+            for whole in batches:
+                n = 0
+                for at in range(0, whole.num_rows, step):
+                    batch = whole.slice(at, step)
+                    bound = index.bounds(_unit_rows(pa.chunked_array([batch.column(0)])))
+                    n += int((bound >= batch.column(1).to_numpy()[:, None] - _BOUND_SLACK).sum())
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+        return state.select("v", "kth").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+    def _bounds_only(self) -> PivotIndex:
+        return PivotIndex(self.k, None, self.pivots, self.cells, self.least, self.most)
+
+    def _scanned(self, state: DataFrame) -> DataFrame:
+        """(key, neighbour, similarity): the best of every run of rows for every query. Either side is
+        copied once per chunk or run of the other."""
+        (n, dim), asked = _size(self.rows), state.count()
+        parallel = state.sparkSession.sparkContext.defaultParallelism
+        chunks = math.ceil(asked / min(_CHUNK, max(1024, asked // (2 * parallel))))
+        runs = math.ceil(n * dim * 8 / _SCAN_BYTES) or 1
+        every = [F.explode(F.sequence(F.lit(0), F.lit(x - 1))) for x in (chunks, runs)]
+        left = state.withColumn("chunk", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")).withColumn("run", every[1])
+        right = self.rows.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int")).withColumn("chunk", every[0])
+        by = ["chunk", "run"]
+        return left.groupBy(*by).cogroup(right.select("chunk", "run", "id", "v").groupBy(*by)).applyInArrow(_candidates(self.k), _CANDIDATES)
+
     def _asked(self, state: DataFrame, first: int, last: int) -> DataFrame:
         """(block, key, v, kth): the blocks that stand at these places of the queries' orders, as long
         as their bounds reach the k-th similarity."""
         kind = state.schema["v"].dataType.simpleString()
-        index = PivotIndex(self.k, None, self.pivots, self.cells, self.least, self.most)
-        shared = state.sparkSession.sparkContext.broadcast(index)
+        shared = state.sparkSession.sparkContext.broadcast(self._bounds_only())
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -227,8 +293,10 @@ class PivotIndex:
                     order = np.argsort(-bound, axis=1, kind="stable")[:, first:last]
                     reach = np.take_along_axis(bound, order, axis=1) >= batch.column(2).to_numpy()[:, None] - _BOUND_SLACK
                     row, place = np.nonzero(reach)
-                    picked = batch.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([pa.array(order[row, place].astype(np.int32)), *picked.columns], names=["block", "key", "v", "kth"])
+                    block = order[row, place].astype(np.int32)
+                    for cut in range(0, len(row), _OUT):
+                        picked = batch.take(pa.array(row[cut : cut + _OUT]))
+                        yield pa.RecordBatch.from_arrays([pa.array(block[cut : cut + _OUT]), *picked.columns], names=["block", "key", "v", "kth"])
 
         return state.select("key", "v", "kth").mapInArrow(choose, f"block int, key string, v {kind}, kth double")
 
@@ -236,19 +304,26 @@ class PivotIndex:
         """(key, neighbour, similarity): candidates from the asked blocks. A block that very many
         queries ask for is copied once per ``_CHUNK`` of them."""
         left, right = split_hot(asked, self.rows, "block", ["key"], _CHUNK)
-        k = self.k
+        by = ["block", "_chunk"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_candidates(self.k), _CANDIDATES)
 
-        def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
-            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            if len(left) and len(right):
-                right = right.sort_by("id")
-                a, b = _unit_rows(left["v"]), _unit_rows(right["v"])
-                parts += _scored(np.arange(len(left)), a, right["id"].to_numpy(), b, k, left["kth"].to_numpy())
-            row, neighbour, similarity = (np.concatenate(c) for c in zip(*parts, strict=True))
-            return pa.table({"key": left["key"].take(pa.array(row)), "neighbour": neighbour, "similarity": similarity})
 
-        by = ["block", "_chunk"]
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(candidates, "key string, neighbour bigint, similarity double")
+_CANDIDATES = "key string, neighbour bigint, similarity double"
+
+
+def _candidates(k: int):
+    """Of queries (key, v, kth) and rows (id, v) the k best rows of each query."""
+
+    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(left) and len(right):
+            right = right.sort_by("id")
+            a, b = _unit_rows(left["v"]), _unit_rows(right["v"])
+            parts += _scored(np.arange(len(left)), a, right["id"].to_numpy(), b, k, left["kth"].to_numpy())
+        row, neighbour, similarity = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.table({"key": left["key"].take(pa.array(row)), "neighbour": neighbour, "similarity": similarity})
+
+    return candidates
 
 
 def vector_key(v: str = "v") -> Column:

@@ -244,3 +244,37 @@ def test_neighbours_over_runs(spark):
             assert got[g, t] == (texts[i - 1] if i else None, texts[i + 1] if i + 1 < len(texts) else None)
     plan = neighbours(df, "g", "p", "t", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") == 1
+
+
+def test_scan_where_bounds_exclude_nothing(spark, monkeypatch):
+    monkeypatch.setattr("sentloom.operators.neighbours._SCAN_BYTES", 1 << 13)
+    m = np.random.default_rng(9).normal(size=(300, 16))
+    m[100:120], m[150] = m[3], 0.0
+    rows = vectors(spark, m).select(vector_key().alias("key"), "id", "v")
+    index = PivotIndex.build(rows, 5, 20)
+    found = {r["key"]: [x["neighbour"] for x in r["near"]] for r in index.search(rows.groupBy("key").agg(F.any_value("v").alias("v"))).collect()}
+    unit = m / np.sqrt(np.maximum((m * m).sum(axis=1, keepdims=True), 1e-12))
+    sims = np.round(unit @ unit.T, 10)
+    for r in rows.collect():
+        assert found[r["key"]] == list(np.lexsort((np.arange(300), -sims[r["id"]]))[:5])
+    # A round of visits, then one scan: before, every (query, block) visit was a row with the vector.
+    assert len(index.visits) == 2
+
+
+@pytest.mark.parametrize("least", [None, 0.2])
+def test_scored_in_tiles(monkeypatch, least):
+    from sentloom.operators import neighbours
+
+    for name, size in (("_TILE_ROWS", 7), ("_TILE_COLUMNS", 11), ("_EXACT", 13)):
+        monkeypatch.setattr(neighbours, name, size)
+    rng = np.random.default_rng(3)
+    a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(20, 5)), rng.normal(size=(60, 5))))
+    b[30:50] = a[4]
+    sims = np.round(a @ b.T, 10)
+    for own in (None, np.arange(20) * 2):
+        bound = None if least is None else np.full(20, least)
+        found = [np.concatenate(c) for c in zip(*neighbours._scored(np.arange(20), a, np.arange(60), b, 4, bound, own), strict=True)]
+        for i in range(20):
+            order = [j for j in np.lexsort((np.arange(60), -sims[i])) if (least is None or sims[i, j] >= least) and (own is None or j != own[i])][:4]
+            assert list(found[1][found[0] == i]) == order
+            np.testing.assert_allclose(found[2][found[0] == i], sims[i, order])
