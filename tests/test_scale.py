@@ -278,3 +278,18 @@ def test_scored_in_tiles(monkeypatch, least):
             order = [j for j in np.lexsort((np.arange(60), -sims[i])) if (least is None or sims[i, j] >= least) and (own is None or j != own[i])][:4]
             assert list(found[1][found[0] == i]) == order
             np.testing.assert_allclose(found[2][found[0] == i], sims[i, order])
+
+
+def test_bag_sums_add_in_order(monkeypatch):
+    from sentloom.operators import lookup
+
+    monkeypatch.setattr(lookup, "LONG_SENTENCE", 4)  # before, one reduceat over all words
+    rng = np.random.default_rng(2)
+    matrix = rng.normal(size=(50, 3)).astype(np.float32)
+    starts = np.concatenate([[0], np.cumsum([0, 3, 4, 5, 0, 40, 1])])
+    rows = rng.integers(0, 50, starts[-1])
+    for sums, a, b in zip(lookup.bag_sums(rows, starts, matrix), starts, starts[1:], strict=False):
+        total = np.zeros(3)
+        for i in rows[a:b]:
+            total = total + matrix[i]
+        assert (sums == total).all()
