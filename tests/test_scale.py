@@ -293,3 +293,11 @@ def test_bag_sums_add_in_order(monkeypatch):
         for i in rows[a:b]:
             total = total + matrix[i]
         assert (sums == total).all()
+
+
+def test_numbered_rows_meet_without_a_second_shuffle(spark):
+    df = spark.createDataFrame([(["w0", "x"],), (["w1"],), (None,)], "tokens array<string>")
+    found = lookup_vectors(df, word_vec(spark), "drop", max_bytes=0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "coalesce(_row_key" not in plan  # a NULL-safe join deals the vectors out again
+    assert found.count() == 3
