@@ -25,3 +25,18 @@ def test_entry(spark):
     found = entry.entry(spark)
     assert found.columns == ["doc_id", "pos", "decode_pre", "encode", "decode_post"]
     assert found.count()
+
+
+def test_outline_sums_in_order():
+    import pyarrow as pa
+
+    from workload.queries import _outline_sums
+
+    rows = [[1.0, 2.0, 3.0], None, [1.0, None], [], [0.1] * 20]
+    found = _outline_sums(pa.array(rows, pa.list_(pa.float64()))).to_pylist()
+    assert found[0] == {"square": 14.0, "weighted": 14.0} and found[3] == {"square": 0.0, "weighted": 0.0}
+    assert found[1] == found[2] == {"square": None, "weighted": None}
+    total = 0.0
+    for i, x in enumerate(rows[4]):
+        total += x * (i % 7 + 1)
+    assert found[4]["weighted"] == total
