@@ -35,7 +35,7 @@ SENT_BYTES, _PIVOT_BYTES = 8 << 20, 32 << 20
 _CHUNK, _OUT = 16_384, 4096
 # Of all (query, block) visits the share above which all rows are scanned, and the bytes of rows that
 # a task then holds.
-_DENSE, _SCAN_BYTES = 0.1, 32 << 20
+_DENSE, _SCAN_BYTES = 0.5, 32 << 20
 # Room for rounding in angles and similarities.
 _ANGLE_SLACK, _BOUND_SLACK = 1e-6, 1e-9
 
