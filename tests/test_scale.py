@@ -301,3 +301,29 @@ def test_numbered_rows_meet_without_a_second_shuffle(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "coalesce(_row_key" not in plan  # a NULL-safe join deals the vectors out again
     assert found.count() == 3
+
+
+def test_bags_move_a_vector_per_word_of_a_block(spark):
+    """The joined bags ask for a word once per block of sentences; rows of a key that repeats count
+    together, a long row comes in parts, NULL tokens are left out."""
+    from sentloom.operators import lookup
+
+    words = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [10.0, 20.0]), ("a", [0.5, 0.0])], "word string, v array<double>")
+    rows = [(i, ["a", "b", "x", None, "a"]) for i in range(500)] + [(500, ["b"] * 400), (501, None), (502, []), (7, ["b"]), (None, ["a"])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>").coalesce(2)
+    stored, _ = lookup._bags_by_block(df, words, "drop", "tokens", 1 << 10)
+    asked = stored.select(F.explode("_words")).count()
+    assert asked <= 3 * stored.select("_block").distinct().count()
+    assert stored.filter("k = 500").count() > 1
+    whole = {k: tokens for k, tokens in rows}
+    for some in (df, df.filter("k < 400 and k <> 7 or k is null")):
+        coded = encode_bow(some, words, "drop", key=["k"], max_bytes=0, block_bytes=1 << 10)
+        assert coded.columns == ["k", "tokens", "v"]
+        found = {r["k"]: r["v"] for r in coded.collect()}
+        assert coded.count() == some.count()
+        for k, v in found.items():
+            bag = [w for key, tokens in rows if key == k for w in tokens or []]
+            a, b = bag.count("a"), bag.count("b")
+            assert v == [1.5 * a + 10 * b, 2.0 * a + 20 * b], k
+        if some is not df:
+            assert all(r["tokens"] == whole[r["k"]] for r in coded.collect())
