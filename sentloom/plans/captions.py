@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentloom.functions.text import shorter_than, ws_tokens
-from sentloom.operators.joins import caption_features
+from sentloom.operators.joins import caption_features, with_key
 from sentloom.operators.lookup import encode_ids
 from sentloom.operators.rank import limit_ordered
 from sentloom.operators.windows import cap_per_group
@@ -45,12 +45,12 @@ def _coded_captions(
     order: str | list[str],
     counters: Counters | None = None,
 ) -> DataFrame:
-    """Captions without feature go first, then the cap counts, then the length rule. The semi
-    join and the cap run on narrow rows, so features join only to the captions that are left."""
+    """Captions without feature go first, where they are read if the clip ids fit, then the cap counts,
+    then the length rule. Features join only to the captions that are left."""
     keys = [order] if isinstance(order, str) else order
     if counters is not None:
         captions = counters.watch(captions, sentences_seen=F.count("*"))
-    with_feature = captions.join(features.select("clip_id"), "clip_id", "left_semi")
+    with_feature = with_key(captions, features, "clip_id")
     capped = cap_per_group(with_feature, "clip_id", keys, per_clip)
     short = _short_rows(capped, ["tokens"], max_len, counters)
     return encode_ids(short, vocab, oov, "tokens", out, add_eos, key=["clip_id", *keys]).drop(

@@ -327,3 +327,24 @@ def test_bags_move_a_vector_per_word_of_a_block(spark):
             assert v == [1.5 * a + 10 * b, 2.0 * a + 20 * b], k
         if some is not df:
             assert all(r["tokens"] == whole[r["k"]] for r in coded.collect())
+
+
+def test_captions_without_clip_are_left_out_where_they_are(spark):
+    from sentloom.operators.joins import with_key
+
+    captions = spark.createDataFrame([(i % 7 if i % 7 else None, i) for i in range(50)], "clip_id long, pos long")
+    clips = spark.createDataFrame([(1, [1.0]), (1, [2.0]), (None, [3.0]), (5, None), (90, [4.0])], "clip_id long, v array<double>")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for max_bytes, join in ((1 << 20, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            found = with_key(captions, clips, "clip_id", max_bytes)
+            assert join in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(r["pos"] for r in found.collect()) == [i for i in range(50) if i % 7 in (1, 5)]
+        from sentloom.plans.captions import image_records
+
+        words = spark.createDataFrame([("a", 2)], "word string, id int")
+        plan = image_records(captions.withColumn("tokens", F.array(F.lit("a"))), clips, words)._jdf.queryExecution().executedPlan()
+        assert "BroadcastHashJoin [clip_id" in plan.toString() and "LeftSemi" in plan.toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
