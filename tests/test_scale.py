@@ -348,3 +348,18 @@ def test_captions_without_clip_are_left_out_where_they_are(spark):
         assert "BroadcastHashJoin [clip_id" in plan.toString() and "LeftSemi" in plan.toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_neighbours_need_one_window_and_no_join(spark):
+    rows = [("a", i, f"a{i}") for i in range(9)] + [(None, i, f"n{i}") for i in (0, 3, 5)] + [("b", None, "x"), ("b", None, "y"), ("b", 7, "z")]
+    df = spark.createDataFrame(rows, "g string, i long, x string")
+    near = neighbours(df.filter("g = 'a'"), "g", "i", "x")
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+    for chunk_rows in (2, 4, 1000):
+        near = neighbours(df, "g", "i", "x", chunk_rows)
+        assert near.columns == ["g", "i", "x", "previous", "next"]
+        found = {r["x"]: (r["previous"], r["next"]) for r in near.collect()}
+        assert len(found) == near.count() == len(rows)
+        assert all(found[f"a{i}"] == (f"a{i - 1}" if i else None, f"a{i + 1}" if i < 8 else None) for i in range(9))
+        assert [found[f"n{i}"] for i in (0, 3, 5)] == [(None, "n3"), ("n0", "n5"), ("n3", None)]
+        assert found["x"][1] is None and found["y"][1] is None
