@@ -363,3 +363,20 @@ def test_neighbours_need_one_window_and_no_join(spark):
         assert all(found[f"a{i}"] == (f"a{i - 1}" if i else None, f"a{i + 1}" if i < 8 else None) for i in range(9))
         assert [found[f"n{i}"] for i in (0, 3, 5)] == [(None, "n3"), ("n0", "n5"), ("n3", None)]
         assert found["x"][1] is None and found["y"][1] is None
+
+
+def test_ranked_computes_its_rows_twice(spark):
+    """Once for the keys and once for the other columns, and not again for the sample of the sort."""
+    from sentloom.operators.rank import ranked
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(1000).repartition(4, "id").withColumn("x", F.col("id") * 2).mapInArrow(count, "id long, x long")
+    found = ranked(df, "id").collect()
+    assert sorted((r["id"], r["x"], r["rank"]) for r in found) == [(i, 2 * i, i) for i in range(1000)]
+    assert seen.value <= 2000
