@@ -252,3 +252,14 @@ def test_caption_stats(spark):
     found = windows.caption_stats(captions, features, n=3)
     assert found.collect() == [(7, 3, 1, 2)]
     assert windows.caption_stats(captions.limit(0), features).collect() == [(0, 0, 0, 0)]
+
+
+def test_tokens_by_both_ways_of_splitting(spark):
+    """Texts with spaces only are split at single spaces, others at runs of any ASCII white space."""
+    texts = ["", " ", "a", "  a  b ", "a\tb", "\x0ba\x0c\rb\n", "a b c", " a", ".* [x] \\ c", " \t", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for col in ("t", F.lower("t"), F.concat("t", F.lit(""))):
+        found = {r["i"]: r["x"] for r in df.select("i", X.ws_tokens(col).alias("x")).collect()}
+        assert [found[i] for i in range(len(texts))] == [t if t is None else [w.decode() for w in t.encode().split()] for t in texts]
+    plan = df.select(X.ws_tokens("t").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(lambda" in plan and ",  , -1)" in plan
