@@ -35,10 +35,15 @@ def l2_normalize(v: Column | str) -> Column:
     """Unit vector; NULL for a zero vector."""
     v = _col(v)
     # The norm goes through a one-element array, so that it is computed once per vector and not
-    # once per element.
+    # once per element. No function's body names what is bound outside of it: Spark does not take
+    # an expression with such a body out of the plan for a Python function and fails.
+    pair = F.struct(v.alias("v"), F.nullif(norm(v), F.lit(0.0)).alias("n"))
     scaled = F.transform(
-        F.array(F.nullif(norm(v), F.lit(0.0))),
-        lambda n: F.when(n.isNotNull(), F.transform(v, lambda x: x.cast("double") / n)),
+        F.array(pair),
+        lambda p: F.when(
+            p["n"].isNotNull(),
+            F.zip_with(p["v"], F.array_repeat(p["n"], F.size(p["v"])), lambda x, n: x.cast("double") / n),
+        ),
     )
     return F.get(scaled, F.lit(0))
 

@@ -269,3 +269,17 @@ def test_draw_of_all_words_ends():
         found = words.places(batch, 300, 1)
         assert sorted(found) == list(range(300))
         assert list(words.places(batch, 20, 1)) == list(dict.fromkeys(words.places(batch, 20, 1)))
+
+
+def test_normalised_texts_reach_a_python_function(spark):
+    from sentloom.plans.encoding import encode_multi
+    from workload.queries import outline
+
+    words = spark.createDataFrame([("a", [3.0, 4.0]), ("<unk>", [0.0, 1.0])], "word string, v array<double>")
+    texts = spark.createDataFrame([(1, "a"), (2, "a b"), (3, "")], "id long, text string")
+    for coded in (
+        encode(texts, SentenceModel(words, "unk"), use_norm=True),
+        encode_multi(texts, [SentenceModel(words, "unk")], use_norm=True),
+    ):
+        square = {r["id"]: r["v_square"] for r in coded.select("id", *outline("v")).collect()}
+        assert square == {1: 1.0, 2: 1.0, 3: None}
