@@ -283,3 +283,17 @@ def test_normalised_texts_reach_a_python_function(spark):
     ):
         square = {r["id"]: r["v_square"] for r in coded.select("id", *outline("v")).collect()}
         assert square == {1: 1.0, 2: 1.0, 3: None}
+
+
+def test_unit_vectors_reach_a_python_function(spark):
+    import pyarrow as pa
+
+    from workload.queries import outline
+
+    rows = vectors(spark, [[3.0, 4.0], [0.0, 0.0], [0.0, 5.0]])
+    found = {r["id"]: r for r in rows.select("id", *outline(V.l2_normalize("v"))).collect()}
+    assert [found[0][c] for c in ("v_first", "v_last", "v_square", "v_weighted")] == [0.6, 0.8, 1.0, 2.2]
+    assert found[1]["v_square"] is None and found[2]["v_weighted"] == 2.0
+    length = F.arrow_udf(lambda lists: pa.compute.list_value_length(lists), "int")
+    nested = F.get(F.transform(F.array("v"), V.l2_normalize), F.lit(0))
+    assert {r["id"]: r["n"] for r in rows.select("id", length(nested).alias("n")).collect()} == {0: 2, 1: None, 2: 2}
