@@ -59,7 +59,12 @@ def pad_flat(frames: Column | str, width: Column | int, dim: int) -> Column:
 
 def apply_mask(seq: Column | str, mask: Column | str) -> Column:
     """Multiply each vector of a sequence by its 0/1 mask."""
-    return F.zip_with(_col(seq), _col(mask), lambda v, m: F.transform(v, lambda x: x * m))
+    # The inner body names nothing from outside: see l2_normalize in vectors.py.
+    return F.zip_with(
+        _col(seq),
+        _col(mask),
+        lambda v, m: F.zip_with(v, F.array_repeat(m, F.size(v)), lambda x, y: x * y),
+    )
 
 
 def one_hot(value: Column | str, depth: int) -> Column:

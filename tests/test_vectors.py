@@ -297,3 +297,17 @@ def test_unit_vectors_reach_a_python_function(spark):
     length = F.arrow_udf(lambda lists: pa.compute.list_value_length(lists), "int")
     nested = F.get(F.transform(F.array("v"), V.l2_normalize), F.lit(0))
     assert {r["id"]: r["n"] for r in rows.select("id", length(nested).alias("n")).collect()} == {0: 2, 1: None, 2: 2}
+
+
+def test_masked_vectors_reach_a_python_function(spark):
+    from workload.queries import outline
+
+    # The columns' numbers must be above the few that Spark's normal form gives to bound variables.
+    for _ in range(30):
+        rows = vectors(spark, [[3.0, 4.0, 5.0, 6.0], [1.0, 2.0, 3.0, 4.0]])
+    masked = F.flatten(A.apply_mask(A.regroup("v", 2), lit([1, 0])))
+    found = rows.select("id", *outline(masked)).orderBy("id").collect()
+    assert [(r["v_first"], r["v_last"], r["v_square"], r["v_weighted"]) for r in found] == [(3.0, 0.0, 25.0, 11.0), (1.0, 0.0, 5.0, 5.0)]
+    empty = F.array(lit([1.0]), F.lit(None).cast("array<double>"), lit([2.0]))
+    mask = F.array(F.lit(None).cast("int"), F.lit(1), F.lit(1))
+    assert column(spark, A.apply_mask(empty, mask)) == [[None], None, [2.0]]
