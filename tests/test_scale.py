@@ -380,3 +380,57 @@ def test_ranked_computes_its_rows_twice(spark):
     found = ranked(df, "id").collect()
     assert sorted((r["id"], r["x"], r["rank"]) for r in found) == [(i, 2 * i, i) for i in range(1000)]
     assert seen.value <= 2000
+
+
+def test_loss_adds_vectors_where_rows_are_scored(spark):
+    """A run's ids are moved once, without vectors, and nothing is stored; the losses are those of the
+    other ways."""
+    from sentloom.operators.lookup import encode_bow
+
+    rng = np.random.default_rng(5)
+    sentences = [[int(x) for x in rng.integers(0, 40, rng.integers(0, 6))] for _ in range(240)]
+    rows = [(i // 3, i % 3, *(sentences[(i + j) % 240] for j in (0, 1, 2))) for i in range(240)]
+    df = spark.createDataFrame(rows, "batch long, row int, decode_pre array<int>, encode array<int>, decode_post array<int>").repartition(3)
+    table = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)], "id int, v array<double>")
+    vocab, inputs = table.select("id"), table.select(F.col("id").cast("string").alias("word"), F.reverse("v").alias("v"))
+
+    def vectors(rows):
+        return encode_bow(rows.withColumn("_w", F.transform("encode", lambda i: i.cast("string"))), inputs, "drop", "_w", "v").drop("_w")
+
+    def losses(df, **options):
+        found = sampling.negative_sampling_loss(df, table, vocab, 3, 6, 2, **options)
+        return found, {(r["batch"], r["part"]): r["value"] for r in found.collect()}
+
+    _, before = losses(vectors(df), max_bytes=0)
+    for options in ({}, {"max_bytes": 0, "block_bytes": 0}, {"max_bytes": 0}):
+        found, now = losses(df, vectors=vectors, **options)
+        assert now.keys() == before.keys() and len(now) == 240
+        assert all(now[k] == pytest.approx(before[k], abs=1e-9) for k in now)
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(_run" in line]
+    assert len(moved) == 1 and plan.index("Exchange hashpartitioning(_run") > plan.index("ArrowEvalPython")
+    assert losses(df.limit(0), vectors=vectors, max_bytes=0)[1] == {}
+
+
+def test_groups_of_equal_keys(spark):
+    import pyarrow as pa
+
+    parts = [[1, 1, 2], [], [2], [2, 3], [3], [5, 7]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(p, pa.int64())], names=["k"]) for p in parts]
+    assert [t["k"].to_pylist() for t in sampling._groups(iter(batches), "k")] == [[1, 1], [2, 2, 2], [3, 3], [5], [7]]
+
+
+def test_narrow_rows_are_ranked_whole(spark):
+    """Without a join; rows whose keys repeat go by it, as before."""
+    from sentloom.operators.rank import ranked
+
+    rows = [(i * 37 % 100, None if i == 4 else i, f"x{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "a long, b long, x string").repartition(4)
+    found = ranked(df, "a", "b", whole=True, total="n")
+    assert found.columns == ["a", "b", "x", "rank", "n"]
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r["rank"], r["x"], r["n"])
+    assert sorted(map(key, found.collect())) == sorted(map(key, ranked(df, "a", "b", total="n").collect()))
+    twice = df.unionByName(df.filter("a < 5"))
+    assert ranked(twice, "a", "b", whole=True).count() == ranked(twice, "a", "b").count() == 95 + 5 * 4
+    assert ranked(df.limit(0), "a", whole=True).count() == 0
